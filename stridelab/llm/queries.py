@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import decontam, mixing, pii, simhash, toxicity, urlfilter
+from . import decontam, htmlwrap, langid, mixing, pii, simhash, token_counts, toxicity, urlfilter
 from .common import id_bucket, read
 
 #: The url rules (host, path, action).
@@ -28,15 +28,31 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(docs, "found").drop("text")
     base = F.filter("found", lambda s: s["base"])
     listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    kinds = F.transform(base, lambda s: s["kind"])
     return found.select(
         "doc_id",
-        *(F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS),
+        *((F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in pii.KINDS),
         F.sha2(listed(base), 256).alias("base_sha256"),
         listed(F.col("found")).alias("spans"),
         F.size(F.filter("found", lambda s: ~s["base"])).cast("long").alias("n_added"),
     )
 
 
+#: The vocabulary that op2 counts with; read on the driver.
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(read(spark, sf_dir, "documents"), VOCABULARY)
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    bucket = id_bucket("doc_id", 3)
+    model = langid.fit(docs, bucket != 1)
+    return langid.identify(docs, model, F.coalesce(bucket == 1, F.lit(False)))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -57,6 +73,11 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_groups(read(spark, sf_dir, "documents"))
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return htmlwrap.extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     bucket = id_bucket("doc_id", 5)
@@ -66,10 +87,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op2_token_counts": op2_token_counts,
+    "op3_language_id": op3_language_id,
     "op5_decontamination": op5_decontamination,
     "op6_url_filter": op6_url_filter,
     "op7_mixing": op7_mixing,
     "op8_simhash": op8_simhash,
+    "op9_html": op9_html,
     "op10_toxicity": op10_toxicity,
 }
 
