@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import decontam, htmlwrap, langid, mixing, pii, simhash, token_counts, toxicity, urlfilter
+from . import decontam, htmlwrap, langid, media, mixing, pii, simhash, token_counts, toxicity, urlfilter
 from .common import id_bucket, read
 
 #: The url rules (host, path, action).
@@ -53,6 +53,21 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model, F.coalesce(bucket == 1, F.lit(False)))
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table has pictures, so each vector is drawn as one.
+
+    Every twentieth row instead carries a cropped and darkened copy of the
+    picture before it.
+    """
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    copied = F.col("vec_id") % 20 == 7
+    before = vectors.select((F.col("vec_id") + 1).alias("vec_id"), F.col("embedding").alias("other")).filter(copied)
+    shown = vectors.join(before, "vec_id", "left")
+    edited = F.col("other").isNotNull()
+    pictures = shown.select("vec_id", media.drawn_column(F.coalesce("other", "embedding"), edited).alias("picture"))
+    return media.copies(pictures, "vec_id", "picture")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -89,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_token_counts": op2_token_counts,
     "op3_language_id": op3_language_id,
+    "op4_media": op4_media,
     "op5_decontamination": op5_decontamination,
     "op6_url_filter": op6_url_filter,
     "op7_mixing": op7_mixing,
