@@ -25,9 +25,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays. The pipeline's shingles have five words."""
+    """One document of each SimHash group stays; fingerprints and links are those of op8."""
     ship_package(spark)
-    return simhash.keep_one_per_group(docs, size=5)
+    return simhash.keep_one_per_group(docs)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
