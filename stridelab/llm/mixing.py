@@ -157,33 +157,38 @@ def mix(docs: DataFrame, target: Target, id_col: str = "doc_id", source_col: str
     plan = weights(sources, target)
     total_budget = plan.agg(F.sum("budget")).first()[0] or 1.0
     mix_blocks = max(1, round(total_budget / mix_block_tokens))
+    # Names of the plan's columns that clash with none of the documents'.
+    s_key, s_tokens, s_weight, s_budget, s_epochs, s_blocks, r_start, at, k2, b2, e2, b_start = (
+        name(f"__{n}") for n in ("key", "tokens_of", "weight", "budget", "epochs", "blocks", "r_start", "at", "k2", "b2", "e2", "b_start")
+    )
     plan = plan.select(
-        F.col("source").alias("s_key"),
-        F.col("tokens").alias("s_tokens"),
-        F.col("weight").alias("s_weight"),
-        F.col("budget").alias("s_budget"),
-        F.greatest(F.lit(1), F.ceil("repeats")).cast("int").alias("s_epochs"),
-        F.greatest(F.lit(1), F.ceil(F.col("tokens") / block_tokens)).cast("long").alias("s_blocks"),
+        F.col("source").alias(s_key),
+        F.col("tokens").alias(s_tokens),
+        F.col("weight").alias(s_weight),
+        F.col("budget").alias(s_budget),
+        F.greatest(F.lit(1), F.ceil("repeats")).cast("int").alias(s_epochs),
+        F.greatest(F.lit(1), F.ceil(F.col("tokens") / block_tokens)).cast("long").alias(s_blocks),
     )
     plan = checkpointed(plan)
     few = F.broadcast(plan) if plan.count() <= BROADCAST_SOURCES else plan
-    dealt = keyed.join(few, F.col(mark) == F.col("s_key")).withColumn(block, F.pmod(F.col(key), F.col("s_blocks")))
-    blocks = dealt.groupBy("s_key", F.col(block).alias("b")).agg(F.sum(count).alias("b_tokens"), F.first("s_epochs").alias("epochs"))
-    epochs = blocks.select("s_key", "b", "b_tokens", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1)).alias("e"))
-    by_epoch = Window.partitionBy("s_key", "e").orderBy(F.xxhash64(F.lit(seed), "s_key", "e", "b"), "b").rowsBetween(Window.unboundedPreceding, -1)
-    block_starts = checkpointed(epochs.select(F.col("s_key").alias("k2"), "b", "e", F.coalesce(F.sum("b_tokens").over(by_epoch), F.lit(0)).alias("b_start")))
-
-    out = dealt.withColumn(epoch, F.explode(F.sequence(F.lit(0), F.col("s_epochs") - 1)))
-    in_block = Window.partitionBy("s_key", epoch, block).orderBy(F.xxhash64(F.lit(seed), epoch, key), key).rowsBetween(Window.unboundedPreceding, -1)
-    out = out.withColumn("r_start", F.coalesce(F.sum(count).over(in_block), F.lit(0)))
-    out = out.join(block_starts, (F.col("s_key") == F.col("k2")) & (F.col(epoch) == F.col("e")) & (F.col(block) == F.col("b")))
-    start = F.col(epoch) * F.col("s_tokens") + F.col("b_start") + F.col("r_start")
-    out = out.withColumn("at", start).filter((F.col(epoch) == 0) & (F.col("s_tokens") == 0) | (F.col("at") < F.col("s_budget") - 1e-6) | (F.lit(target.budget is None) & (F.col(epoch) == 0)))
-    spot = F.when(F.col("s_budget") > 0, F.floor(F.col("at") / F.col("s_budget") * F.lit(mix_blocks))).otherwise(F.lit(0))
+    dealt = keyed.join(few, F.col(mark) == F.col(s_key)).withColumn(block, F.pmod(F.col(key), F.col(s_blocks)))
+    blocks = dealt.groupBy(F.col(s_key).alias("k"), F.col(block).alias("b")).agg(F.sum(count).alias("tokens"), F.first(s_epochs).alias("epochs"))
+    epochs = blocks.select("k", "b", "tokens", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1)).alias("e"))
+    by_epoch = Window.partitionBy("k", "e").orderBy(F.xxhash64(F.lit(seed), "k", "e", "b"), "b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = checkpointed(epochs.select(F.col("k").alias(k2), F.col("b").alias(b2), F.col("e").alias(e2), F.coalesce(F.sum("tokens").over(by_epoch), F.lit(0)).alias(b_start)))
+
+    out = dealt.withColumn(epoch, F.explode(F.sequence(F.lit(0), F.col(s_epochs) - 1)))
+    in_block = Window.partitionBy(s_key, epoch, block).orderBy(F.xxhash64(F.lit(seed), epoch, key), key).rowsBetween(Window.unboundedPreceding, -1)
+    out = out.withColumn(r_start, F.coalesce(F.sum(count).over(in_block), F.lit(0)))
+    out = out.join(starts, (F.col(s_key) == F.col(k2)) & (F.col(epoch) == F.col(e2)) & (F.col(block) == F.col(b2)))
+    out = out.withColumn(at, F.col(epoch) * F.col(s_tokens) + F.col(b_start) + F.col(r_start))
+    first = (F.col(epoch) == 0) & (F.lit(target.budget is None) | (F.col(s_tokens) == 0))
+    out = out.filter(first | (F.col(at) < F.col(s_budget) - 1e-6))
+    spot = F.when(F.col(s_budget) > 0, F.floor(F.col(at) / F.col(s_budget) * F.lit(mix_blocks))).otherwise(F.lit(0))
     return out.select(
         *own,
         F.col(epoch).cast("long").alias("epoch"),
         F.least(spot, F.lit(mix_blocks - 1)).cast("long").alias("mix_block"),
         F.col(count).alias("mix_tokens"),
-        F.round("s_weight", 9).alias("mix_weight"),
+        F.round(s_weight, 9).alias("mix_weight"),
     )

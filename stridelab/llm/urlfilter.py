@@ -90,6 +90,8 @@ def judge(urls: DataFrame, rules: DataFrame, url_col: str = "url", default: str
     few = F.broadcast(known) if sizes["n"] <= broadcast_rules else known
     hits = expressions.alias("x").join(few.alias("k"), (F.col("x.prefix") == F.col("k.prefix")) & (F.col("x.digest") == F.col("k.digest")))
     best = hits.groupBy("h", "p").agg(F.max("entry").alias("entry"))
-    out = placed.join(best, (F.col(host) == F.col("h")) & (F.col(path) == F.col("p")), "left")
+    found, h, p = free_name(urls, "__entry"), free_name(urls, "__h"), free_name(urls, "__p")
+    best = best.select(F.col("h").alias(h), F.col("p").alias(p), F.col("entry").alias(found))
+    out = placed.join(best, (F.col(host) == F.col(h)) & (F.col(path) == F.col(p)), "left")
     own = [c for c in urls.columns if c.lower() not in {"host", "path", "rule", "verdict"}]
-    return out.select(*own, F.col(host).alias("host"), F.col(path).alias("path"), F.col("entry.rule").alias("rule"), F.coalesce("entry.action", F.lit(default)).alias("verdict"))
+    return out.select(*own, F.col(host).alias("host"), F.col(path).alias("path"), F.col(f"{found}.rule").alias("rule"), F.coalesce(f"{found}.action", F.lit(default)).alias("verdict"))
