@@ -154,7 +154,8 @@ class Index:
         for k, i, low, high in self.candidates([p for _, _, p in queue]):
             row, begin, piece = queue[k]
             m = len(self.points[i])
-            a, b = max(0, low), min(len(piece), high + m)
+            slack = high - low  # the neighbouring bands see the same occurrence; an exact one needs no alignment in any
+            a, b = max(0, low - slack), min(len(piece), high + slack + m)
             exact = piece[a:b].tobytes().decode("utf-32-le", "surrogatepass").find(self.texts[i])
             if exact >= 0:
                 found = (0, a + exact, a + exact + m)
@@ -191,12 +192,15 @@ def banded(item: np.ndarray, text: np.ndarray, low: int, high: int, budget: int)
     a, b = max(0, low), min(len(text), low + m + width)
     if b > a:
         padded[a - low : b - low] = text[a:b]
-    dropped = np.empty(width, dtype=np.int64)
+    dropped = np.full(width, np.int64(1) << 62)
+    limit = (np.int64(budget) + 1) << shift
     for i in range(m):
-        kept = row + np.where(padded[i : i + width] == item[i], np.int64(0), one)
-        dropped[:-1], dropped[-1] = row[1:] + one, np.iinfo(np.int64).max
+        kept = row + (padded[i : i + width] != item[i]) * one
+        np.add(row[1:], one, out=dropped[:-1])
         row = np.minimum(kept, dropped)
         row = np.minimum.accumulate(row - steps) + steps
+        if i % 8 == 7 and row.min() >= limit:  # costs never fall again
+            return None
     best = int(np.argmin(row >> shift))
     distance = int(row[best] >> shift)
     if distance > budget:
