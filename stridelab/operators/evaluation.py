@@ -70,7 +70,7 @@ def best_threshold(points: DataFrame, keys: Sequence[str] = (), low: float = 0.0
     """The threshold with the largest F1 (the smallest on ties), clipped; 0.5 without points."""
     f1 = 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall") + 1e-9)
     best = points.withColumn("__f", F.struct(F.round(f1, 12).alias("f"), (-F.col("threshold")).alias("t"))).groupBy(*keys).agg(F.max("__f").alias("b"))
-    return best.select(*keys, F.coalesce(F.greatest(F.lit(low), F.least(F.lit(high), -F.col("b.t"))), F.lit(0.5)).alias("threshold"))
+    return best.select(*keys, F.when(F.col("b").isNull(), 0.5).otherwise(F.greatest(F.lit(low), F.least(F.lit(high), -F.col("b.t")))).alias("threshold"))
 
 
 def selection_frequency(chosen: DataFrame, column: str, runs: int) -> DataFrame:
