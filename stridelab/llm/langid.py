@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 UNKNOWN = "und"
+#: Unseen words whose scores a task keeps.
+KEPT = 200_000
 _WORD = re.compile(r"[^\W\d_]+")
 RESULT = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
 
@@ -46,39 +48,41 @@ class Model:
         return np.array([math.log((counts.get(x, 0) + 0.5) / (self.totals.get((x, length), 0) + 1.0)) for x in self.languages])
 
     def _prepare(self) -> None:
-        self.rows = [self._row(c, 0) for c in self.words.values()]
+        """Scores by row: first of the known words, behind them of unseen ones as they come."""
         self.at = {w: i for i, w in enumerate(self.words)}
-        self.known = len(self.rows)
-        self.gram_rows = {g: self._row(c, len(g)) for g, c in self.grams.items()}
-        self.table = np.array(self.rows).reshape(-1, len(self.languages))
+        known = np.array([self._row(c, 0) for c in self.words.values()]).reshape(-1, len(self.languages))
+        self.table = np.concatenate([known, np.zeros((KEPT, len(self.languages)))])
+        self.gram_at = {g: i for i, g in enumerate(self.grams)}
+        self.gram_table = np.array([self._row(c, len(g)) for g, c in self.grams.items()]).reshape(-1, len(self.languages))
 
     def backoff(self, word: str) -> np.ndarray:
         marked = f"^{word}$"
-        for n in range(self.longest, 0, -1):
-            found = [self.gram_rows[g] for i in range(len(marked) - n + 1) if (g := marked[i : i + n]) in self.gram_rows]
+        size = len(marked)
+        at = self.gram_at.get
+        for n in range(min(self.longest, size), 0, -1):
+            found = [k for i in range(size - n + 1) if (k := at(marked[i : i + n])) is not None]
             if found:
-                return np.mean(found, axis=0)
+                return self.gram_table[found].sum(axis=0) / len(found)
         return np.zeros(len(self.languages))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, its share of the likelihood); ``und`` and 0 without a letter or a model."""
-        if "at" not in self.__dict__:
-            self._prepare()
         counts = Counter(_WORD.findall((text or "").lower()))
         if not counts or not self.languages:
             return UNKNOWN, 0.0
-        rows = []
-        for word in counts:
-            i = self.at.get(word)
-            if i is None:
-                i = self.at[word] = len(self.rows)
-                self.rows.append(self.backoff(word))
-            rows.append(i)
-        if len(self.table) < len(self.rows):
-            self.table = np.array(self.rows)
-        total = np.fromiter(counts.values(), dtype=float, count=len(counts)) @ self.table[rows]
-        if len(self.rows) > self.known + 200_000:  # scores of unseen words are only kept so long
+        if "at" not in self.__dict__:
             self._prepare()
+        if len(self.at) + len(counts) > len(self.table):
+            self._prepare()  # forget the unseen words so far
+            if len(self.at) + len(counts) > len(self.table):
+                self.table = np.concatenate([self.table, np.zeros((len(counts), len(self.languages)))])
+        rows = list(map(self.at.get, counts))
+        if None in rows:
+            for k, (word, i) in enumerate(zip(counts, rows, strict=True)):
+                if i is None:
+                    rows[k] = self.at[word] = len(self.at)
+                    self.table[rows[k]] = self.backoff(word)
+        total = np.fromiter(counts.values(), dtype=float, count=len(counts)) @ self.table[rows]
         share = np.exp(total - total.max())
         best = int(np.argmax(total))
         return self.languages[best], float(share[best] / share.sum())
