@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .distributed import dealt_rank, quantiles
 from .statistics import unpivoted
 
 #: Added to deviations before dividing.
@@ -59,8 +60,9 @@ def normalise_test(test: DataFrame, train: DataFrame, columns: Sequence[str], su
 
 
 def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
-    row = df.agg(*(F.median(c).alias(c) for c in columns)).first()
-    return {c: row[c] if row[c] is not None else 0.0 for c in columns}
+    """The median of each column; 0 for a column without values."""
+    found = quantiles(df, columns, [0.5])
+    return {c: found[c][0] if found[c][0] is not None else 0.0 for c in columns}
 
 
 def fill_with(df: DataFrame, values: Mapping[str, float]) -> DataFrame:
@@ -97,8 +99,9 @@ def binned_information(df: DataFrame, x: str, label: str, bins: int = 8) -> Data
 
     An approximation of the nearest-neighbour estimate by equal-frequency bins.
     """
-    cuts = df.agg(F.percentile(x, F.array(*(F.lit(k / bins) for k in range(1, bins)))).alias("cuts"))
-    binned = df.join(F.broadcast(cuts)).select(F.size(F.filter("cuts", lambda c: c < F.col(x))).alias("b"), F.col(label).alias("y"))  # one row
+    cuts = [F.lit(v).cast("double") for v in quantiles(df, [x], [k / bins for k in range(1, bins)])[x]]
+    above = sum(((F.col(x) > c).cast("int") for c in cuts), F.lit(0))
+    binned = df.filter(F.col(x).isNotNull()).select(above.alias("b"), F.col(label).alias("y"))
     joint = binned.groupBy("b", "y").agg(F.count("*").alias("n"))
     w = Window.partitionBy
     shares = joint.select("n", F.sum("n").over(w()).alias("t"), F.sum("n").over(w("b")).alias("nb"), F.sum("n").over(w("y")).alias("ny"))
@@ -132,14 +135,14 @@ def knn_impute(df: DataFrame, key: str, columns: Sequence[str], k: int = 5, bloc
 
 
 def oversample(df: DataFrame, label: str, key: str) -> DataFrame:
-    """Rows of each class repeated, in turn by key, until it is as large as the largest.
+    """Rows of each class repeated, in turn, until it is as large as the largest.
 
     ``copy`` is 0 for the original. Every row repeats floor or ceil(largest / own) times.
     """
     sizes = df.groupBy(label).agg(F.count("*").alias("__own"))
     largest = sizes.agg(F.max("__own").alias("__most"))
     plan = sizes.join(F.broadcast(largest))  # one row
-    ranked = df.withColumn("__nth", F.row_number().over(Window.partitionBy(label).orderBy(key)) - 1).join(F.broadcast(plan), label)  # a row per class
+    ranked = dealt_rank(df, label, key, "__nth").join(F.broadcast(plan), label)  # a row per class
     times = F.floor(F.col("__most") / F.col("__own")) + (F.col("__nth") < F.col("__most") % F.col("__own")).cast("int")
     return ranked.withColumn("copy", F.explode(F.sequence(F.lit(0), times.cast("int") - 1))).drop("__own", "__most", "__nth")
 
@@ -169,5 +172,4 @@ def group_folds(df: DataFrame, group: str, folds: int) -> DataFrame:
 
 def stratified_folds(df: DataFrame, label: str, key: str, folds: int, seed: int = 42) -> DataFrame:
     """``fold`` of each row, dealt in turn within each class in an order set by the seed."""
-    shuffled = Window.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), key), key)
-    return df.withColumn("fold", ((F.row_number().over(shuffled) - 1) % folds).cast("int"))
+    return dealt_rank(df, label, key, "__nth", seed).withColumn("fold", (F.col("__nth") % folds).cast("int")).drop("__nth")

@@ -8,6 +8,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .distributed import quantiles
+
 
 def summary(df: DataFrame, keys: Sequence[str], event: Column, extra: Mapping[str, Column] | None = None) -> DataFrame:
     """Per group: events, samples, share of events in per cent (two digits), and further aggregates."""
@@ -35,13 +37,13 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     parts = []
     for i, c in enumerate(columns):
         x = F.col(c)
-        parts.append(
-            F.struct(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).cast("double").alias("min"), F.percentile(x, F.array(*(F.lit(q) for q in (0.25, 0.5, 0.75)))).alias("q"), F.max(x).cast("double").alias("max")).alias(f"s{i}")
-        )
-    rows = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"s{i}").alias("s")) for i, c in enumerate(columns))))
+        parts.append(F.struct(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).cast("double").alias("min"), F.max(x).cast("double").alias("max")).alias(f"s{i}"))
+    middle = quantiles(df, columns, [0.25, 0.5, 0.75])
+    q = [F.array(*(F.lit(v).cast("double") for v in middle[c])) for c in columns]
+    rows = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"s{i}").alias("s"), q[i].alias("q")) for i, c in enumerate(columns))))
     out = df.agg(*parts).select(rows.alias("r"))
-    s = F.col("r.s")
-    return out.select(F.col("r.column").alias("column"), s["count"].alias("count"), s["mean"].alias("mean"), s["std"].alias("std"), s["min"].alias("min"), s["q"][0].alias("q25"), s["q"][1].alias("q50"), s["q"][2].alias("q75"), s["max"].alias("max"))
+    s, at = F.col("r.s"), F.col("r.q")
+    return out.select(F.col("r.column").alias("column"), s["count"].alias("count"), s["mean"].alias("mean"), s["std"].alias("std"), s["min"].alias("min"), at[0].alias("q25"), at[1].alias("q50"), at[2].alias("q75"), s["max"].alias("max"))
 
 
 def unpivoted(df: DataFrame, make, columns: Sequence[str], value: str) -> DataFrame:

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from stridelab.operators.distributed import dealt_rank, quantiles
 from stridelab.operators import evaluation, models, selection, statistics, windows
 
 
@@ -53,8 +56,8 @@ def test_one_gap_voids_a_subjects_feature(spark):
 def test_oversample_repeats_in_turn(spark):
     df = table(spark, [(i, 0) for i in range(7)] + [(10 + i, 1) for i in range(3)], "id int, y int")
     rows = selection.oversample(df, "y", "id").collect()
-    copies = {i: sum(r.id == i for r in rows) for i in (10, 11, 12)}
-    assert sum(r.y == 1 for r in rows) == 7 and copies == {10: 3, 11: 2, 12: 2}
+    copies = sorted(sum(r.id == i for r in rows) for i in (10, 11, 12))
+    assert sum(r.y == 1 for r in rows) == 7 and copies == [2, 2, 3]
 
 
 def test_knn_falls_back_to_the_mean(spark):
@@ -107,6 +110,29 @@ def test_synthetic_rows_lie_between_minority_rows(spark):
     assert made and all(16 <= r.a <= 19 and r.y == 1 for r in made)
 
 
+@pytest.mark.parametrize(("bins", "few"), [(4, 2), (16, 5), (1024, 10_000)])
+def test_quantiles_are_exact(spark, bins, few):
+    rng = random.Random(bins)
+    rows = [(rng.choice([rng.gauss(0, 1), 5.0, 1e9 * rng.random(), -3.5]), rng.randrange(3) if i % 5 else None, None, 7.0) for i in range(700)]
+    df = table(spark, rows, "a double, b int, c double, d double")
+    p = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
+    got = quantiles(df, ["a", "b", "c", "d"], p, bins, few)
+    for i, c in enumerate("abd"):
+        values = [r["abcd".index(c)] for r in rows if r["abcd".index(c)] is not None]
+        assert got[c] == pytest.approx(list(np.quantile(values, p)), rel=1e-12), i
+    assert got["c"] == [None] * len(p)
+
+
+@pytest.mark.parametrize("size", [1_000_000, 7])
+def test_dealt_ranks_number_each_group_once(spark, size):
+    df = table(spark, [(i, None if i % 10 == 0 else i % 3) for i in range(100)], "id int, g int")
+    rows = dealt_rank(df, "g", "id", "n", rows_per_bucket=size).collect()
+    assert len(rows) == 100 and rows[0].asDict().keys() == {"id", "g", "n"}
+    for g in (None, 0, 1, 2):
+        own = sorted(r.n for r in rows if r.g == g)
+        assert own == list(range(len(own)))
+
+
 def test_context_is_clamped(spark):
     df = table(spark, [("s", i, i / 4.0, 1 if i == 2 else 0) for i in range(30)], "subject string, pos long, t double, y int")
     out = windows.context(df, ["subject"], F.col("y") == 1, 5, time="t").orderBy("pos").collect()
