@@ -6,8 +6,8 @@ stretches that set toxic rows apart (found by a likelihood-ratio test over
 rows, near copies counted once). A text is cut into windows of a few words;
 what the toxic dictionary saves over the ordinary one in compressed bytes is a
 window's gain. A logistic curve, fitted on the training rows, turns a text's
-mean gain, its share of gaining windows and its length into a score, with 0.5
-as the calibrated threshold.
+mean gain, the share and number of its gaining windows and the largest gain
+into a score, with 0.5 as the calibrated threshold.
 """
 
 from __future__ import annotations
@@ -27,6 +27,9 @@ from pyspark.sql import types as T
 
 from .common import free_name
 
+#: Opens every window and ends both dictionaries: with that much to match, a window is always
+#: written compressed, and a gain is not lost in the cost of beginning to compress.
+OPENING = bytes(range(14, 26))
 _TRIM = ".,!?;:|\"'()[]&%#*$"
 
 
@@ -40,12 +43,12 @@ class Settings:
     window: int = 8
     dictionary: int = 8192
     min_ratio: float = 8.0
-    min_g2: float = 20.0
+    min_g2: float = 26.0
 
 
 def windows(text: str | None, size: int) -> list[bytes]:
     words = (text or "").lower().encode("utf-8", "replace").split()
-    return [b" " + b" ".join(words[i : i + size]) + b" " for i in range(0, len(words), size)]
+    return [OPENING + b" " + b" ".join(words[i : i + size]) + b" " for i in range(0, len(words), size)]
 
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
@@ -56,17 +59,18 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params)
 
 
-def _near_copy_free(texts: list[str]) -> list[str]:
-    """One text of each group that shares a least shingle hash under any of four seeds."""
-    seen: set[tuple[int, int]] = set()
-    kept = []
+def _near_copy_free(texts: list[str], size: int = 16, shared: int = 3) -> list[str]:
+    """One text of each family of edited copies: none that shares several of its least shingle hashes with one before it."""
+    holders: dict[int, list[int]] = {}
+    kept: list[str] = []
     for text in texts:
         words = text.lower().encode("utf-8", "replace").split()
-        shingles = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
-        marks = [(seed, min(xxhash.xxh64_intdigest(s, seed) for s in shingles)) for seed in range(4)]
-        if not any(m in seen for m in marks):
+        marks = sorted({xxhash.xxh64_intdigest(b" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))})[:size]
+        alike = Counter(k for m in marks for k in holders.get(m, ()))
+        if max(alike.values(), default=0) < min(shared, len(marks)):
+            for m in marks:
+                holders.setdefault(m, []).append(len(kept))
             kept.append(text)
-        seen.update(marks)
     return kept
 
 
@@ -94,9 +98,8 @@ def telling_stretches(toxic: list[str], ordinary: list[str], settings: Settings)
         ea, eb = nt * (a + b) / (nt + no), no * (a + b) / (nt + no)
         return 2 * (a * math.log(a / ea) + (b * math.log(b / eb) if b else 0.0))
 
-    least = settings.min_g2 if nt >= 200 else settings.min_g2 / 2
     scores = {s: g2(s) for s, a in in_toxic.items() if a * no > settings.min_ratio * nt * (in_ordinary[s] + 0.5 * min(1.0, no / 500))}
-    ranked = sorted((s for s in scores if scores[s] > least), key=lambda s: (-scores[s], s))
+    ranked = sorted((s for s in scores if scores[s] > settings.min_g2), key=lambda s: (-scores[s], s))
     by_start: dict[str, list[str]] = {}
     for s in scores:
         by_start.setdefault(s[:3], []).append(s)
@@ -118,16 +121,18 @@ class Model:
     def __init__(self, settings: Settings):
         self.settings = settings
         self.ordinary, self.toxic = b"", b""
-        self.weights = np.zeros(4)
+        self.weights = np.zeros(7)
         self.prior: float | None = 0.0
 
-    def fit(self, toxic: list[str], ordinary: list[str]) -> Model:
+    def fit(self, toxic: list[str], ordinary: list[str], share: float | None = None) -> Model:
+        """``share``: how much of the labelled rows is toxic, where the two lists don't show it."""
         toxic, ordinary = [t for t in toxic if t], [t for t in ordinary if t]
         if not toxic or not ordinary:
             self.prior = 1.0 if toxic else 0.0
             return self
         bare_toxic, bare_ordinary = _near_copy_free(toxic), _near_copy_free(ordinary)
         samples = [w for t in bare_ordinary for w in windows(t, self.settings.window)]
+        samples = [w[len(OPENING) :] for w in samples]
         samples.sort(key=xxhash.xxh64_intdigest)
         samples = samples[:40_000]
         try:
@@ -137,16 +142,18 @@ class Model:
         head = b""
         for s in telling_stretches(bare_toxic, bare_ordinary, self.settings)[:400]:
             head = b" " + (s[:-1] + " " if s.endswith("$") else s).encode("utf-8", "replace") + head
+        self.ordinary += OPENING
         self.toxic = head + self.ordinary
         self.prior = None
         rows = bare_toxic + bare_ordinary
-        self._calibrate(np.array([self.measures(t) for t in rows]), np.array([1.0] * len(bare_toxic) + [0.0] * len(bare_ordinary)))
+        self._calibrate(np.array([self.measures(t) for t in rows]), np.array([1.0] * len(bare_toxic) + [0.0] * len(bare_ordinary)), share if share is not None else len(toxic) / (len(toxic) + len(ordinary)))
         return self
 
-    def _calibrate(self, x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 1e-2) -> None:
-        """Ridge logistic regression by Newton's method, both classes with equal weight."""
+    def _calibrate(self, x: np.ndarray, y: np.ndarray, share: float, steps: int = 80, ridge: float = 1e-2) -> None:
+        """Ridge logistic regression by Newton's method; the classes weigh as much as among the labelled rows."""
         x = np.c_[x, np.ones(len(x))]
-        weight = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
+        share = min(max(share, 0.01), 0.99)
+        weight = np.where(y > 0, share / max(1, y.sum()), (1 - share) / max(1, (1 - y).sum())) * len(y)
         beta = np.zeros(x.shape[1])
         penalty = np.diag([ridge] * (x.shape[1] - 1) + [1e-6])
         for _ in range(steps):
@@ -165,13 +172,14 @@ class Model:
         return self.pair
 
     def measures(self, text: str | None) -> list[float]:
-        """Mean gain, share of windows that gain two bytes or more, log of the number of those."""
+        """Mean gain, shares of windows that gain one and two bytes or more, logs of their numbers, largest gain."""
         plain, toxic = self._pair()
         cut = windows(text, self.settings.window)
         if not cut:
-            return [0.0, 0.0, 0.0]
+            return [0.0] * 6
         gains = np.array([len(plain.compress(w)) - len(toxic.compress(w)) for w in cut])
-        return [float(gains.mean()), float((gains >= 2).mean()), math.log1p(int((gains >= 2).sum()))]
+        one, two = int((gains >= 1).sum()), int((gains >= 2).sum())
+        return [float(gains.mean()), one / len(gains), two / len(gains), math.log1p(one), math.log1p(two), float(gains.max())]
 
     def score(self, text: str | None) -> float:
         if self.prior is not None:
@@ -196,7 +204,9 @@ def fit(docs: DataFrame, labels: DataFrame, eligible: Column, id_col: str = "doc
     sample = texts.join(F.broadcast(picked[0].unionByName(picked[1])), "id")  # at most 4 x rows ids
     rows = sample.dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").collect()
     by_label = {k: [r["text"] for r in rows if r["label"] == k][: settings.rows] for k in (1, 0)}
-    return Model(settings).fit(by_label[1], by_label[0])
+    sizes = {r["label"]: r["count"] for r in known.join(texts.select("id"), "id", "left_semi").groupBy("label").count().collect()}
+    share = sizes.get(1, 0) / max(1, sum(sizes.values()))
+    return Model(settings).fit(by_label[1], by_label[0], share)
 
 
 def score_column(model: Model, text: Column) -> Column:
