@@ -142,6 +142,14 @@ ORACLES = {
             ON (p.host = r.host OR suffix(p.host, '.' || r.host)) AND starts_with(p.path, r.path))
         SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM fitting WHERE nth = 1
     """,
+    # Holds for pages that mark their article, as those of `pages` do, and for the references that occur in them.
+    "op9_html": """
+        WITH marked AS (
+          SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '<article>(.*?)(</article>|$)', 1, 's'), '<[^>]*>', ' ', 'g') AS body FROM pages),
+        decoded AS (
+          SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(body, '&quot;?', '"', 'g'), '&(lt|gt);', '', 'g'), '&amp;?', '&', 'g') AS body FROM marked)
+        SELECT page_id, url, trim(regexp_replace(body, '[[:space:]]+', ' ', 'g')) AS text, CAST(length(trim(regexp_replace(body, '[[:space:]]+', ' ', 'g'))) AS BIGINT) AS n_chars FROM decoded
+    """,
 }
 
 
