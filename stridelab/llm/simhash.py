@@ -278,7 +278,8 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     roots = connected_components(links)
     named = roots.join(classes, F.col("node") == F.col("print")).groupBy("component").agg(F.min("first_id").alias("least"))
     linked = roots.join(named, "component").select(F.col("node").alias("print"), "least")
-    labels = classes.join(linked, "print", "left").select("print", F.coalesce("least", "first_id").alias("component_id"))
+    # Written, so that the join below reads both sides by plain exchanges and a fingerprint of very many rows can be split.
+    labels = checkpointed(classes.join(linked, "print", "left").select("print", F.coalesce("least", "first_id").alias("component_id")))
     return prints.join(labels, "print").select(
         F.col("id").alias(id_col),
         F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"),
