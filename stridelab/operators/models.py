@@ -28,9 +28,9 @@ def assembled(df: DataFrame, columns: Sequence[str], label: str = "label") -> Da
     return out.withColumns({"label": F.col(label).cast("double"), "weight": weight})
 
 
-def logistic(rows: int, c: float = 1.0) -> LogisticRegression:
+def logistic(rows: int, c: float = 1.0, iterations: int = 100) -> LogisticRegression:
     """Ridge logistic regression with the inverse penalty ``c``."""
-    return LogisticRegression(maxIter=100, regParam=1.0 / (c * max(1, rows)), standardization=False, weightCol="weight")
+    return LogisticRegression(maxIter=iterations, regParam=1.0 / (c * max(1, rows)), standardization=False, weightCol="weight")
 
 
 def forest(trees: int = 100, depth: int = 10, seed: int = 42) -> RandomForestClassifier:

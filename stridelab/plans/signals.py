@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import extract, nonlinear, spectral, time_domain, wavelet
-from ..operators import cleaning, evaluation, models, selection, statistics, windows
+from ..operators import cleaning, evaluation, models, selection, statistics, training, windows
 from ..streaming import windows as streams
 from . import adapters as A
 from .adapters import HALF, WHOLE, table
@@ -457,6 +457,15 @@ def model_search(spark, sf_dir):
     return models.scored(best.bestModel, test).select("vec_id", "y", R(F.col("score"), 9).alias("score"))
 
 
+@query()
+def loso_training(spark, sf_dir):
+    """A subject left out, pooled over its one fold (all subjects: leave ``folds`` out)."""
+    report = training.leave_one_subject_out(
+        feature_rows(spark, sf_dir), _VC, "y", {"logistic": lambda s: models.logistic(500, iterations=10)}, F.when(F.col("column").isin("e0", "e1"), "left").otherwise("right"), 1, folds=[0]
+    )
+    return evaluation.pooled(report.results, ["classifier"])
+
+
 @query()
 def rf_importance(spark, sf_dir):
     return models.importances(feature_rows(spark, sf_dir), _VC, 5, label="y")

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stridelab.operators.distributed import dealt_rank, quantiles
-from stridelab.operators import evaluation, models, selection, statistics, windows
+from stridelab.operators import evaluation, models, selection, statistics, training, windows
 
 
 def table(spark, rows, schema):
@@ -99,6 +99,23 @@ def test_boosting_learns_a_threshold(spark):
     assert sum((r.score >= 0.5) == bool(r.y) for r in out) >= 49
 
 
+def test_leave_one_subject_out_end_to_end(spark):
+    rng = random.Random(5)
+    rows = [(s, float(y * 2 + rng.gauss(0, 0.3)), rng.gauss(0, 1), 1.0, y) for s in "abcd" for y in [0] * 14 + [1] * 6]
+    rows += [("e", 1.0, float("inf"), 1.0, 0)]
+
+    def broken(seed):
+        raise RuntimeError("no such model")
+
+    df = table(spark, rows, "subject string, good double, noise double, same double, y int")
+    report = training.leave_one_subject_out(df, ["good", "noise", "same"], "y", {"logistic": lambda s: models.logistic(60), "broken": broken}, k=1, folds=["a", "b"])
+    out = {r.fold: r for r in report.results.collect()}
+    assert set(out) == {"a", "b"} and all(r.f1 > 0.8 and r.tn + r.fp == 14 for r in out.values())
+    assert report.chosen["logistic", "a"] == ["good"] and sorted(report.skipped) == [("broken", "a", "no such model"), ("broken", "b", "no such model")]
+    alone = training.leave_one_subject_out(df.filter("subject IN ('a', 'b')"), ["good"], "y", {"logistic": lambda s: models.logistic(60)}, folds=["a"])
+    assert alone.results is None and alone.skipped[0][2] == "too few subjects or classes"
+
+
 def test_sampled_grid_is_repeatable():
     grid = {"a": [1, 2, 3], "b": [4, 5]}
     assert models.sampled_grid(grid, 3) == models.sampled_grid(grid, 3) and len(models.sampled_grid(grid, 99)) == 6
