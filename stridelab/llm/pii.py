@@ -76,7 +76,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
             free = max(free, at + 1)
         at = text.find("@", max(at + 1, free))
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p) <= 3 and int(p or 0) <= 255 for p in (part.lstrip("0") for part in m[0].split("."))):
             out.append((1, m.start(), m.end()))
     for m in _CARD.finditer(text):
         if 16 <= m.end() - m.start() and 16 <= len(d := _digits(m[0])) <= 19 and luhn(d):
