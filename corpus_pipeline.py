@@ -25,9 +25,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays; fingerprints and links are those of op8."""
+    """One document of each group stays: SimHash links as in op8, and five-word Jaccard similarity of 0.8 or more."""
     ship_package(spark)
-    return simhash.keep_one_per_group(docs)
+    return simhash.keep_one_per_group(docs, percent=80)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,6 +15,9 @@ distinct fingerprints only:
 
 Every trie returns the links that connect its fingerprints (a forest), never
 all pairs of a group.
+
+Near copies that fingerprints this narrow miss can be linked as well, by the
+exact Jaccard similarity of texts' shingle sets (``jaccard_links``).
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -262,19 +265,148 @@ def fingerprint_links(prints: DataFrame, budget: int = 3, crowd: int = 1_000_000
     return sorted_tries.mapInArrow(_partition_links(budget), "a long, b long").distinct()
 
 
-def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, budget: int = 3, crowd: int = 1_000_000) -> DataFrame:
+# --- exact similarity ------------------------------------------------------------------
+
+#: Texts whose shingles are counted for the order of prefixes, and the commonest shingles that are told apart by it.
+#: Neither changes what is found, only how many texts meet in a bucket.
+ORDER_TEXTS, ORDER_SHINGLES = 5_000, 1 << 18
+
+
+#: Texts whose shingle sets a worker holds at a time.
+HELD = 256
+
+
+def shingle_set_column(text: str, print_size: int = 3, size: int = 5, seed: int = 42):
+    """A text column's fingerprint (``print``), its distinct shingle hashes in order and a hash of them all (``node``)."""
+
+    @F.pandas_udf("print long, node long, shingles array<long>")
+    def sets(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        signed = lambda values: np.array(values, dtype=np.uint64).view(np.int64)
+        for batch in batches:
+            for start in range(0, len(batch), HELD):
+                texts = [t.encode() if t is not None else None for t in batch.iloc[start : start + HELD]]
+                found = [list(shingle_hashes(t or b"", size, seed)) for t in texts]
+                found = [np.unique(np.concatenate(f).view(np.int64)) if f else np.zeros(0, np.int64) for f in found]
+                prints, nodes = [simhash(t, print_size, seed) for t in texts], [xxhash.xxh64_intdigest(f.tobytes(), seed) for f in found]
+                yield pd.DataFrame({"print": signed(prints), "node": signed(nodes), "shingles": found})
+
+    return sets.asNondeterministic()(F.col(text))
+
+
+def _prefix_column(shingles: str, common: np.ndarray, percent: int):
+    """The first shingles in one order for all texts, ``common`` last: a similar text shares one of them.
+
+    ``common`` goes from the commonest on. A pair with the similarity shares at
+    least ceil(share x n) of either's n shingles, so it shares one of the first
+    n - ceil(share x n) + 1 of both, whatever the order.
+    """
+    order = np.argsort(common)
+    known, rank = common[order], len(common) - order
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def prefixes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            for start in range(0, len(batch), HELD):
+                out = []
+                for s in batch.iloc[start : start + HELD]:
+                    s = np.asarray(s, dtype=np.int64)
+                    if len(known):
+                        at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                        s = s[np.lexsort((s, np.where(known[at] == s, rank[at], 0)))]
+                    out.append(s[: len(s) + (-len(s) * percent) // 100 + 1])
+                yield pd.Series(out, dtype=object)
+
+    return prefixes(F.col(shingles))
+
+
+def _similar(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes whose sets have at least this Jaccard similarity.
+
+    ``met`` has a row (a, b, na, nb) for each shingle that two prefixes share.
+    Of one of the two, whichever prefix ends first in the order, all shingles
+    shared up to there are among these; past it there are only those outside
+    its prefix, ceil(share x n) - 1. Pairs that cannot have enough go unread.
+    """
+    need = lambda n: F.ceil(n * percent / 100) - 1
+    pairs = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
+    most = F.col("shared") + F.greatest(need(F.col("na")), need(F.col("nb")))
+    pairs = checkpointed(pairs.filter((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))).select("a", "b"))
+    wanted = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    wanted = F.broadcast(wanted) if wanted.count() <= 1 << 20 else wanted
+    held = checkpointed(sets.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")))
+    both = pairs.join(held.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(held.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    return both.filter(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+
+
+def jaccard_links(sets: DataFrame, percent: int, linked: DataFrame, texts: int) -> DataFrame:
+    """Links (a, b) of prints that connect all texts with this Jaccard similarity of shingle sets.
+
+    ``sets``: print, node and shingles of each row; ``linked``: links of prints
+    that are known; ``texts``: about how many
+    there are. Texts meet in buckets by the
+    shingles of their prefix. In a bucket each is first held against its least
+    node; then only texts that are still in different components are held
+    against each other, so a large group of near copies costs no pairs.
+    """
+    every = max(1, texts // ORDER_TEXTS)
+    sample = sets.filter(F.pmod(F.xxhash64("node"), F.lit(every)) == 0).dropDuplicates(["node"])
+    counted = sample.select(F.explode("shingles").alias("token")).groupBy("token").count().filter("count > 1")
+    common = np.array([r.token for r in counted.orderBy(F.desc("count"), "token").limit(ORDER_SHINGLES).collect()], dtype=np.int64)
+
+    tokens = sets.select("node", F.size("shingles").alias("n"), F.explode(_prefix_column("shingles", common, percent)).alias("token"))
+    per_token = Window.partitionBy("token")
+    rows = tokens.repartition("token").dropDuplicates(["token", "node"])
+    rows = rows.withColumn("least", F.min(F.struct("node", "n")).over(per_token)).withColumn("last", F.max("node").over(per_token))
+    rows = checkpointed(rows.filter(F.col("least.node") < F.col("last")).drop("last"))
+    near = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
+
+    home = checkpointed(sets.groupBy("node").agg(F.min("print").alias("home")))
+    same = sets.select("print", "node").distinct().join(home, "node").filter("print <> home").select(F.col("print").alias("a"), F.col("home").alias("b"))
+
+    def in_prints(pairs: DataFrame) -> DataFrame:
+        a, b = (home.select(F.col("node").alias(c), F.col("home").alias(f"home_{c}")) for c in "ab")
+        return pairs.join(a, "a").join(b, "b").select(F.col("home_a").alias("a"), F.col("home_b").alias("b"))
+
+    first = rows.filter((F.col("node") > F.col("least.node")) & near(F.col("n"), F.col("least.n"))).select(F.col("least.node").alias("a"), F.col("node").alias("b"), F.col("least.n").alias("na"), F.col("n").alias("nb"))
+    found = checkpointed(same.unionByName(in_prints(_similar(first, sets, percent))))
+    parts = connected_components(linked.unionByName(found)).withColumnRenamed("node", "home")
+    part = home.join(parts, "home", "left").select("node", F.coalesce("component", "home").alias("part"))
+    rows = rows.drop("least").join(part, "node")
+    rows = rows.withColumn("low", F.min("part").over(per_token)).withColumn("high", F.max("part").over(per_token))
+    rows = checkpointed(rows.filter("low < high").select("token", "part", "node", "n"))
+    kinds = rows.select("token", "part").distinct()
+    crossed = kinds.withColumnRenamed("part", "pa").join(kinds.withColumnRenamed("part", "pb"), "token").filter("pa < pb")
+    for c in "ab":
+        crossed = crossed.join(rows.select("token", F.col("part").alias(f"p{c}"), F.col("node").alias(c), F.col("n").alias(f"n{c}")), ["token", f"p{c}"])
+    rest = _similar(crossed.filter(near(F.col("na"), F.col("nb"))), sets, percent)
+    return checkpointed(found.unionByName(in_prints(rest)))
+
+
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, budget: int = 3, crowd: int = 1_000_000, percent: int | None = None, words: int = 5) -> DataFrame:
     """One row per input row: id, ``fingerprint`` (hex) and ``component_id``.
 
+    With ``percent``, texts are linked as well whose sets of runs of ``words``
+    words have at least this Jaccard similarity.
+
     ``component_id`` is the smallest id reachable over links, the row's own
     included. Null and empty texts have fingerprint zero and are linked like
     any other; repeated rows share a fingerprint; rows with a null id take part
     but never name a component (it is null if no row of it has an id). Other
     columns are ignored; an empty table gives an empty result.
     """
-    prints = docs.select(F.col(id_col).alias("id"), fingerprint_column(text_col, size).alias("print"))
+    if percent:
+        prints = docs.select(F.col(id_col).alias("id"), shingle_set_column(text_col, size, words).alias("s")).select("id", "s.print", "s.node", "s.shingles")
+    else:
+        prints = docs.select(F.col(id_col).alias("id"), fingerprint_column(text_col, size).alias("print"))
     prints = checkpointed(prints)
     classes = checkpointed(prints.groupBy("print").agg(F.min("id").alias("first_id")))
-    links = fingerprint_links(classes.select("print"), budget, crowd, classes.count())
+    n = classes.count()
+    links = fingerprint_links(classes.select("print"), budget, crowd, n)
+    if percent:
+        links = checkpointed(links)
+        links = links.unionByName(jaccard_links(prints.drop("id"), percent, links, n))
+        prints = prints.select("id", "print")
     roots = connected_components(links)
     named = roots.join(classes, F.col("node") == F.col("print")).groupBy("component").agg(F.min("first_id").alias("least"))
     linked = roots.join(named, "component").select(F.col("node").alias("print"), "least")
@@ -296,8 +428,6 @@ def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     groups = near_duplicate_groups(docs, id_col, text_col, **options)
     kept = groups.filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
     rank = free_name(docs, "__copy")
-    from pyspark.sql import Window
-
     copies = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
     chosen = docs.join(kept, id_col, "left_semi").withColumn(rank, F.row_number().over(copies))
     chosen = chosen.filter(F.col(rank) == 1).select(*docs.columns)

@@ -126,3 +126,43 @@ def test_whole_table_against_all_pairs(spark, sf_dir):
     apart = np.bitwise_count(prints[:, None] ^ prints[None, :])
     want = components(len(got), np.argwhere(apart <= 3))
     assert [r.component_id for r in got] == [got[w].doc_id for w in want]
+
+
+def shingle_set(text: str | None, size: int = 5) -> frozenset:
+    words = (text or "").encode().lower().split()
+    return frozenset(tuple(words[i : i + size]) for i in range(len(words) - size + 1)) or frozenset([tuple(words)] if words else [])
+
+
+@pytest.mark.parametrize("order", [(20_000, 1 << 18), (3, 5)])
+def test_near_copies_by_exact_jaccard_match_brute_force(spark, monkeypatch, order):
+    """Also those further apart than three bits; groups, chains, a passage that many share, texts of few words."""
+    monkeypatch.setattr(simhash, "ORDER_TEXTS", order[0])
+    monkeypatch.setattr(simhash, "ORDER_SHINGLES", order[1])
+    rng = random.Random(4)
+    passage = [f"p{i}" for i in range(40)]
+    texts: list[str | None] = [None, "", "one two", "One TWO", "one two three"]
+    for _ in range(25):
+        words = [f"w{rng.randrange(400)}" for _ in range(rng.randrange(8, 160))] + passage * rng.randrange(2)
+        for _ in range(rng.randrange(1, 6)):
+            texts.append(" ".join(words))
+            words = list(words)
+            for _ in range(rng.randrange(1, 4)):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+    rng.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.component_id for r in simhash.near_duplicate_groups(docs, percent=80).orderBy("doc_id").collect()]
+    sets = [shingle_set(t) for t in texts]
+    prints = [plain_simhash(t) for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i)]
+    narrow = [(i, j) for i, j in pairs if (prints[i] ^ prints[j]).bit_count() <= 3]
+    alike = [(i, j) for i, j in pairs if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])]
+    want = components(len(texts), narrow + alike)
+    assert want != components(len(texts), narrow)
+    assert got == want
+
+
+def test_texts_of_one_shingle_set_and_an_empty_table(spark):
+    a = " ".join(["a b c d e f g h i j k l m n o p"] * 2)
+    docs = spark.createDataFrame([(1, a), (2, a + " a b c d e f g"), (3, "other")], "doc_id long, text string")
+    assert [r.component_id for r in simhash.near_duplicate_groups(docs, percent=80).orderBy("doc_id").collect()] == [1, 1, 3]
+    assert simhash.keep_one_per_group(docs.limit(0), percent=80).count() == 0
