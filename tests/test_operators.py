@@ -154,3 +154,20 @@ def test_context_is_clamped(spark):
     df = table(spark, [("s", i, i / 4.0, 1 if i == 2 else 0) for i in range(30)], "subject string, pos long, t double, y int")
     out = windows.context(df, ["subject"], F.col("y") == 1, 5, time="t").orderBy("pos").collect()
     assert [r.pos for r in out] == list(range(7)) and out[0].rel_time == 0.0 and math.isclose(out[-1].rel_time, 1.5)
+
+
+def test_training_queries_take_every_subject_and_row(spark, monkeypatch):
+    from stridelab.plans import signals
+
+    folds, taken = [], []
+    prepared, adasyn = training.prepared, models.adasyn
+    monkeypatch.setattr(training, "prepared", lambda train, test, columns, subject: folds.extend(r[0] for r in test.select(subject).distinct().collect()) or prepared(train.limit(0), test, columns, subject))
+    monkeypatch.setattr(models, "adasyn", lambda rows, *a: taken.append(rows) or adasyn(rows, *a))
+    monkeypatch.setattr(signals.evaluation, "pooled", lambda *a: None)
+    sf = "/root/testdata/sf0.001"
+    signals.loso_training(spark, sf)
+    assert sorted(folds) == list(range(7))
+    signals.adasyn_rows(spark, sf)
+    counts = {r.y: r["count"] for r in taken[0].groupBy("y").count().collect()}
+    assert sum(counts.values()) == spark.read.parquet(f"{sf}/embeddings.parquet").count()
+    assert 0 < counts[1] < 0.8 * counts[0]
