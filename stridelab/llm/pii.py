@@ -13,8 +13,11 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
+from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -108,7 +111,7 @@ def _span_features(kind: int, s: str, before: str, after: str) -> tuple[int, ...
     elif kind == 1:
         groups = re.split(r"[.:]", s)
         v4 = "." in s
-        names = ["four_octets" if v4 and len(groups) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in groups) else "six" if not v4 and len(groups) > 5 else "odd"]
+        names = ["four_octets" if v4 and len(groups) == 4 and all(g.isdigit() and len(g) <= 3 and int(g) <= 255 for g in groups) else "six" if not v4 and len(groups) > 5 else "odd"]
         names += ["dot_beside"] * (before == "." or (after == ".")) + ["version"] * (v4 and all(len(g) == 1 for g in groups))
     else:
         d = _digits(s)
@@ -124,55 +127,62 @@ def _span_features(kind: int, s: str, before: str, after: str) -> tuple[int, ...
     return _ids(kind, names)
 
 
-def _lattice(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int, int, tuple[int, ...]]]]:
-    """Atoms of an island, and its segments: (first atom, end atom, kind or -1, features)."""
-    atoms = [(m.start(), m.end()) for m in _ATOM.finditer(text)]
-    segments: list[tuple[int, int, int, tuple[int, ...]]] = []
-    n = len(atoms)
-    for i, (start, end) in enumerate(atoms):
+def _segments(text: str) -> Iterator[tuple[int, int, int, tuple[int, ...]]]:
+    """Segments of an island, by first atom: (first atom, end atom, kind or -1, features).
+
+    Only the next ``LONGEST`` atoms are held.
+    """
+    found = _ATOM.finditer(text)
+    ahead: deque[tuple[int, int]] = deque((m.start(), m.end()) for m in islice(found, LONGEST))
+    i = 0
+    while ahead:
+        start = ahead[0][0]
         first = text[start]
-        segments.append((i, i + 1, -1, _ids(-1, ["digits" if first.isdigit() else "at" if first == "@" else "letters" if first.isalpha() else "mark"])))
-        if not (first.isalnum() or first in "+(:._%-"):
-            continue
-        before = text[start - 1] if start else ""
-        at = dots = colons = digits = 0
-        numeric, hexadecimal, local = first != ":", True, True
-        for j in range(i, min(n, i + LONGEST)):
-            s, e = atoms[j]
-            c = text[s]
-            if c.isspace() and c != " ":
-                break
-            if c == "@":
-                at += 1
-            elif c == ".":
-                dots += 1
-            elif c == ":":
-                colons += 1
-            if "0" <= c <= "9":
-                digits += e - s
-            numeric = numeric and ("0" <= c <= "9" or c in " ().-" or c == "+" and j == i)
-            hexadecimal = hexadecimal and (c == ":" or (e - s <= 4 and all(x in "0123456789abcdefABCDEF" for x in text[s:e])) or c.isdigit())
-            local = local and (c.isalnum() or c in "@._%+-")
-            if not (local or numeric or hexadecimal and colons) or at > 1:
-                break
-            after = text[e] if e < len(text) else ""
-            ends_well = c.isalnum()
-            if not ends_well:
-                continue
-            span = text[start:e]
-            if local and at == 1 and j > i and first != "." and text[start] != "@" and "@" not in (c,):
-                segments.append((i, j + 1, 0, _span_features(0, span, before, after)))
-            if numeric and dots == 3 and first.isdigit() and len(span) - digits == 3:
-                segments.append((i, j + 1, 1, _span_features(1, span, before, after)))
-            if hexadecimal and colons >= 5:
-                segments.append((i, j + 1, 1, _span_features(1, span, before, after)))
-            if numeric and 13 <= digits <= 19 and first.isdigit() and not set(span) & set("()+"):
-                segments.append((i, j + 1, 2, _span_features(2, span, before, after)))
-            if numeric and 7 <= digits <= 15 and (first.isdigit() or first in "+("):
-                segments.append((i, j + 1, 3, _span_features(3, span, before, after)))
-            if digits > 24:
-                break
-    return atoms, segments
+        yield i, i + 1, -1, _ids(-1, ["digits" if first.isdigit() else "at" if first == "@" else "letters" if first.isalpha() else "mark"])
+        if first.isalnum() or first in "+(:._%-":
+            before = text[start - 1] if start else ""
+            at = dots = colons = digits = 0
+            numeric, hexadecimal, local = first != ":", True, True
+            for j, (s, e) in enumerate(ahead, i):
+                c = text[s]
+                if c.isspace() and c != " ":
+                    break
+                if c == "@":
+                    at += 1
+                elif c == ".":
+                    dots += 1
+                elif c == ":":
+                    colons += 1
+                if "0" <= c <= "9":
+                    digits += e - s
+                numeric = numeric and ("0" <= c <= "9" or c in " ().-" or c == "+" and j == i)
+                hexadecimal = hexadecimal and (c == ":" or (e - s <= 4 and all(x in "0123456789abcdefABCDEF" for x in text[s:e])) or c.isdigit())
+                local = local and (c.isalnum() or c in "@._%+-")
+                if not (local or numeric or hexadecimal and colons) or at > 1:
+                    break
+                if c.isalnum():
+                    after = text[e] if e < len(text) else ""
+                    span = text[start:e]
+                    if local and at == 1 and j > i and first != "." and first != "@":
+                        yield i, j + 1, 0, _span_features(0, span, before, after)
+                    if numeric and dots == 3 and first.isdigit() and len(span) - digits == 3:
+                        yield i, j + 1, 1, _span_features(1, span, before, after)
+                    if hexadecimal and colons >= 5:
+                        yield i, j + 1, 1, _span_features(1, span, before, after)
+                    if numeric and 13 <= digits <= 19 and first.isdigit() and not set(span) & set("()+"):
+                        yield i, j + 1, 2, _span_features(2, span, before, after)
+                    if numeric and 7 <= digits <= 15 and (first.isdigit() or first in "+("):
+                        yield i, j + 1, 3, _span_features(3, span, before, after)
+                if digits > 24:
+                    break
+        ahead.popleft()
+        ahead.extend((m.start(), m.end()) for m in islice(found, 1))
+        i += 1
+
+
+def _lattice(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int, int, tuple[int, ...]]]]:
+    """Atoms of a (short) island, and its segments: (first atom, end atom, kind or -1, features)."""
+    return [(m.start(), m.end()) for m in _ATOM.finditer(text)], list(_segments(text))
 
 
 # --- learning and decoding -------------------------------------------------------------
@@ -289,28 +299,42 @@ class Field:
         return tuple(self._decode(text))
 
     def decode(self, text: str):
+        """(kind, start, end) on the best path of an island."""
         return self._decode_short(text) if len(text) <= 200 else self._decode(text)
 
     def _decode(self, text: str) -> list[tuple[int, int, int]]:
-        """(kind, start, end) on the best path of an island."""
+        """The best path of an island of any length.
+
+        Scores are held for the atoms a segment reaches; of every atom, one
+        byte tells by which segment (atoms and kind) its best path came.
+        """
         if "table" not in self.__dict__:
             self.table = self._weight()
-        atoms, segments = _lattice(text)
-        best = [float("-inf")] * (len(atoms) + 1)
-        best[0] = 0.0
-        back: list[tuple[int, int]] = [(0, -1)] * (len(atoms) + 1)
         table = self.table
-        for a, b, kind, f in segments:
+        best, came, done = {0: 0.0}, bytearray(1), 0
+        for a, b, kind, f in _segments(text):
+            if a > done:
+                del best[done]
+                done = a
             score = best[a] + sum(table.get(i, 0.0) for i in f)
-            if score > best[b]:
-                best[b], back[b] = score, (a, kind)
-        out, at = [], len(atoms)
+            while b >= len(came):
+                came.append(0)
+            if score > best.get(b, float("-inf")):
+                best[b], came[b] = score, (b - a) * 8 + kind + 1
+        spans, at = [], len(came) - 1
         while at:
-            a, kind = back[at]
+            atoms, kind = came[at] >> 3, (came[at] & 7) - 1
             if kind >= 0:
-                out.append((kind, atoms[a][0], atoms[at - 1][1]))
-            at = a
-        return out[::-1]
+                spans.append((kind, at - atoms, at))
+            at -= atoms
+        out: list[tuple[int, int, int]] = []
+        start = 0
+        for i, m in enumerate(_ATOM.finditer(text) if spans else ()):
+            if spans and i == spans[-1][1]:
+                start = m.start()
+            if spans and i + 1 == spans[-1][2]:
+                out.append((spans.pop()[0], start, m.end()))
+        return out
 
     def __getstate__(self):
         return {"by_name": self.by_name}
@@ -349,8 +373,6 @@ def spans(text: str | None, field: Field) -> list[tuple[int, int, int, bool]]:
     reach = []  # of the spans that start so far, the furthest end
     for _, e in taken:
         reach.append(max(e, reach[-1] if reach else 0))
-    from bisect import bisect_left
-
     for a, b in islands(text):
         if b - a < 5:
             continue

@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import tracemalloc
 
 import pytest
 from pyspark.sql import Row
@@ -58,6 +59,36 @@ def test_field_adds_what_the_rules_miss(field):
         assert found(text) == []
 
 
+def test_any_marks_side_by_side(field):
+    """Dots, digits and marks in any order: no failure, and the base spans stay."""
+    rng = random.Random(8)
+    texts = ["1...5", "10..20.5", "1..2.3", "::1::2:3:", "1.2.3.", ".1.2.3.4", "²..³.5"]
+    texts += ["".join(rng.choice("012 ..:@-+()a²") for _ in range(rng.randint(1, 60))) for _ in range(4000)]
+    for text in texts:
+        assert [s[:3] for s in pii.spans(text, field) if s[3]] == plain_spans(text)
+
+
+def test_long_islands_are_decoded_whole_in_little_memory(field):
+    rng = random.Random(3)
+    text = " ".join(pii._island(rng)[0] for _ in range(400))
+    atoms, segments = pii._lattice(text)
+    best, back = {0: 0.0}, {}
+    for a, b, kind, f in segments:
+        score = best[a] + sum(field.table.get(i, 0.0) for i in f)
+        if score > best.get(b, float("-inf")):
+            best[b], back[b] = score, (a, kind)
+    want, at = [], len(atoms)
+    while at:
+        a, kind = back[at]
+        want += [(kind, atoms[a][0], atoms[at - 1][1])] * (kind >= 0)
+        at = a
+    assert field._decode(text) == want[::-1] and len(want) > 200
+    tracemalloc.start()
+    field._decode("1 " * 10_000)
+    assert tracemalloc.get_traced_memory()[1] < 1_000_000
+    tracemalloc.stop()
+
+
 def test_best_path_beats_every_other_path(field):
     """Dynamic programming against all segmentations of a short island."""
     text = "+44 20 7946 0958 x"
