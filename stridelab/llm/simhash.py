@@ -10,8 +10,7 @@ distinct fingerprints only:
 2. in each trie, pairs of nodes are walked down together, differing bits are
    added up, and a pair is dropped once it is over the budget;
 3. a root that still holds more fingerprints than one task should take is
-   re-rooted on blocks of its remaining bits (the same argument again), so no
-   root has to fit a task because of its size.
+   re-rooted on blocks of its remaining bits (the same argument again).
 
 Every trie returns the links that connect its fingerprints (a forest), never
 all pairs of a group.
@@ -29,7 +28,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -225,11 +224,13 @@ def _root_bits(value, blocks: tuple[tuple[int, int], ...]):
     return packed
 
 
-def fingerprint_links(prints: DataFrame, budget: int = 3, crowd: int = 1_000_000, expected: int | None = None) -> DataFrame:
+def fingerprint_links(prints: DataFrame, budget: int = 3, crowd: int = 1_000_000, expected: int | None = None, levels: int = 2) -> DataFrame:
     """Links (a, b) that connect all fingerprints within ``budget`` bits.
 
     ``prints`` has one long column of distinct fingerprints. ``crowd`` is the
-    number of fingerprints beyond which a root is re-rooted. ``expected`` (the
+    number of fingerprints beyond which a root is re-rooted, up to ``levels``
+    times (each narrows a root's values by 9 bits or more; a task holds three
+    longs for each value of a root, whatever their number). ``expected`` (the
     number of fingerprints) sets how many block bits a root has: from 2**26
     fingerprints on, two blocks of a finer split.
     """
@@ -240,27 +241,30 @@ def fingerprint_links(prints: DataFrame, budget: int = 3, crowd: int = 1_000_000
         value.alias("value"),
         F.explode(F.array(*(F.struct(F.lit(k).cast("long").alias("trie"), _root_bits(value, c).alias("root")) for k, c in enumerate(choices)))).alias("r"),
     ).select("r.trie", "r.root", "value")
-    crowded = rooted.groupBy("trie", "root").count().filter(F.col("count") > crowd).select("trie", "root")
-    crowded = checkpointed(crowded)
-    if not crowded.isEmpty():
-        marked = rooted.join(crowded.withColumn("again", F.lit(True)), ["trie", "root"], "left")
-        finer = []
-        for k, chosen in enumerate(choices):
-            held = {bit for start, width in chosen for bit in range(start, start + width)}
-            free = [bit for bit in range(WIDTH) if bit not in held]
-            for m, (start, width) in enumerate(_blocks(0, len(free), budget + 1)):
-                own = tuple((bit, 1) for bit in free[start : start + width])
-                finer.append((k, len(choices) + k * (budget + 1) + m, own))
+    # The bits that a trie's root holds already; more are added for as long as roots are crowded.
+    held = {k: frozenset(bit for start, width in chosen for bit in range(start, start + width)) for k, chosen in enumerate(choices)}
+    cut = set(held)
+    for _ in range(levels):
+        sizes = rooted.filter(F.col("trie").isin(sorted(cut))).groupBy("trie", "root").count()
+        crowded = checkpointed(sizes.filter(F.col("count") > crowd).select("trie", "root"))
+        tries = {r.trie for r in crowded.select("trie").distinct().collect()}
+        tries = {t for t in tries if WIDTH - len(held[t]) > budget}
+        if not tries:
+            break
+        marked = rooted.join(crowded.filter(F.col("trie").isin(sorted(tries))).withColumn("again", F.lit(True)), ["trie", "root"], "left")
+        finer, cut = [], set()
+        for k in sorted(tries):
+            free = [bit for bit in range(WIDTH) if bit not in held[k]]
+            for start, width in _blocks(0, len(free), budget + 1):
+                t, own = len(held), free[start : start + width]
+                held[t] = held[k] | set(own)
+                cut.add(t)
+                finer.append((k, t, tuple((bit, 1) for bit in own)))
         value = F.col("value")
-        again = F.explode(
-            F.filter(
-                F.array(*(F.when(F.col("trie") == k, F.struct(F.lit(t).cast("long").alias("trie"), F.col("root").alias("root"), _root_bits(value, own).alias("sub"))) for k, t, own in finer)),
-                lambda r: r.isNotNull(),
-            )
-        )
-        split = marked.filter(F.col("again")).select("value", again.alias("r"))
-        split = split.select(F.col("r.trie").alias("trie"), F.xxhash64("r.root", "r.sub").alias("root"), "value")
-        rooted = marked.filter(F.col("again").isNull()).select("trie", "root", "value").unionByName(split)
+        subs = F.array(*(F.when(F.col("trie") == k, F.struct(F.lit(t).cast("long").alias("trie"), _root_bits(value, own).alias("sub"))) for k, t, own in finer))
+        split = marked.filter(F.col("again")).select("value", "root", F.explode(F.filter(subs, lambda r: r.isNotNull())).alias("r"))
+        split = split.select(F.col("r.trie").alias("trie"), F.xxhash64("root", "r.sub").alias("root"), "value")
+        rooted = checkpointed(marked.filter(F.col("again").isNull()).select("trie", "root", "value").unionByName(split))
     sorted_tries = rooted.repartition("trie", "root").sortWithinPartitions("trie", "root")
     return sorted_tries.mapInArrow(_partition_links(budget), "a long, b long").distinct()
 
@@ -271,118 +275,156 @@ def fingerprint_links(prints: DataFrame, budget: int = 3, crowd: int = 1_000_000
 #: Neither changes what is found, only how many texts meet in a bucket.
 ORDER_TEXTS, ORDER_SHINGLES = 5_000, 1 << 18
 
-
 #: Texts whose shingle sets a worker holds at a time.
 HELD = 256
+#: Rows (two longs each) up to which a table is sent to every task; it is counted first.
+BROADCAST_ROWS = 1 << 20
 
 
-def shingle_set_column(text: str, print_size: int = 3, size: int = 5, seed: int = 42):
-    """A text column's fingerprint (``print``), its distinct shingle hashes in order and a hash of them all (``node``)."""
+def _shingle_set(text: str | None, size: int, seed: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, in order."""
+    found = list(shingle_hashes(text.encode() if text is not None else b"", size, seed))
+    return np.unique(np.concatenate(found).view(np.int64)) if found else np.zeros(0, np.int64)
 
-    @F.pandas_udf("print long, node long, shingles array<long>")
-    def sets(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        signed = lambda values: np.array(values, dtype=np.uint64).view(np.int64)
+
+def shingle_set_column(text: Column, size: int = 5, seed: int = 42) -> Column:
+    """The distinct shingle hashes of each text, in order."""
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def sets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             for start in range(0, len(batch), HELD):
-                texts = [t.encode() if t is not None else None for t in batch.iloc[start : start + HELD]]
-                found = [list(shingle_hashes(t or b"", size, seed)) for t in texts]
-                found = [np.unique(np.concatenate(f).view(np.int64)) if f else np.zeros(0, np.int64) for f in found]
-                prints, nodes = [simhash(t, print_size, seed) for t in texts], [xxhash.xxh64_intdigest(f.tobytes(), seed) for f in found]
-                yield pd.DataFrame({"print": signed(prints), "node": signed(nodes), "shingles": found})
+                yield pd.Series([_shingle_set(t, size, seed) for t in batch.iloc[start : start + HELD]], dtype=object)
 
-    return sets.asNondeterministic()(F.col(text))
+    return sets.asNondeterministic()(text)
 
 
-def _prefix_column(shingles: str, common: np.ndarray, percent: int):
-    """The first shingles in one order for all texts, ``common`` last: a similar text shares one of them.
+def signature_column(text: Column, common: np.ndarray, percent: int, print_size: int = 3, size: int = 5, seed: int = 42) -> Column:
+    """Of each text: its fingerprint (``print``), a hash of its set of shingles (``node``), the set's size and its prefix.
 
-    ``common`` goes from the commonest on. A pair with the similarity shares at
-    least ceil(share x n) of either's n shingles, so it shares one of the first
-    n - ceil(share x n) + 1 of both, whatever the order.
+    The prefix holds the first shingles in one order for all texts, ``common``
+    (which goes from the commonest on) last. A pair with the similarity shares
+    at least ceil(share x n) of either's n shingles, so it shares one of the
+    first n - ceil(share x n) + 1 of both, whatever the order.
     """
     order = np.argsort(common)
     known, rank = common[order], len(common) - order
 
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def prefixes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("print long, node long, n int, prefix array<long>")
+    def signatures(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        signed = lambda values: np.array(values, dtype=np.uint64).view(np.int64)
         for batch in batches:
             for start in range(0, len(batch), HELD):
-                out = []
-                for s in batch.iloc[start : start + HELD]:
-                    s = np.asarray(s, dtype=np.int64)
+                texts = list(batch.iloc[start : start + HELD])
+                sizes, nodes, prefixes = [], [], []
+                for t in texts:
+                    s = _shingle_set(t, size, seed)
+                    sizes.append(len(s))
+                    nodes.append(xxhash.xxh64_intdigest(s.tobytes(), seed))
                     if len(known):
                         at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                         s = s[np.lexsort((s, np.where(known[at] == s, rank[at], 0)))]
-                    out.append(s[: len(s) + (-len(s) * percent) // 100 + 1])
-                yield pd.Series(out, dtype=object)
+                    prefixes.append(s[: len(s) + (-len(s) * percent) // 100 + 1])
+                prints = [simhash(t.encode() if t is not None else None, print_size, seed) for t in texts]
+                yield pd.DataFrame({"print": signed(prints), "node": signed(nodes), "n": sizes, "prefix": prefixes})
+
+    return signatures.asNondeterministic()(text)
+
 
-    return prefixes(F.col(shingles))
+def common_shingles(texts: DataFrame, size: int, seed: int = 42) -> np.ndarray:
+    """The commonest shingles of a sample of ``texts`` (one column, mark and text), from the commonest on."""
+    every = max(1, texts.count() // ORDER_TEXTS)
+    sample = texts.filter(F.pmod(F.col("mark"), F.lit(every)) == 0).dropDuplicates(["mark"])
+    counted = sample.select(F.explode(shingle_set_column(F.col("text"), size, seed)).alias("token")).groupBy("token").count().filter("count > 1")
+    return np.array([r.token for r in counted.orderBy(F.desc("count"), "token").limit(ORDER_SHINGLES).collect()], dtype=np.int64)
 
 
-def _similar(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _similar(met: DataFrame, marks: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
     """Pairs (a, b) of nodes whose sets have at least this Jaccard similarity.
 
-    ``met`` has a row (a, b, na, nb) for each shingle that two prefixes share.
+    ``met`` has a row (a, b, na, nb) for each shingle that two prefixes share;
+    ``marks`` a text's mark for each node.
     Of one of the two, whichever prefix ends first in the order, all shingles
     shared up to there are among these; past it there are only those outside
-    its prefix, ceil(share x n) - 1. Pairs that cannot have enough go unread.
+    its prefix, ceil(share x n) - 1. Pairs that cannot have enough go unread;
+    of the others one text each is read again.
     """
     need = lambda n: F.ceil(n * percent / 100) - 1
     pairs = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
     most = F.col("shared") + F.greatest(need(F.col("na")), need(F.col("nb")))
     pairs = checkpointed(pairs.filter((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))).select("a", "b"))
-    wanted = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    wanted = F.broadcast(wanted) if wanted.count() <= 1 << 20 else wanted
-    held = checkpointed(sets.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    marks = checkpointed(marks.join(wanted, "node").select("node", "mark"))
+    few = F.broadcast(marks) if marks.count() <= BROADCAST_ROWS else marks
+    one = texts.join(few, "mark").groupBy("node").agg(F.first("text").alias("text"))
+    held = checkpointed(one.select("node", shingle_set_column(F.col("text"), words).alias("shingles")))
     both = pairs.join(held.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(held.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.filter(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
-def jaccard_links(sets: DataFrame, percent: int, linked: DataFrame, texts: int) -> DataFrame:
+def jaccard_links(rows: DataFrame, prefixes: DataFrame, texts: DataFrame, percent: int, words: int, linked: DataFrame) -> DataFrame:
     """Links (a, b) of prints that connect all texts with this Jaccard similarity of shingle sets.
 
-    ``sets``: print, node and shingles of each row; ``linked``: links of prints
-    that are known; ``texts``: about how many
-    there are. Texts meet in buckets by the
-    shingles of their prefix. In a bucket each is first held against its least
-    node; then only texts that are still in different components are held
-    against each other, so a large group of near copies costs no pairs.
+    ``rows``: print, node and mark of each row; ``prefixes``: node, n and
+    prefix; ``texts``: mark and text; ``linked``: links of prints that are
+    known. Texts meet in buckets by the shingles of their prefix. In a bucket
+    each is first held against its least node; then only texts that are still
+    in different components are held against each other, so a large group of
+    near copies costs no pairs.
     """
-    every = max(1, texts // ORDER_TEXTS)
-    sample = sets.filter(F.pmod(F.xxhash64("node"), F.lit(every)) == 0).dropDuplicates(["node"])
-    counted = sample.select(F.explode("shingles").alias("token")).groupBy("token").count().filter("count > 1")
-    common = np.array([r.token for r in counted.orderBy(F.desc("count"), "token").limit(ORDER_SHINGLES).collect()], dtype=np.int64)
-
-    tokens = sets.select("node", F.size("shingles").alias("n"), F.explode(_prefix_column("shingles", common, percent)).alias("token"))
+    tokens = prefixes.select("node", "n", F.explode("prefix").alias("token"))
     per_token = Window.partitionBy("token")
-    rows = tokens.repartition("token").dropDuplicates(["token", "node"])
-    rows = rows.withColumn("least", F.min(F.struct("node", "n")).over(per_token)).withColumn("last", F.max("node").over(per_token))
-    rows = checkpointed(rows.filter(F.col("least.node") < F.col("last")).drop("last"))
+    met = tokens.repartition("token").dropDuplicates(["token", "node"])
+    met = met.withColumn("least", F.min(F.struct("node", "n")).over(per_token)).withColumn("last", F.max("node").over(per_token))
+    met = checkpointed(met.filter(F.col("least.node") < F.col("last")).drop("last"))
     near = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
-    home = checkpointed(sets.groupBy("node").agg(F.min("print").alias("home")))
-    same = sets.select("print", "node").distinct().join(home, "node").filter("print <> home").select(F.col("print").alias("a"), F.col("home").alias("b"))
+    home = checkpointed(rows.groupBy("node").agg(F.min("print").alias("home"), F.min("mark").alias("mark")))
+    same = rows.select("print", "node").distinct().join(home.drop("mark"), "node").filter("print <> home").select(F.col("print").alias("a"), F.col("home").alias("b"))
 
     def in_prints(pairs: DataFrame) -> DataFrame:
         a, b = (home.select(F.col("node").alias(c), F.col("home").alias(f"home_{c}")) for c in "ab")
         return pairs.join(a, "a").join(b, "b").select(F.col("home_a").alias("a"), F.col("home_b").alias("b"))
 
-    first = rows.filter((F.col("node") > F.col("least.node")) & near(F.col("n"), F.col("least.n"))).select(F.col("least.node").alias("a"), F.col("node").alias("b"), F.col("least.n").alias("na"), F.col("n").alias("nb"))
-    found = checkpointed(same.unionByName(in_prints(_similar(first, sets, percent))))
+    first = met.filter((F.col("node") > F.col("least.node")) & near(F.col("n"), F.col("least.n"))).select(F.col("least.node").alias("a"), F.col("node").alias("b"), F.col("least.n").alias("na"), F.col("n").alias("nb"))
+    found = checkpointed(same.unionByName(in_prints(_similar(first, home, texts, percent, words))))
     parts = connected_components(linked.unionByName(found)).withColumnRenamed("node", "home")
-    part = home.join(parts, "home", "left").select("node", F.coalesce("component", "home").alias("part"))
-    rows = rows.drop("least").join(part, "node")
-    rows = rows.withColumn("low", F.min("part").over(per_token)).withColumn("high", F.max("part").over(per_token))
-    rows = checkpointed(rows.filter("low < high").select("token", "part", "node", "n"))
-    kinds = rows.select("token", "part").distinct()
+    part = home.drop("mark").join(parts, "home", "left").select("node", F.coalesce("component", "home").alias("part"))
+    met = met.drop("least").join(part, "node")
+    met = met.withColumn("low", F.min("part").over(per_token)).withColumn("high", F.max("part").over(per_token))
+    met = checkpointed(met.filter("low < high").select("token", "part", "node", "n"))
+    kinds = met.select("token", "part").distinct()
     crossed = kinds.withColumnRenamed("part", "pa").join(kinds.withColumnRenamed("part", "pb"), "token").filter("pa < pb")
     for c in "ab":
-        crossed = crossed.join(rows.select("token", F.col("part").alias(f"p{c}"), F.col("node").alias(c), F.col("n").alias(f"n{c}")), ["token", f"p{c}"])
-    rest = _similar(crossed.filter(near(F.col("na"), F.col("nb"))), sets, percent)
+        crossed = crossed.join(met.select("token", F.col("part").alias(f"p{c}"), F.col("node").alias(c), F.col("n").alias(f"n{c}")), ["token", f"p{c}"])
+    rest = _similar(crossed.filter(near(F.col("na"), F.col("nb"))), home, texts, percent, words)
     return checkpointed(found.unionByName(in_prints(rest)))
 
 
+def _classes(docs: DataFrame, id_col: str, text_col: str, size: int, budget: int, crowd: int, percent: int | None, words: int) -> tuple[DataFrame, DataFrame]:
+    """The rows (id, mark: a hash of the text, print), and of each print its component's least id and least print."""
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
+    if percent:
+        common = common_shingles(texts.select("mark", "text"), words)
+        rows = texts.select("id", "mark", signature_column(F.col("text"), common, percent, size, words).alias("s")).select("id", "mark", "s.*")
+    else:
+        rows = texts.select("id", "mark", fingerprint_column("text", size).alias("print"))
+    rows = checkpointed(rows)
+    classes = checkpointed(rows.groupBy("print").agg(F.min("id").alias("first_id")))
+    links = fingerprint_links(classes.select("print"), budget, crowd, classes.count())
+    if percent:
+        links = checkpointed(links)
+        more = jaccard_links(rows.select("print", "node", "mark"), rows.select("node", "n", "prefix"), texts.select("mark", "text"), percent, words, links)
+        links = links.unionByName(more)
+    roots = connected_components(links)
+    named = roots.join(classes, F.col("node") == F.col("print")).groupBy("component").agg(F.min("first_id").alias("least"))
+    linked = roots.join(named, "component").select(F.col("node").alias("print"), "least", F.col("component").alias("class"))
+    # Written, so that joins with it read both sides by plain exchanges and a fingerprint of very many rows can be split.
+    labels = checkpointed(classes.join(linked, "print", "left").select("print", F.coalesce("least", "first_id").alias("component_id"), F.coalesce("class", "print").alias("class")))
+    return rows.select("id", "mark", "print"), labels
+
+
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, budget: int = 3, crowd: int = 1_000_000, percent: int | None = None, words: int = 5) -> DataFrame:
     """One row per input row: id, ``fingerprint`` (hex) and ``component_id``.
 
@@ -395,40 +437,37 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     but never name a component (it is null if no row of it has an id). Other
     columns are ignored; an empty table gives an empty result.
     """
-    if percent:
-        prints = docs.select(F.col(id_col).alias("id"), shingle_set_column(text_col, size, words).alias("s")).select("id", "s.print", "s.node", "s.shingles")
-    else:
-        prints = docs.select(F.col(id_col).alias("id"), fingerprint_column(text_col, size).alias("print"))
-    prints = checkpointed(prints)
-    classes = checkpointed(prints.groupBy("print").agg(F.min("id").alias("first_id")))
-    n = classes.count()
-    links = fingerprint_links(classes.select("print"), budget, crowd, n)
-    if percent:
-        links = checkpointed(links)
-        links = links.unionByName(jaccard_links(prints.drop("id"), percent, links, n))
-        prints = prints.select("id", "print")
-    roots = connected_components(links)
-    named = roots.join(classes, F.col("node") == F.col("print")).groupBy("component").agg(F.min("first_id").alias("least"))
-    linked = roots.join(named, "component").select(F.col("node").alias("print"), "least")
-    # Written, so that the join below reads both sides by plain exchanges and a fingerprint of very many rows can be split.
-    labels = checkpointed(classes.join(linked, "print", "left").select("print", F.coalesce("least", "first_id").alias("component_id")))
-    return prints.join(labels, "print").select(
+    rows, labels = _classes(docs, id_col, text_col, size, budget, crowd, percent, words)
+    return rows.join(labels, "print").select(
         F.col("id").alias(id_col),
         F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"),
         "component_id",
     )
 
 
-def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` without near copies: of each group the smallest id stays.
+def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, budget: int = 3, crowd: int = 1_000_000, percent: int | None = None, words: int = 5) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each group exactly one row stays.
 
-    Of rows that repeat that id, one stays (least text hash). Rows with a null
-    id cannot be told apart by id and all stay.
+    It is the one with the smallest id (a null id comes last), of rows that
+    share it the one with the least text hash. An id may repeat: its rows are
+    told apart by their texts, and each counts in its own text's group. Whole
+    rows are moved only where rows repeat or more go than can be sent to every
+    task.
     """
-    groups = near_duplicate_groups(docs, id_col, text_col, **options)
-    kept = groups.filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    rank = free_name(docs, "__copy")
-    copies = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
-    chosen = docs.join(kept, id_col, "left_semi").withColumn(rank, F.row_number().over(copies))
-    chosen = chosen.filter(F.col(rank) == 1).select(*docs.columns)
-    return chosen.unionByName(docs.filter(F.col(id_col).isNull()))
+    found, labels = _classes(docs, id_col, text_col, size, budget, crowd, percent, words)
+    rows = found.groupBy("id", "mark", "print").agg(F.count("*").alias("times"))
+    by_print = rows.groupBy("print").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("first"))
+    kept = by_print.join(labels, "print").groupBy("class").agg(F.min("first").alias("first"))
+    kept = kept.select(F.col("first.id").alias("kid"), F.col("first.mark").alias("kmark"))
+    judged = rows.join(kept, F.col("id").eqNullSafe(F.col("kid")) & (F.col("mark") == F.col("kmark")), "left")
+    # What goes, and what stays of rows that repeat; all other rows pass untouched.
+    moved = checkpointed(judged.filter(F.col("kmark").isNull() | (F.col("times") > 1)).select("id", "mark", F.col("kmark").isNotNull().alias("stays")))
+    few = F.broadcast(moved) if moved.count() <= BROADCAST_ROWS else moved
+    key, mark, stays = (free_name(docs, n) for n in ("__id", "__mark", "__stays"))
+    few = few.select(F.col("id").alias(key), F.col("mark").alias(mark), F.col("stays").alias(stays))
+    joined = docs.join(few, docs[id_col].eqNullSafe(F.col(key)) & (F.xxhash64(docs[text_col]) == F.col(mark)), "left")
+    rest = joined.filter(F.col(mark).isNull()).select(*docs.columns)
+    if moved.filter("stays").isEmpty():
+        return rest
+    once = joined.filter(F.col(stays)).dropDuplicates([id_col, mark]).select(*docs.columns)
+    return rest.unionByName(once)

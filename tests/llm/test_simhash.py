@@ -111,6 +111,17 @@ def test_groups_match_brute_force_with_nulls_repeats_and_clashing_columns(spark)
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 3), (False, 5), (False, 8), (True, 0)]
 
 
+@pytest.mark.parametrize("few", [1 << 20, 0])
+@pytest.mark.parametrize("percent", [None, 80])
+def test_one_row_of_each_group_stays_where_ids_repeat(spark, monkeypatch, few, percent):
+    """Rows of one id count in their own texts' groups; rows without an id, too."""
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", few)
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(3, a), (5, a), (5, b), (5, b), (7, b), (None, c), (None, c), (None, a), (9, None), (9, None)]
+    kept = simhash.keep_one_per_group(spark.createDataFrame(rows, "doc_id long, text string"), percent=percent).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(3, a), (5, b), (None, c), (9, None)], key=str)
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicate_groups(empty).count() == 0
