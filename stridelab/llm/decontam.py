@@ -11,8 +11,10 @@ Texts and items are compared lower-cased with runs of white space as one space.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -20,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import checkpointed, free_name
+
 #: Code points of normalised text that are indexed at a time.
 PIECE = 1 << 20
 #: Code points of benchmark items that one pass over the documents looks for.
@@ -59,79 +63,106 @@ def _grams(points: np.ndarray, q: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Bounds:
+    """``q``: the longest grams; ``error_rate``: edits for each code point of an item."""
+
     q: int = 8
     error_rate: float = 0.1
 
     def edits(self, length: int) -> int:
-        """The edit budget: the rate's share, less where the lemma would ask for no q-gram."""
-        return min(int(self.error_rate * length), length // self.q - 1)
+        return int(self.error_rate * length + 1e-9)
+
+    def gram(self, length: int) -> int:
+        """The grams of an item: the longest up to ``q`` of which the lemma asks for one at least; all of it where nothing may be edited."""
+        edits = self.edits(length)
+        return min(self.q, length // (edits + 1)) if edits else length
 
     def shared(self, length: int) -> int:
-        return length + 1 - self.q * (self.edits(length) + 1)
+        return length + 1 - self.gram(length) * (self.edits(length) + 1)
+
+
+class _Grams:
+    """The grams of one length of the items that are sought by them."""
+
+    def __init__(self, q: int, items: list[int], points: list[np.ndarray], bits: int = 22):
+        self.q = q
+        grams = [_grams(points[i], q) for i in items]
+        every = np.concatenate(grams)
+        owner = np.repeat(np.array(items, dtype=np.int64), [len(g) for g in grams])
+        place = np.concatenate([np.arange(len(g)) for g in grams])
+        order = np.argsort(every, kind="stable")
+        self.owner, self.place = owner[order], place[order]
+        self.keys, first = np.unique(every[order], return_index=True)
+        self.first = np.r_[first, len(every)]
+        self.mask = np.uint64((1 << bits) - 1)
+        self.sieve = np.zeros(1 << bits, dtype=bool)
+        self.sieve[(self.keys & self.mask).astype(np.int64)] = True
+
+    def hits(self, text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(piece, item, diagonal) of every gram that a piece of the text and an item share."""
+        grams = _grams(text, self.q)
+        at = np.flatnonzero(self.sieve[(grams & self.mask).astype(np.int64)])
+        found = np.minimum(np.searchsorted(self.keys, grams[at]), len(self.keys) - 1)
+        hit = self.keys[found] == grams[at]
+        at, found = at[hit], found[hit]
+        piece = np.searchsorted(starts, at, side="right") - 1
+        whole = at + self.q <= starts[piece + 1]
+        at, found, piece = at[whole], found[whole], piece[whole]
+        counts = self.first[found + 1] - self.first[found]
+        entry = np.repeat(self.first[found] - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(counts.sum()) if len(counts) else np.zeros(0, np.int64)
+        return np.repeat(piece, counts), self.owner[entry], np.repeat(at - starts[piece], counts) - self.place[entry]
 
 
 class Index:
-    """The q-grams of a block of items. Items of fewer than q code points are left out."""
+    """The q-grams of a block of items. Items without a code point are left out."""
 
     def __init__(self, items: Iterable[tuple[int, str]], bounds: Bounds):
         self.bounds = bounds
-        kept = [(i, p) for i, text in items if len(p := _points(normalise(text))) >= bounds.q]
+        kept = [(i, p) for i, text in items if len(p := _points(normalise(text)))]
         self.ids = [i for i, _ in kept]
         self.points = [p for _, p in kept]
         self.texts = [p.tobytes().decode("utf-32-le", "surrogatepass") for p in self.points]
-        lengths = np.array([len(p) for p in self.points], dtype=np.int64)
-        self.longest = int(lengths.max(initial=0))
+        lengths = [len(p) for p in self.points]
+        self.longest = max(lengths, default=0)
         self.edits = np.array([bounds.edits(m) for m in lengths], dtype=np.int64)
         self.need = np.array([bounds.shared(m) for m in lengths], dtype=np.int64)
         self.width = 2 * self.edits + 8
-        grams = [_grams(p, bounds.q) for p in self.points]
-        every = np.concatenate(grams) if grams else np.zeros(0, dtype=np.uint64)
-        owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams]).astype(np.int64)
-        place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, dtype=np.int64)
-        order = np.argsort(every, kind="stable")
-        self.owner, self.place = owner[order], place[order]
-        self.keys, self.first = np.unique(every[order], return_index=True)
-        self.first = np.r_[self.first, len(every)]
-        self.bits = 22
-        self.sieve = np.zeros(1 << self.bits, dtype=bool)
-        self.sieve[(self.keys & np.uint64((1 << self.bits) - 1)).astype(np.int64)] = True
+        by_gram: dict[tuple[int, bool], list[int]] = {}
+        for i, m in enumerate(lengths):
+            by_gram.setdefault((bounds.gram(m), bounds.edits(m) > 0), []).append(i)
+        self.tables = [(_Grams(q, own, self.points), edited) for (q, edited), own in sorted(by_gram.items())]
 
     def candidates(self, pieces: list[np.ndarray]) -> Iterator[tuple[int, int, int, int]]:
-        """(piece, item, first diagonal, last diagonal) of every band that reaches the bound."""
-        q = self.bounds.q
+        """(piece, item, first diagonal, last diagonal) of every band that reaches the bound.
+
+        An item without an edit budget is its own only gram; its band is the
+        one diagonal.
+        """
         starts = np.cumsum([0, *(len(p) for p in pieces)])
-        grams = _grams(np.concatenate(pieces), q)
-        at = np.flatnonzero(self.sieve[(grams & np.uint64((1 << self.bits) - 1)).astype(np.int64)])
-        found = np.searchsorted(self.keys, grams[at])
-        hit = self.keys[np.minimum(found, len(self.keys) - 1)] == grams[at]
-        at, found = at[hit], found[hit]
-        piece = np.searchsorted(starts, at, side="right") - 1
-        whole = at + q <= starts[piece + 1]
-        at, found, piece = at[whole], found[whole], piece[whole]
-        counts = self.first[found + 1] - self.first[found]
-        if not len(counts) or not counts.sum():
-            return
-        entry = np.repeat(self.first[found] - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(counts.sum())
-        item = self.owner[entry]
-        diagonal = np.repeat(at - starts[piece], counts) - self.place[entry] + self.longest
-        piece = np.repeat(piece, counts)
-        width, edits = self.width[item], self.edits[item]
-        band = diagonal // width
-        lower = (diagonal % width <= edits) & (band > 0)
-        band, item, piece = np.r_[band, band[lower] - 1], np.r_[item, item[lower]], np.r_[piece, piece[lower]]
+        text = np.concatenate(pieces)
         bands = (int(starts[-1]) + 2 * self.longest) // 8 + 2
-        keys, n = np.unique((piece * len(self.ids) + item) * bands + band, return_counts=True)
-        item = (keys // bands) % len(self.ids)
-        enough = n >= self.need[item]
-        for key, i in zip(keys[enough].tolist(), item[enough].tolist(), strict=True):
-            low = (key % bands) * int(self.width[i]) - self.longest
-            yield key // bands // len(self.ids), i, low, low + int(self.width[i] + self.edits[i])
+        for table, edited in self.tables:
+            piece, item, diagonal = table.hits(text, starts)
+            if not edited:
+                yield from zip(piece.tolist(), item.tolist(), diagonal.tolist(), diagonal.tolist(), strict=True)
+                continue
+            diagonal = diagonal + self.longest
+            width, edits = self.width[item], self.edits[item]
+            band = diagonal // width
+            lower = (diagonal % width <= edits) & (band > 0)
+            band, item, piece = np.r_[band, band[lower] - 1], np.r_[item, item[lower]], np.r_[piece, piece[lower]]
+            keys, n = np.unique((piece * len(self.ids) + item) * bands + band, return_counts=True)
+            item = (keys // bands) % len(self.ids)
+            enough = n >= self.need[item]
+            for key, i in zip(keys[enough].tolist(), item[enough].tolist(), strict=True):
+                low = (key % bands) * int(self.width[i]) - self.longest
+                yield key // bands // len(self.ids), i, low, low + int(self.width[i] + self.edits[i])
 
     def matches(self, texts: list[str | None]) -> list[list[tuple[int, int, int, int]]]:
         """Per text: (item id, edit distance, start, end) of the occurrences found."""
-        out: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
         if not self.ids:
-            return out
+            return [[] for _ in texts]
+        # Of each (item, end): the least distance, and of those the first start.
+        ends: list[dict[tuple[int, int], tuple[int, int]]] = [{} for _ in texts]
         overlap = 4 * self.longest + 64
         queue: list[tuple[int, int, np.ndarray]] = []
         held = 0
@@ -139,49 +170,57 @@ class Index:
             points = _points(normalise(text))
             for begin in range(0, max(1, len(points) - overlap), PIECE):
                 piece = points[begin : begin + PIECE + overlap]
-                if len(piece) < self.bounds.q:
+                if not len(piece):
                     continue
                 queue.append((row, begin, piece))
                 held += len(piece)
                 if held >= PIECE:
-                    self._verify(queue, out)
+                    self._verify(queue, ends)
                     queue, held = [], 0
         if queue:
-            self._verify(queue, out)
-        return [_distinct(found) for found in out]
+            self._verify(queue, ends)
+        return [self._apart(found) for found in ends]
 
-    def _verify(self, queue, out) -> None:
+    def _verify(self, queue, ends) -> None:
         for k, i, low, high in self.candidates([p for _, _, p in queue]):
             row, begin, piece = queue[k]
-            m = len(self.points[i])
-            slack = high - low  # the neighbouring bands see the same occurrence; an exact one needs no alignment in any
-            a, b = max(0, low - slack), min(len(piece), high + slack + m)
-            exact = piece[a:b].tobytes().decode("utf-32-le", "surrogatepass").find(self.texts[i])
-            if exact >= 0:
-                found = (0, a + exact, a + exact + m)
-            else:
-                found = banded(self.points[i], piece, low, high, int(self.edits[i]))
-            if found:
-                out[row].append((self.ids[i], found[0], begin + found[1], begin + found[2]))
-
-
-def _distinct(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """Of overlapping occurrences of an item, the one with the least distance."""
-    kept: list[tuple[int, int, int, int]] = []
-    for item, distance, start, end in sorted(found, key=lambda x: (x[0], x[2], x[3])):
-        if kept and kept[-1][0] == item and start < kept[-1][3]:
-            if distance < kept[-1][1]:
-                kept[-1] = (item, distance, start, end)
-        else:
-            kept.append((item, distance, start, end))
-    return kept
-
-
-def banded(item: np.ndarray, text: np.ndarray, low: int, high: int, budget: int) -> tuple[int, int, int] | None:
-    """(distance, start, end) of the best alignment of the whole item on diagonals low..high.
+            m, reach = len(self.points[i]), high - low
+            # The neighbouring bands see the same occurrences; whatever a band holds overlaps an exact one that is long enough.
+            a, b = max(0, low - reach), min(len(piece), high + reach + m)
+            near = piece[a:b].tobytes().decode("utf-32-le", "surrogatepass")
+            exact = near.find(self.texts[i])
+            found = []
+            while exact >= 0:
+                found.append((0, a + exact, a + exact + m))
+                exact = near.find(self.texts[i], exact + 1)
+            if high > low and (not found or m <= 4 * reach):
+                found += banded(self.points[i], piece, low, high, int(self.edits[i]))
+            for distance, start, end in found:
+                key, best = (i, begin + end), (distance, begin + start)
+                if best < ends[row].get(key, (distance + 1, 0)):
+                    ends[row][key] = best
+
+    def _apart(self, found: dict[tuple[int, int], tuple[int, int]]) -> list[tuple[int, int, int, int]]:
+        """Occurrences of an item that do not overlap: the least distances first, of these the first in the text."""
+        by_item: dict[int, list[tuple[int, int, int]]] = {}
+        for (i, end), (distance, start) in found.items():
+            by_item.setdefault(i, []).append((distance, start, end))
+        out = []
+        for i, own in by_item.items():
+            kept: list[tuple[int, int, int]] = []  # (start, end, distance), by start
+            for distance, start, end in sorted(own):
+                k = bisect_left(kept, (start, end, distance))
+                if (k == 0 or kept[k - 1][1] <= start) and (k == len(kept) or kept[k][0] >= end):
+                    kept.insert(k, (start, end, distance))
+            out += [(self.ids[i], distance, start, end) for start, end, distance in kept]
+        return sorted(out, key=lambda x: (x[0], x[2]))
+
+
+def banded(item: np.ndarray, text: np.ndarray, low: int, high: int, budget: int) -> list[tuple[int, int, int]]:
+    """(distance, start, end) of the alignments of the whole item on diagonals low..high, one for each end.
 
     A cell holds its cost and, in its low bits, the diagonal on which its
-    alignment began, so the least cell also tells where the match starts.
+    alignment began, so the least cell also tells where the match starts (the first place of several).
     """
     m, width = len(item), high - low + 1
     shift = 32
@@ -200,27 +239,21 @@ def banded(item: np.ndarray, text: np.ndarray, low: int, high: int, budget: int)
         row = np.minimum(kept, dropped)
         row = np.minimum.accumulate(row - steps) + steps
         if i % 8 == 7 and row.min() >= limit:  # costs never fall again
-            return None
-    best = int(np.argmin(row >> shift))
-    distance = int(row[best] >> shift)
-    if distance > budget:
-        return None
-    start = max(0, low + int(row[best] & (one - 1)))
-    return distance, start, min(len(text), low + best + m)
+            return []
+    out = []
+    for k in np.flatnonzero((row >> shift) <= budget).tolist():
+        start = low + int(row[k] & (one - 1))
+        out.append((int(row[k] >> shift), max(0, start), max(0, min(len(text), low + k + m))))
+    return [x for x in out if x[1] < x[2]]
 
 
 def _blocks(benchmark: DataFrame, item_id: str, item_text: str) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of bounded size; each block is one pass over the documents."""
-    block, size = [], 0
-    rows = benchmark.select(F.col(item_id).cast("long"), F.col(item_text)).filter(F.col(item_text).isNotNull() & F.col(item_id).isNotNull())
-    for i, text in rows.toLocalIterator():
-        if block and size + len(text) > BLOCK:
-            yield block
-            block, size = [], 0
-        block.append((i, text))
-        size += len(text)
-    if block:
-        yield block
+    """The items in blocks of about ``BLOCK`` code points, dealt by hash; only one block is on the driver at a time."""
+    items = benchmark.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
+    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = -(-size // BLOCK)
+    for k in range(blocks):
+        yield [(r["id"], r["text"]) for r in items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k).orderBy("id", "text").collect()]
 
 
 def _matcher(items: list[tuple[int, str]], bounds: Bounds):
@@ -239,40 +272,53 @@ def _matcher(items: list[tuple[int, str]], bounds: Bounds):
 def with_matches(docs: DataFrame, benchmark: DataFrame, out: str, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", bounds: Bounds = Bounds()) -> DataFrame:
     """``docs`` with an array column ``out`` of the benchmark occurrences in each text.
 
-    The items go to the tasks in blocks of at most ``BLOCK`` code points (more
-    only for a single longer item). Null and empty texts have no matches; null
-    items are skipped; start and end are positions in the normalised text. All
-    other columns, whatever their names, pass unchanged.
+    The items go to the tasks in blocks of about ``BLOCK`` code points, each in
+    a pass of its own that is written before the next block is read. Null and
+    empty texts have no matches; null items and those without a letter or mark
+    are skipped; start and end are positions in the normalised text. An item
+    occurs wherever its whole text stands with at most ``error_rate`` edits a
+    code point (none below 10); overlapping occurrences count once. All other
+    columns, whatever their names, pass unchanged.
     """
-    found = []
-    df = docs
-    for k, items in enumerate(_blocks(benchmark, item_id, item_text)):
-        df = df.withColumn(f"{out}_{k}", _matcher(items, bounds)(F.col(text_col)))
-        found.append(f"{out}_{k}")
-    matches = F.concat(*found) if found else F.array().cast(MATCH)
-    return df.withColumn(out, matches).drop(*found)
+    df = docs.withColumn(out, F.array().cast(MATCH))
+    written = False
+    for items in _blocks(benchmark, item_id, item_text):
+        df = checkpointed(df) if written else df
+        df = df.withColumn(out, F.concat(out, _matcher(items, bounds)(F.col(text_col))))
+        written = True
+    return df
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", bounds: Bounds = Bounds()) -> DataFrame:
     """One row per document (row) and benchmark item found in it.
 
     Columns: id, item_id, occurrences, distance (the least), start and end (of
     the first occurrence with that distance). Clean documents have no row.
     """
+    parts: list[DataFrame] = []
     keyed = docs.select(F.col(id_col), F.col(text_col))
-    found = with_matches(keyed, benchmark, "__matches", text_col, **options).filter(F.size("__matches") > 0)
-    items = F.array_distinct(F.transform("__matches", lambda m: m["item_id"]))
-    exploded = found.select(F.col(id_col), "__matches", F.explode(items).alias("item_id"))
-    own = exploded.select(id_col, "item_id", F.filter("__matches", lambda m: m["item_id"] == F.col("item_id")).alias("own"))
-    best = F.array_min(F.transform("own", lambda m: F.struct(m["distance"].alias("distance"), m["start"].alias("start"), m["end"].alias("end"))))
-    return own.select(id_col, "item_id", F.size("own").cast("long").alias("occurrences"), best.alias("best")).select(
+    for items in _blocks(benchmark, item_id, item_text):
+        parts = [*parts[:-1], checkpointed(parts[-1])] if parts else parts  # a pass ends before the next block is read
+        found = keyed.select(id_col, _matcher(items, bounds)(F.col(text_col)).alias("__matches")).filter(F.size("__matches") > 0)
+        ids = F.array_distinct(F.transform("__matches", lambda m: m["item_id"]))
+        exploded = found.select(F.col(id_col), "__matches", F.explode(ids).alias("item_id"))
+        own = exploded.select(id_col, "item_id", F.filter("__matches", lambda m: m["item_id"] == F.col("item_id")).alias("own"))
+        best = F.array_min(F.transform("own", lambda m: F.struct(m["distance"].alias("distance"), m["start"].alias("start"), m["end"].alias("end"))))
+        parts.append(own.select(id_col, "item_id", F.size("own").cast("long").alias("occurrences"), best.alias("best")))
+    if not parts:
+        empty = keyed.select(id_col, F.lit(0).cast("long").alias("item_id"), F.lit(0).cast("long").alias("occurrences"), F.lit(None).cast(MATCH.elementType).alias("best"))
+        parts = [empty.filter(F.lit(False))]
+    return reduce(DataFrame.unionByName, parts).select(
         id_col, "item_id", "occurrences", F.col("best.distance").cast("long").alias("distance"), F.col("best.start").alias("start"), F.col("best.end").alias("end")
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", bounds: Bounds = Bounds()) -> DataFrame:
     """The rows of ``docs`` in which no benchmark item occurs, with their columns unchanged."""
-    from .common import free_name
-
     matches = free_name(docs, "__matches")
-    return with_matches(docs, benchmark, matches, text_col, **options).filter(F.size(F.col(matches)) == 0).select(*docs.columns)
+    df, written = docs, False
+    for items in _blocks(benchmark, item_id, item_text):
+        df = checkpointed(df) if written else df
+        df = df.withColumn(matches, _matcher(items, bounds)(F.col(text_col))).filter(F.size(F.col(matches)) == 0).select(*docs.columns)
+        written = True
+    return df

@@ -33,8 +33,8 @@ def edited(rng: random.Random, text: str, edits: int) -> str:
 
 def test_lemma_bound_is_never_below_one():
     bounds = decontam.Bounds()
-    for m in range(bounds.q, 600):
-        assert bounds.shared(m) >= 1 and bounds.edits(m) <= 0.1 * m
+    for m in range(1, 600):
+        assert bounds.shared(m) >= 1 and bounds.edits(m) == m // 10 and 1 <= bounds.gram(m) <= m
 
 
 def test_index_finds_exactly_what_alignment_finds():
@@ -73,14 +73,44 @@ def test_banded_alignment_matches_the_plain_one():
         item = prose(rng, 8)
         text = edited(rng, item, rng.randint(0, 4))
         a, b = (np.array([ord(c) for c in s], dtype=np.uint32) for s in (item, text))
-        got = decontam.banded(a, b, -12, 12, 12)
-        assert got is not None and got[0] == plain_distance(item, text)
+        assert min(decontam.banded(a, b, -12, 12, 12))[0] == plain_distance(item, text)
+
+
+def plain_occurrences(item: str, text: str, budget: int) -> list[tuple[int, int, int]]:
+    """(distance, start, end) by a full alignment, then the least ones that do not overlap."""
+    row = [(0, j) for j in range(len(text) + 1)]
+    for i, a in enumerate(item, 1):
+        new = [(i, 0)]
+        for j, b in enumerate(text, 1):
+            steps = [(row[j - 1][0] + (a != b), row[j - 1][1]), (row[j][0] + 1, row[j][1]), (new[-1][0] + 1, new[-1][1])]
+            new.append(min(steps))
+        row = new
+    kept: list[tuple[int, int, int]] = []
+    for d, start, end in sorted((d, start, j) for j, (d, start) in enumerate(row) if d <= budget and start < j):
+        if all(end <= s or e <= start for _, s, e in kept):
+            kept.append((d, start, end))
+    return sorted(kept, key=lambda x: x[1])
+
+
+def test_every_occurrence_of_items_of_all_lengths():
+    """Lengths 1 to 60 with repeats, exact and edited, side by side and apart."""
+    rng = random.Random(12)
+    for m in range(1, 61):
+        letters = "ab" if m % 7 == 0 else "abcdefgh"
+        item = "".join(rng.choice(letters) for _ in range(m))
+        parts = []
+        for _ in range(12):
+            parts.append("".join(rng.choice("xyz ") for _ in range(rng.choice([0, 1, 3, 40]))))
+            parts.append(edited(rng, item, rng.choice([0, 0, 1, m // 10, m // 10 + 1])) if m > 2 else item)
+        text = "".join(parts)
+        got = decontam.Index([(1, item)], decontam.Bounds()).matches([text])[0]
+        assert [x[1:] for x in got] == plain_occurrences(item, decontam.normalise(text), m // 10), m
 
 
 def test_rows_repeats_nulls_and_clashing_columns(spark):
     rng = random.Random(2)
     items = [prose(rng, 25), prose(rng, 25)]
-    bench = spark.createDataFrame([(1, items[0]), (2, items[1]), (3, None), (None, "x" * 50), (4, "short")], "item_id long, text string")
+    bench = spark.createDataFrame([(1, items[0]), (2, items[1]), (3, None), (None, "x" * 50), (4, "absent"), (5, " ")], "item_id long, text string")
     text = f"{items[0]} {prose(rng, 10)} {items[0]} {items[1]}"
     rows = [Row(doc_id=1, text=text, item_id="own", distance=None), Row(doc_id=1, text=text, item_id="own", distance=None), Row(doc_id=2, text=None, item_id=None, distance=1), Row(doc_id=None, text=items[1], item_id=None, distance=1), Row(doc_id=4, text="", item_id="a", distance=1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, item_id string, distance int")
