@@ -21,6 +21,8 @@ from .common import checkpointed, free_name
 BROADCAST_SOURCES = 100_000
 #: Levels of the bisection that one pass over the sources evaluates, and passes.
 LEVELS, PASSES = 5, 7
+#: Stretches of the hash range in which the blocks of an epoch are put in order.
+STRETCHES = 1024
 
 
 @dataclass(frozen=True)
@@ -127,6 +129,23 @@ def weights(sources: DataFrame, target: Target) -> DataFrame:
     return mixed.withColumn("repeats", repeats)
 
 
+def block_starts(blocks: DataFrame, seed: int, stretches: int = STRETCHES) -> DataFrame:
+    """(k, e, b, start): the tokens of source k's epoch e that come before its block b.
+
+    ``blocks`` has k, b, e and tokens; each epoch has an order of its own, by
+    hash. The range of the hash is cut into ``stretches``: sums are run within
+    a stretch, and over the stretches of an epoch, so no task holds all blocks
+    of a source.
+    """
+    order = F.xxhash64(F.lit(seed), "k", "e", "b")
+    keyed = blocks.withColumn("h", order).withColumn("s", F.floor((F.col("h") / 2.0**64 + 0.5) * stretches))
+    before = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    sums = keyed.groupBy("k", "e", "s").agg(F.sum("tokens").alias("n"))
+    sums = sums.select("k", "e", "s", F.coalesce(F.sum("n").over(before("k", "e").orderBy("s")), F.lit(0)).alias("base"))
+    inside = keyed.withColumn("own", F.coalesce(F.sum("tokens").over(before("k", "e", "s").orderBy("h", "b")), F.lit(0)))
+    return inside.join(sums, ["k", "e", "s"]).select("k", "e", "b", (F.col("base") + F.col("own")).alias("start"))
+
+
 def mix(docs: DataFrame, target: Target, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", tokens: Column | None = None, block_tokens: int = 100_000, mix_block_tokens: int = 1_000_000, seed: int = 7) -> DataFrame:
     """The mixed sequence: ``docs`` with epoch, mix_block, mix_tokens and mix_weight.
 
@@ -140,7 +159,8 @@ def mix(docs: DataFrame, target: Target, id_col: str = "doc_id", source_col: str
     replaced by the result's.
 
     A hot source is dealt into as many blocks as its tokens ask for, and all
-    sorting is within a block or over the (small) table of blocks.
+    sorting is within a block or, for the blocks of an epoch, within a stretch
+    of their order.
     """
     own = [c for c in docs.columns if c.lower() not in {"epoch", "mix_block", "mix_tokens", "mix_weight"}]
     name = lambda n: free_name(docs, n)
@@ -153,7 +173,9 @@ def mix(docs: DataFrame, target: Target, id_col: str = "doc_id", source_col: str
             key: F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)),
         }
     )
-    sources = checkpointed(source_tokens(keyed, F.col(mark), F.col(count)))
+    # What the plan needs of a row, without its text: read twice below, so written once.
+    narrow = checkpointed(keyed.select(F.col(mark).alias("source"), F.col(count).alias("tokens"), F.col(key).alias("hash")))
+    sources = checkpointed(source_tokens(narrow, F.col("source"), F.col("tokens")))
     plan = weights(sources, target)
     total_budget = plan.agg(F.sum("budget")).first()[0] or 1.0
     mix_blocks = max(1, round(total_budget / mix_block_tokens))
@@ -172,10 +194,10 @@ def mix(docs: DataFrame, target: Target, id_col: str = "doc_id", source_col: str
     plan = checkpointed(plan)
     few = F.broadcast(plan) if plan.count() <= BROADCAST_SOURCES else plan
     dealt = keyed.join(few, F.col(mark) == F.col(s_key)).withColumn(block, F.pmod(F.col(key), F.col(s_blocks)))
-    blocks = dealt.groupBy(F.col(s_key).alias("k"), F.col(block).alias("b")).agg(F.sum(count).alias("tokens"), F.first(s_epochs).alias("epochs"))
+    placed = narrow.join(few, F.col("source") == F.col(s_key)).withColumn("b", F.pmod(F.col("hash"), F.col(s_blocks)))
+    blocks = placed.groupBy(F.col("source").alias("k"), "b").agg(F.sum(placed["tokens"]).alias("tokens"), F.first(s_epochs).alias("epochs"))
     epochs = blocks.select("k", "b", "tokens", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1)).alias("e"))
-    by_epoch = Window.partitionBy("k", "e").orderBy(F.xxhash64(F.lit(seed), "k", "e", "b"), "b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = checkpointed(epochs.select(F.col("k").alias(k2), F.col("b").alias(b2), F.col("e").alias(e2), F.coalesce(F.sum("tokens").over(by_epoch), F.lit(0)).alias(b_start)))
+    starts = checkpointed(block_starts(epochs, seed).select(F.col("k").alias(k2), F.col("b").alias(b2), F.col("e").alias(e2), F.col("start").alias(b_start)))
 
     out = dealt.withColumn(epoch, F.explode(F.sequence(F.lit(0), F.col(s_epochs) - 1)))
     in_block = Window.partitionBy(s_key, epoch, block).orderBy(F.xxhash64(F.lit(seed), epoch, key), key).rowsBetween(Window.unboundedPreceding, -1)

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -103,3 +104,19 @@ def test_nulls_ties_repeats_clashing_columns_and_empty_tables(spark):
 def test_target_needs_one_aim(spark):
     with pytest.raises(ValueError):
         mixing.solve_exponent(spark.createDataFrame([("a", 1, 1)], "source string, tokens long, rows long"), mixing.Target())
+
+
+def test_block_starts_are_running_sums_in_each_epochs_order(spark):
+    rng = random.Random(3)
+    rows = [(k, b, e, rng.randrange(1, 50)) for k in ("sa", "sb") for e in range(3) for b in range(60)]
+    df = spark.createDataFrame(rows, "k string, b long, e int, tokens long")
+    order = {(r.k, r.e, r.b): r.h for r in df.select("k", "e", "b", F.xxhash64(F.lit(7), "k", "e", "b").alias("h")).collect()}
+    want = {}
+    for k in ("sa", "sb"):
+        for e in range(3):
+            at = 0
+            for _, b, _, n in sorted((r for r in rows if r[0] == k and r[2] == e), key=lambda r: order[k, e, r[1]]):
+                want[k, e, b] = at
+                at += n
+    for stretches in (1, 4, 1024):
+        assert {(r.k, r.e, r.b): r.start for r in mixing.block_starts(df, 7, stretches).collect()} == want
