@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,7 +24,8 @@ from pyspark.sql import types as T
 UNKNOWN = "und"
 #: Unseen words whose scores a task keeps.
 KEPT = 200_000
-_WORD = re.compile(r"[^\W\d_]+")
+#: Runs of letters, as ``\\p{L}+`` has them: word characters but for the digits and the numbers that are none (fractions, raised digits).
+_WORD = re.compile("[^\\W\\d_%s]+" % "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal()))
 RESULT = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
 
 

@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import math
 import zlib
+from collections import Counter, defaultdict
+from itertools import groupby
 
 import pytest
 from pyspark.sql import Row
@@ -79,3 +82,43 @@ def test_held_out_accuracy(spark, sf_dir):
     out = queries.queries()["op3_language_id"](spark, sf_dir).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
     assert sum(r.lang_pred == r.lang for r in out) >= 0.97 * len(out)
     assert all(0 <= r.score <= 1 for r in out)
+
+
+def test_only_letters_make_words():
+    model = langid.Model(["en"], {"a": {"en": 1}}, {}, {("en", 0): 1})
+    for text in ("\u00b2\u00bd 12", "\u2460 \u2167 _ 7", "", None):
+        assert model.predict(text) == ("und", 0.0)
+    assert model.predict("\u00bda\u00b2")[0] == "en"
+
+
+def test_query_against_a_plain_version(spark, sf_dir):
+    """Counts of every word and n-gram from the rows that may be learned from, then a plain sum over each text."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    words, grams = defaultdict(Counter), defaultdict(Counter)
+    letters = lambda t: ["".join(g) for known, g in groupby((t or "").lower(), str.isalpha) if known]
+    cut = lambda w, n: [f"^{w}$"[i : i + n] for i in range(len(w) + 3 - n)]
+    for r in rows:
+        if zlib.crc32(str(r.doc_id).encode()) % 3 != 1 and r.text is not None and r.lang is not None:
+            for w in letters(r.text):
+                words[r.lang][w] += 1
+                for n in range(1, 6):
+                    grams[r.lang, n].update(cut(w, n))
+    languages = sorted(words)
+    known = set().union(*words.values())
+    any_gram = [set()] + [set().union(*(grams[x, n] for x in languages)) for n in range(1, 6)]
+
+    def score(w: str, x: str) -> float:
+        if w in known:
+            return math.log((words[x][w] + 0.5) / (sum(words[x].values()) + 1))
+        for n in range(5, 0, -1):
+            found = [g for g in cut(w, n) if g in any_gram[n]]
+            if found:
+                return sum(math.log((grams[x, n][g] + 0.5) / (sum(grams[x, n].values()) + 1)) for g in found) / len(found)
+        return 0.0
+
+    got = {r.doc_id: r for r in queries.queries()["op3_language_id"](spark, sf_dir).collect()}
+    for r in rows:
+        totals = {x: sum(score(w, x) for w in letters(r.text)) for x in languages}
+        best = max(languages, key=lambda x: totals[x]) if letters(r.text) else "und"
+        share = 1 / sum(math.exp(t - totals[best]) for t in totals.values()) if letters(r.text) else 0.0
+        assert got[r.doc_id].lang_pred == best and abs(got[r.doc_id].score - share) < 1e-6
