@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,12 +39,15 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: The vocabulary that op2 counts with; read on the driver.
+#: The vocabulary that op2 counts with, unless ``spark.stridelab.vocabulary`` names another; read on the driver.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(read(spark, sf_dir, "documents"), VOCABULARY)
+    path = spark.conf.get("spark.stridelab.vocabulary", VOCABULARY)
+    if not os.path.isfile(path):
+        raise FileNotFoundError(f"no vocabulary at {path}; set spark.stridelab.vocabulary")
+    return token_counts.token_counts(read(spark, sf_dir, "documents"), path)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +77,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
+    rules = spark.sql("SELECT * FROM VALUES " + ", ".join(map(str, URL_RULES)) + " AS rules(host, path, action)")
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
     return urlfilter.judge(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
