@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .blocks import in_blocks, pairs_within
 from .common import checkpointed, free_name
 from .components import connected_components
 
@@ -275,6 +276,8 @@ def fingerprint_links(prints: DataFrame, budget: int = 3, crowd: int = 1_000_000
 #: Neither changes what is found, only how many texts meet in a bucket.
 ORDER_TEXTS, ORDER_SHINGLES = 5_000, 1 << 18
 
+#: Bits of the sketch of a set of shingles.
+SKETCH = 1024
 #: Texts whose shingle sets a worker holds at a time.
 HELD = 256
 #: Rows (two longs each) up to which a table is sent to every task; it is counted first.
@@ -300,7 +303,10 @@ def shingle_set_column(text: Column, size: int = 5, seed: int = 42) -> Column:
 
 
 def signature_column(text: Column, common: np.ndarray, percent: int, print_size: int = 3, size: int = 5, seed: int = 42) -> Column:
-    """Of each text: its fingerprint (``print``), a hash of its set of shingles (``node``), the set's size and its prefix.
+    """Of each text: its fingerprint (``print``), a hash of its set of shingles (``node``), the set's size, prefix and sketch.
+
+    In the sketch, each shingle turns one bit over, so that two sketches differ
+    in no more bits than the sets do in shingles.
 
     The prefix holds the first shingles in one order for all texts, ``common``
     (which goes from the commonest on) last. A pair with the similarity shares
@@ -310,23 +316,24 @@ def signature_column(text: Column, common: np.ndarray, percent: int, print_size:
     order = np.argsort(common)
     known, rank = common[order], len(common) - order
 
-    @F.pandas_udf("print long, node long, n int, prefix array<long>")
+    @F.pandas_udf("print long, node long, n int, prefix array<long>, sketch binary")
     def signatures(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         signed = lambda values: np.array(values, dtype=np.uint64).view(np.int64)
         for batch in batches:
             for start in range(0, len(batch), HELD):
                 texts = list(batch.iloc[start : start + HELD])
-                sizes, nodes, prefixes = [], [], []
+                sizes, nodes, prefixes, sketches = [], [], [], []
                 for t in texts:
                     s = _shingle_set(t, size, seed)
                     sizes.append(len(s))
                     nodes.append(xxhash.xxh64_intdigest(s.tobytes(), seed))
+                    sketches.append(np.packbits((np.bincount(s & (SKETCH - 1), minlength=SKETCH) & 1).astype(np.uint8)).tobytes())
                     if len(known):
                         at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                         s = s[np.lexsort((s, np.where(known[at] == s, rank[at], 0)))]
                     prefixes.append(s[: len(s) + (-len(s) * percent) // 100 + 1])
                 prints = [simhash(t.encode() if t is not None else None, print_size, seed) for t in texts]
-                yield pd.DataFrame({"print": signed(prints), "node": signed(nodes), "n": sizes, "prefix": prefixes})
+                yield pd.DataFrame({"print": signed(prints), "node": signed(nodes), "n": sizes, "prefix": prefixes, "sketch": sketches})
 
     return signatures.asNondeterministic()(text)
 
@@ -339,20 +346,49 @@ def common_shingles(texts: DataFrame, size: int, seed: int = 42) -> np.ndarray:
     return np.array([r.token for r in counted.orderBy(F.desc("count"), "token").limit(ORDER_SHINGLES).collect()], dtype=np.int64)
 
 
-def _similar(met: DataFrame, marks: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
-    """Pairs (a, b) of nodes whose sets have at least this Jaccard similarity.
+def _enough(met: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose prefixes share enough.
 
-    ``met`` has a row (a, b, na, nb) for each shingle that two prefixes share;
-    ``marks`` a text's mark for each node.
+    ``met`` has a row (a, b, na, nb) for each shingle that two prefixes share.
     Of one of the two, whichever prefix ends first in the order, all shingles
     shared up to there are among these; past it there are only those outside
-    its prefix, ceil(share x n) - 1. Pairs that cannot have enough go unread;
-    of the others one text each is read again.
+    its prefix, ceil(share x n) - 1.
     """
     need = lambda n: F.ceil(n * percent / 100) - 1
     pairs = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
     most = F.col("shared") + F.greatest(need(F.col("na")), need(F.col("nb")))
-    pairs = checkpointed(pairs.filter((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))).select("a", "b"))
+    return pairs.filter((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
+
+
+def _possible(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different parts that can have the similarity, of rows (token, pos, part, node, n, sketch).
+
+    The first shingle that a similar pair shares stands so early in both
+    prefixes that enough can still follow; and no more can be shared than the
+    sketches' differing bits leave.
+    """
+
+    def near(c: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        na, nb = c["n"][i].astype(np.int64), c["n"][j].astype(np.int64)
+        need = -(-percent * (na + nb) // (100 + percent))
+        keep = (c["part"][i] != c["part"][j]) & (c["pos"][i] <= na - need) & (c["pos"][j] <= nb - need)
+        at = np.flatnonzero(keep)
+        apart = np.bitwise_count(c["sketch"][i[at]] ^ c["sketch"][j[at]]).sum(axis=1, dtype=np.int64)
+        keep[at] = na[at] + nb[at] - apart >= 2 * need[at]
+        return keep
+
+    def out(c: dict, i: np.ndarray, j: np.ndarray) -> list[np.ndarray]:
+        return [np.minimum(c["node"][i], c["node"][j]), np.maximum(c["node"][i], c["node"][j])]
+
+    return pairs_within(in_blocks(rows, "token", "node"), "token", near, out, "a long, b long").distinct()
+
+
+def _similar(pairs: DataFrame, marks: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sets have at least this Jaccard similarity.
+
+    One text of each is read again; ``marks`` has its mark for each node.
+    """
+    pairs = checkpointed(pairs)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     marks = checkpointed(marks.join(wanted, "node").select("node", "mark"))
     few = F.broadcast(marks) if marks.count() <= BROADCAST_ROWS else marks
@@ -366,39 +402,35 @@ def _similar(met: DataFrame, marks: DataFrame, texts: DataFrame, percent: int, w
 def jaccard_links(rows: DataFrame, prefixes: DataFrame, texts: DataFrame, percent: int, words: int, linked: DataFrame) -> DataFrame:
     """Links (a, b) of prints that connect all texts with this Jaccard similarity of shingle sets.
 
-    ``rows``: print, node and mark of each row; ``prefixes``: node, n and
+    ``rows``: print, node, mark and sketch of each row; ``prefixes``: node, n and
     prefix; ``texts``: mark and text; ``linked``: links of prints that are
     known. Texts meet in buckets by the shingles of their prefix. In a bucket
     each is first held against its least node; then only texts that are still
     in different components are held against each other, so a large group of
-    near copies costs no pairs.
+    near copies costs no rows for its pairs.
     """
-    tokens = prefixes.select("node", "n", F.explode("prefix").alias("token"))
+    tokens = prefixes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
     per_token = Window.partitionBy("token")
     met = tokens.repartition("token").dropDuplicates(["token", "node"])
     met = met.withColumn("least", F.min(F.struct("node", "n")).over(per_token)).withColumn("last", F.max("node").over(per_token))
     met = checkpointed(met.filter(F.col("least.node") < F.col("last")).drop("last"))
     near = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
-    home = checkpointed(rows.groupBy("node").agg(F.min("print").alias("home"), F.min("mark").alias("mark")))
-    same = rows.select("print", "node").distinct().join(home.drop("mark"), "node").filter("print <> home").select(F.col("print").alias("a"), F.col("home").alias("b"))
+    home = checkpointed(rows.groupBy("node").agg(F.min("print").alias("home"), F.min("mark").alias("mark"), F.first("sketch").alias("sketch")))
+    same = rows.select("print", "node").distinct().join(home.drop("mark", "sketch"), "node").filter("print <> home").select(F.col("print").alias("a"), F.col("home").alias("b"))
 
     def in_prints(pairs: DataFrame) -> DataFrame:
         a, b = (home.select(F.col("node").alias(c), F.col("home").alias(f"home_{c}")) for c in "ab")
         return pairs.join(a, "a").join(b, "b").select(F.col("home_a").alias("a"), F.col("home_b").alias("b"))
 
     first = met.filter((F.col("node") > F.col("least.node")) & near(F.col("n"), F.col("least.n"))).select(F.col("least.node").alias("a"), F.col("node").alias("b"), F.col("least.n").alias("na"), F.col("n").alias("nb"))
-    found = checkpointed(same.unionByName(in_prints(_similar(first, home, texts, percent, words))))
+    found = checkpointed(same.unionByName(in_prints(_similar(_enough(first, percent), home, texts, percent, words))))
     parts = connected_components(linked.unionByName(found)).withColumnRenamed("node", "home")
-    part = home.drop("mark").join(parts, "home", "left").select("node", F.coalesce("component", "home").alias("part"))
+    part = home.drop("mark", "sketch").join(parts, "home", "left").select("node", F.coalesce("component", "home").alias("part"))
     met = met.drop("least").join(part, "node")
     met = met.withColumn("low", F.min("part").over(per_token)).withColumn("high", F.max("part").over(per_token))
-    met = checkpointed(met.filter("low < high").select("token", "part", "node", "n"))
-    kinds = met.select("token", "part").distinct()
-    crossed = kinds.withColumnRenamed("part", "pa").join(kinds.withColumnRenamed("part", "pb"), "token").filter("pa < pb")
-    for c in "ab":
-        crossed = crossed.join(met.select("token", F.col("part").alias(f"p{c}"), F.col("node").alias(c), F.col("n").alias(f"n{c}")), ["token", f"p{c}"])
-    rest = _similar(crossed.filter(near(F.col("na"), F.col("nb"))), home, texts, percent, words)
+    met = met.filter("low < high").select("token", "pos", "part", "node", "n").join(home.select("node", "sketch"), "node")
+    rest = _similar(_possible(met, percent), home, texts, percent, words)
     return checkpointed(found.unionByName(in_prints(rest)))
 
 
@@ -415,7 +447,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, size: int, budget: int
     links = fingerprint_links(classes.select("print"), budget, crowd, classes.count())
     if percent:
         links = checkpointed(links)
-        more = jaccard_links(rows.select("print", "node", "mark"), rows.select("node", "n", "prefix"), texts.select("mark", "text"), percent, words, links)
+        more = jaccard_links(rows.select("print", "node", "mark", "sketch"), rows.select("node", "n", "prefix"), texts.select("mark", "text"), percent, words, links)
         links = links.unionByName(more)
     roots = connected_components(links)
     named = roots.join(classes, F.col("node") == F.col("print")).groupBy("component").agg(F.min("first_id").alias("least"))
