@@ -14,15 +14,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .blocks import in_blocks, pairs_within
 from .common import checkpointed
 from .components import connected_components
 
 #: Scales, and the strongest corners kept at each.
-SCALES = ((1.0, 16), (0.75, 8), (0.5, 4))
+SCALES = ((1.0, 32), (0.75, 16), (0.5, 8))
 BITS, TABLES = 128, 4
 RADIUS = 9
 TURNS = 24
@@ -33,9 +34,13 @@ _TURNED = np.rint(np.stack([_PATTERN @ np.array([[np.cos(a), np.sin(a)], [-np.si
 _DISC = np.stack(np.meshgrid(np.arange(-7, 8), np.arange(-7, 8), indexing="ij"), axis=-1).reshape(-1, 2)
 _DISC = _DISC[(_DISC**2).sum(axis=1) <= 49]
 
-POINTS = T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("place", "d0", "d1", "near0", "near1")]))
+POINTS = T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("place", "d0", "d1")]))
 #: A corner's place in one long: x and y in eighths of a pixel, the scale's number, the turn.
 _X, _Y, _SCALE = 1 << 34, 1 << 10, 1 << 6
+#: Pixels of pictures that are worked on together.
+TOGETHER = 20_000
+#: Rows (two longs each) up to which a table is sent to every task; it is counted first.
+BROADCAST_ROWS = 1 << 20
 
 
 def decode(data: bytes | None) -> np.ndarray | None:
@@ -55,62 +60,89 @@ def encode(picture: np.ndarray) -> bytes:
     return b"P5 %d %d 255\n" % (width, height) + np.clip(np.rint(picture), 0, 255).astype(np.uint8).tobytes()
 
 
-def _resized(picture: np.ndarray, scale: float) -> np.ndarray:
+def _resized(pictures: np.ndarray, scale: float) -> np.ndarray:
     if scale == 1.0:
-        return picture
-    h, w = (max(1, round(n * scale)) for n in picture.shape)
+        return pictures
+    h, w = (max(1, round(n * scale)) for n in pictures.shape[1:])
     y, x = (np.arange(h) + 0.5) / scale - 0.5, (np.arange(w) + 0.5) / scale - 0.5
-    y, x = np.clip(y, 0, picture.shape[0] - 1), np.clip(x, 0, picture.shape[1] - 1)
+    y, x = np.clip(y, 0, pictures.shape[1] - 1), np.clip(x, 0, pictures.shape[2] - 1)
     y0, x0 = np.floor(y).astype(int), np.floor(x).astype(int)
-    y1, x1 = np.minimum(y0 + 1, picture.shape[0] - 1), np.minimum(x0 + 1, picture.shape[1] - 1)
+    y1, x1 = np.minimum(y0 + 1, pictures.shape[1] - 1), np.minimum(x0 + 1, pictures.shape[2] - 1)
     fy, fx = (y - y0)[:, None], x - x0
-    top = picture[y0][:, x0] * (1 - fx) + picture[y0][:, x1] * fx
-    return top * (1 - fy) + (picture[y1][:, x0] * (1 - fx) + picture[y1][:, x1] * fx) * fy
+    rows = pictures[:, y0] * (1 - fy) + pictures[:, y1] * fy
+    return rows[:, :, x0] * (1 - fx) + rows[:, :, x1] * fx
 
 
 def _box(a: np.ndarray, r: int) -> np.ndarray:
-    padded = np.pad(a, ((r + 1, r), (r + 1, r)), mode="edge").cumsum(axis=0).cumsum(axis=1)
     n = 2 * r + 1
-    return (padded[n:, n:] - padded[:-n, n:] - padded[n:, :-n] + padded[:-n, :-n]) / (n * n)
+    padded = np.pad(a, ((0, 0), (r + 1, r), (r + 1, r)), mode="edge").cumsum(axis=1)
+    rows = (padded[:, n:] - padded[:, :-n]).cumsum(axis=2)
+    return (rows[:, :, n:] - rows[:, :, :-n]) / (n * n)
 
 
-def _corners(picture: np.ndarray, most: int) -> np.ndarray:
-    """The strongest places of Harris's measure that are largest among their neighbours."""
-    gy, gx = np.gradient(picture)
+def _largest_near(a: np.ndarray) -> np.ndarray:
+    """The largest value within two steps of each place."""
+    for axis in (1, 2):
+        wide = np.pad(a, [(2, 2) if k == axis else (0, 0) for k in range(3)])
+        n = a.shape[axis]
+        a = np.maximum.reduce([np.take(wide, range(k, k + n), axis=axis) if axis == 1 else wide[:, :, k : k + n] for k in range(5)])
+    return a
+
+
+def _corners(pictures: np.ndarray, most: int) -> list[np.ndarray]:
+    """Of each picture, the strongest places of Harris's measure that are largest among their neighbours."""
+    gy, gx = np.gradient(pictures, axis=(1, 2))
     a, b, c = _box(gx * gx, 2), _box(gy * gy, 2), _box(gx * gy, 2)
     strength = a * b - c * c - 0.05 * (a + b) ** 2
-    strength[:RADIUS], strength[-RADIUS:], strength[:, :RADIUS], strength[:, -RADIUS:] = 0, 0, 0, 0
-    near = np.lib.stride_tricks.sliding_window_view(np.pad(strength, 2), (5, 5)).max(axis=(2, 3))
-    y, x = np.nonzero((strength >= near) & (strength > 1e-3 * max(strength.max(), 1.0)))
-    order = np.lexsort((x, y, -strength[y, x]))[:most]
-    return np.stack([y[order], x[order]], axis=1)
-
-
-def points(picture: np.ndarray | None) -> list[list[int]]:
-    """(place, two descriptor words, and those of the nearest other corner)."""
-    if picture is None:
-        return []
-    out: list[list[int]] = []
+    strength[:, :RADIUS], strength[:, -RADIUS:], strength[:, :, :RADIUS], strength[:, :, -RADIUS:] = 0, 0, 0, 0
+    floor = 1e-3 * np.maximum(strength.max(axis=(1, 2)), 1.0)
+    which, y, x = np.nonzero((strength >= _largest_near(strength)) & (strength > floor[:, None, None]))
+    order = np.lexsort((x, y, -strength[which, y, x], which))
+    which, y, x = which[order], y[order], x[order]
+    ends = np.searchsorted(which, np.arange(len(pictures) + 1))
+    return [np.stack([y[s:e][:most], x[s:e][:most]], axis=1) for s, e in zip(ends, ends[1:], strict=False)]
+
+
+def _described(pictures: np.ndarray) -> list[list[np.ndarray]]:
+    """Of each of some pictures of one size, arrays of (place, two descriptor words), one for each scale."""
+    out: list[list[np.ndarray]] = [[] for _ in pictures]
     for number, (scale, most) in enumerate(SCALES):
-        level = _resized(picture, scale)
-        if min(level.shape) <= 2 * RADIUS:
+        level = _resized(pictures, scale)
+        if min(level.shape[1:]) <= 2 * RADIUS:
             continue
-        at = _corners(level, most)
+        smooth = _box(level, 1)
+        corners = _corners(level, most)
+        which = np.repeat(np.arange(len(pictures)), [len(c) for c in corners])
+        at = np.concatenate(corners)
         if not len(at):
             continue
-        smooth = _box(level, 1)
-        around = smooth[at[:, None, 0] + _DISC[None, :, 0], at[:, None, 1] + _DISC[None, :, 1]]
+        around = smooth[which[:, None], at[:, None, 0] + _DISC[None, :, 0], at[:, None, 1] + _DISC[None, :, 1]]
         angle = np.arctan2(around @ _DISC[:, 0], around @ _DISC[:, 1]) % (2 * np.pi)
         turn = np.rint(angle / (2 * np.pi / TURNS)).astype(int) % TURNS
         places = at[:, None, None, :] + _TURNED[turn][..., ::-1]
-        values = smooth[places[..., 0], places[..., 1]]
-        bits = values[..., 0] < values[..., 1]
-        words = np.packbits(bits, axis=1).view(">i8").astype(np.int64)
-        apart = ((at[:, None, :] - at[None, :, :]) ** 2).sum(axis=2) + np.eye(len(at), dtype=int) * (1 << 30)
-        near = apart.argmin(axis=1)
+        values = smooth[which[:, None, None], places[..., 0], places[..., 1]]
+        words = np.packbits(values[..., 0] < values[..., 1], axis=1).view(">i8").astype(np.int64)
         centre = np.rint((at + 0.5) / scale * 8).astype(np.int64)
         place = centre[:, 1] * _X + centre[:, 0] * _Y + number * _SCALE + turn
-        out += np.concatenate([place[:, None], words, words[near]], axis=1).tolist()
+        rows = np.concatenate([place[:, None], words], axis=1)
+        for k, part in enumerate(np.split(rows, np.cumsum([len(c) for c in corners])[:-1])):
+            out[k].append(part)
+    return out
+
+
+def points(pictures: list[np.ndarray | None]) -> list[list[list[int]]]:
+    """Of each picture, its corners: place and two descriptor words."""
+    out: list[list[list[int]]] = [[] for _ in pictures]
+    by_size: dict[tuple[int, int], list[int]] = {}
+    for k, picture in enumerate(pictures):
+        if picture is not None:
+            by_size.setdefault(picture.shape, []).append(k)
+    for shape, own in by_size.items():
+        step = max(1, TOGETHER // (shape[0] * shape[1]))
+        for start in range(0, len(own), step):
+            some = own[start : start + step]
+            for k, found in zip(some, _described(np.stack([pictures[k] for k in some])), strict=True):
+                out[k] = [p for part in found for p in part.tolist()]
     return out
 
 
@@ -120,7 +152,10 @@ def points_column(media: Column) -> Column:
     @F.pandas_udf(POINTS)
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series([[dict(zip(names, p, strict=True)) for p in points(decode(b))] for b in batch])
+            rows = []
+            for start in range(0, len(batch), 64):
+                rows += points([decode(b) for b in batch.iloc[start : start + 64]])
+            yield pd.Series([[dict(zip(names, p, strict=True)) for p in row] for row in rows], dtype=object)
 
     return found.asNondeterministic()(media)
 
@@ -163,70 +198,83 @@ def _votes(pairs: DataFrame, least: int, cell: float) -> DataFrame:
     return counted.filter(F.col("n") >= least).groupBy("a", "b").agg(F.max("n").alias("votes"))
 
 
-def _apart(a: Column, b: Column) -> Column:
-    return F.bit_count(a["d0"].bitwiseXOR(b["d0"])) + F.bit_count(a["d1"].bitwiseXOR(b["d1"]))
-
-
-def _matches(bucket: DataFrame, keys: list[str], max_bits: int) -> DataFrame:
-    """Matches within the (small) buckets of a table: (a, b, pa, pb), a before b."""
-    rows = bucket.groupBy(*keys).agg(F.collect_list(F.struct("id", "place", "d0", "d1")).alias("e"))
-    partners = lambda a: F.filter("e", lambda b: (b["id"] > a["id"]) & (_apart(a, b) <= max_bits))
-    found = F.flatten(F.transform("e", lambda a: F.transform(partners(a), lambda b: F.struct(a["id"].alias("a"), b["id"].alias("b"), a["place"].alias("pa"), b["place"].alias("pb")))))
-    return rows.select(F.explode(found).alias("f")).select("f.*")
+def _in_tables(corners: DataFrame) -> DataFrame:
+    """(key, pic, place, d0, d1) of corners that share a stretch of their bits with another picture's.
 
-
-def links(corners: DataFrame, max_bits: int = 20, least: int = 6, cell: float = 6.0, crowd: int = 12) -> DataFrame:
-    """(a, b, votes) of pictures with copies of each other's details.
-
-    ``corners``: id and the fields of ``POINTS``. A bucket of a table with more
-    than ``crowd`` corners is not paired; its corners are looked up again by
-    their bits together with those of their nearest corner, and in a bucket
-    that is crowded even so, every corner is held against the least picture's
-    (its members are then copies of one picture, which is enough for their class).
+    Only a hash of the stretch, the picture and the corner's number go through
+    the first shuffle; descriptors follow for those that meet another.
+    """
+    stretches = F.array(*(F.xxhash64(F.lit(k), _stretch(k, "p.d0", "p.d1")) for k in range(TABLES)))
+    entries = corners.select("pic", F.posexplode("points").alias("nth", "p")).select(F.shiftleft("pic", 6).bitwiseOR(F.col("nth")).alias("ref"), F.explode(stretches).alias("key"))
+    pic = F.shiftright("ref", 6)
+    ends = Window.partitionBy("key")
+    met = entries.repartition("key").withColumns({"low": F.min(pic).over(ends), "high": F.max(pic).over(ends)}).filter("low < high").select("key", "ref", pic.alias("pic"))
+    own = corners.select("pic", F.posexplode("points").alias("nth", "p")).select(F.shiftleft("pic", 6).bitwiseOR(F.col("nth")).alias("ref"), "p.*")
+    return met.join(own, "ref").select("key", "pic", "place", "d0", "d1")
+
+
+def links(corners: DataFrame, max_bits: int = 20, least: int = 6, cell: float = 6.0) -> DataFrame:
+    """Links (a, b) that connect all pictures with copies of each other's details.
+
+    ``corners``: pic (a long) and points, at most 64 a picture. Two corners
+    match if they share a stretch of bits and differ in at most ``max_bits``.
+    Each is first held against the least picture's in its bucket; then pictures
+    that are not in one class yet are held against each other, in blocks, by
+    all their matches. So a large family costs no row for each of its pairs,
+    and no pair with enough votes goes unseen, however full its buckets are.
     """
-    tables = F.explode(F.array(*(F.struct(F.lit(k).alias("t"), _stretch(k, "d0", "d1").alias("key"), _stretch(k, "near0", "near1").alias("near")) for k in range(TABLES))))
-    entries = corners.select("id", "place", "d0", "d1", tables.alias("e"))
-    entries = entries.select("id", "place", "d0", "d1", "e.t", "e.key", F.xxhash64("e.t", "e.key", "e.near").alias("wide"))
-    sizes = checkpointed(entries.groupBy("t", "key").count().filter("count > 1"))
-    calm = entries.drop("wide").join(sizes.filter(F.col("count") <= crowd).drop("count"), ["t", "key"], "left_semi")
-    pairs = _matches(calm, ["t", "key"], max_bits)
-    crowded = entries.join(sizes.filter(F.col("count") > crowd).drop("count"), ["t", "key"], "left_semi").drop("key")
-    wide_sizes = checkpointed(crowded.groupBy("t", "wide").agg(F.count("*").alias("m"), F.min_by(F.struct("id", "place", "d0", "d1"), F.struct("id", "place")).alias("head")).filter("m > 1"))
-    pairs = pairs.unionByName(_matches(crowded.join(wide_sizes.filter(F.col("m") <= crowd).select("t", "wide"), ["t", "wide"], "left_semi"), ["t", "wide"], max_bits))
-    busy = crowded.join(wide_sizes.filter(F.col("m") > crowd).select("t", "wide", "head"), ["t", "wide"]).filter("id > head.id")
-    stars = busy.filter(_apart(F.col("head"), F.struct("d0", "d1")) <= max_bits)
-    pairs = pairs.unionByName(stars.select(F.col("head.id").alias("a"), F.col("id").alias("b"), F.col("head.place").alias("pa"), F.col("place").alias("pb")))
-    return _votes(pairs, least, cell)
+    met = checkpointed(_in_tables(corners))
+    in_bucket = Window.partitionBy("key")
+    starred = met.withColumn("first", F.min(F.struct("pic", "place", "d0", "d1")).over(in_bucket)).filter("pic > first.pic")
+    near = F.bit_count(F.col("first.d0").bitwiseXOR(F.col("d0"))) + F.bit_count(F.col("first.d1").bitwiseXOR(F.col("d1"))) <= max_bits
+    stars = starred.filter(near).select(F.col("first.pic").alias("a"), F.col("pic").alias("b"), F.col("first.place").alias("pa"), F.col("place").alias("pb"))
+    found = checkpointed(_votes(stars, least, cell).select("a", "b"))
+    parts = connected_components(found).select(F.col("node").alias("pic"), "component")
+    few = F.broadcast(parts) if parts.count() <= BROADCAST_ROWS else parts
+    met = met.join(few, "pic", "left").withColumn("part", F.coalesce("component", "pic")).drop("component")
+    met = met.withColumns({"low_part": F.min("part").over(in_bucket), "high_part": F.max("part").over(in_bucket)}).filter("low_part < high_part").drop("low_part", "high_part")
+
+    def close(c: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        apart = np.bitwise_count(c["d0"][i] ^ c["d0"][j]) + np.bitwise_count(c["d1"][i] ^ c["d1"][j])
+        return (c["part"][i] != c["part"][j]) & (apart <= max_bits)
+
+    def ordered(c: dict, i: np.ndarray, j: np.ndarray) -> list[np.ndarray]:
+        swap = c["pic"][i] > c["pic"][j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        return [c["pic"][i], c["pic"][j], c["place"][i], c["place"][j]]
+
+    matches = pairs_within(in_blocks(met, "key", "pic"), "key", close, ordered, "a long, b long, pa long, pb long")
+    return checkpointed(found.unionByName(_votes(matches, least, cell).select("a", "b")))
 
 
 def copies(media: DataFrame, id_col: str, media_col: str, **options) -> DataFrame:
-    """One row per picture: id, class_id (the least id among its copies) and n_links.
+    """One row per picture: id, class_id (the least id among its copies) and class_size (rows of the class).
 
     Exact copies (equal bytes) are one class from the start; only one of them
-    is looked up. ``n_links`` counts the links to other, different pictures of
-    the representative. Null or unreadable pictures are alone unless their
-    bytes are equal; rows with a null id are left out; repeated rows stay.
+    is looked up. Null or unreadable pictures are alone unless their bytes are
+    equal; rows with a null id are left out; repeated rows stay.
     """
     rows = media.select(F.col(id_col).alias("id"), F.col(media_col).alias("media")).filter("id IS NOT NULL")
     # One pass reads the pictures; only digests and corners go on from here.
     print_ = F.coalesce(F.sha2("media", 256), F.concat(F.lit("null"), F.col("id").cast("string")))
-    named = checkpointed(rows.select("id", print_.alias("print"), points_column(F.col("media")).alias("points")))
-    heads = named.groupBy("print").agg(F.min("id").alias("head"))
-    searched = named.join(heads.select(F.col("print").alias("p"), "head"), (F.col("print") == F.col("p")) & (F.col("id") == F.col("head")), "left_semi").dropDuplicates(["id", "print"])
-    corners = searched.select("id", F.explode("points").alias("p")).select("id", "p.*")
-    found = checkpointed(links(checkpointed(corners), **options))
-    counts = found.select(F.explode(F.array("a", "b")).alias("head")).groupBy("head").agg(F.count("*").alias("n"))
-    classes = connected_components(found.select("a", "b"))
-    labelled = heads.join(classes, F.col("head") == F.col("node"), "left").join(counts, "head", "left")
-    labelled = checkpointed(labelled.select("print", F.coalesce("component", "head").alias("class_id"), F.coalesce("n", F.lit(0)).alias("n_links")))
-    return named.drop("points").join(labelled, "print").select(F.col("id").alias(id_col), "class_id", "n_links")
+    named = checkpointed(rows.select("id", F.monotonically_increasing_id().alias("pic"), print_.alias("print"), points_column(F.col("media")).alias("points")))
+    heads = named.groupBy("print").agg(F.min("id").alias("least"), F.min("pic").alias("head"), F.count("*").alias("rows"))
+    heads = checkpointed(heads)
+    again = named.select("print", "pic").join(heads.filter("rows > 1").select("print", "head"), "print").filter("pic <> head").select("pic")
+    again = F.broadcast(again) if (heads.agg(F.sum(F.col("rows") - 1)).first()[0] or 0) <= BROADCAST_ROWS else again
+    searched = named.select("pic", "points").filter(F.size("points") > 0).join(again, "pic", "left_anti")
+    classes = connected_components(links(searched, **options))
+    joined = heads.join(classes, F.col("head") == F.col("node"), "left").withColumn("class", F.coalesce("component", "head"))
+    of_class = joined.groupBy("class").agg(F.min("least").alias("class_id"), F.sum("rows").alias("class_size"))
+    labelled = checkpointed(joined.select("print", "class").join(of_class, "class").select("print", "class_id", "class_size"))
+    return named.select("id", "print").join(labelled, "print").select(F.col("id").alias(id_col), "class_id", "class_size")
 
 
 # --- pictures for tables without any -------------------------------------------------------------------------
 
 
 _SIDE = 80
-_WAVES = _RNG.uniform(-16.0, 16.0, size=(64, 2))
+_WAVES = _RNG.uniform(-9.0, 9.0, size=(64, 2))
 _SHIFTS = _RNG.uniform(0, 2 * np.pi, size=64)
 _GRID = np.stack(np.meshgrid(np.arange(_SIDE), np.arange(_SIDE), indexing="ij"), axis=-1) / _SIDE
 _BASIS = np.cos(2 * np.pi * (_GRID @ _WAVES.T) + _SHIFTS)

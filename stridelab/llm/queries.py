@@ -57,6 +57,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model, F.coalesce(bucket == 1, F.lit(False)))
 
 
+#: Vectors that a task draws and describes.
+VECTORS_A_TASK = 1500
+
+
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No table has pictures, so each vector is drawn as one.
 
@@ -66,7 +70,8 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     copied = F.col("vec_id") % 20 == 7
     before = vectors.select((F.col("vec_id") + 1).alias("vec_id"), F.col("embedding").alias("other")).filter(copied)
-    shown = vectors.join(before, "vec_id", "left")
+    # A vector takes little room and its picture much work: spread by rows, not by bytes.
+    shown = vectors.join(before, "vec_id", "left").repartition(1 + vectors.count() // VECTORS_A_TASK, "vec_id")
     edited = F.col("other").isNotNull()
     pictures = shown.select("vec_id", media.drawn_column(F.coalesce("other", "embedding"), edited).alias("picture"))
     return media.copies(pictures, "vec_id", "picture")

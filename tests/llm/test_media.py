@@ -1,11 +1,13 @@
 from __future__ import annotations
 
+from collections import defaultdict
+
 import numpy as np
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from stridelab.llm import media, queries
+from stridelab.llm import blocks, media, queries
 
 
 def vectors(n: int, seed: int = 1) -> np.ndarray:
@@ -25,7 +27,7 @@ def test_descriptors_follow_a_quarter_turn():
     """Most corners of a turned picture are found again, with about the same bits."""
     picture = media.drawn(vectors(1, 5)[0], False)
     size = picture.shape[0]
-    a, b = media.points(picture), media.points(np.rot90(picture).copy())
+    (a,), (b,) = media.points([picture]), media.points([np.rot90(picture).copy()])
     near = 0
     place = lambda p: ((p >> 34 & 0xFFFFFF) / 8, (p >> 10 & 0xFFFFFF) / 8, p >> 6 & 15)
     for p, d0, d1, *_ in a:
@@ -46,14 +48,58 @@ def pictures(spark, n=24):
     return spark.createDataFrame(rows, "id long, picture binary")
 
 
-@pytest.mark.parametrize(("crowd", "missed"), [(64, 0), (1, 2)])
-def test_copies_are_found_and_others_left_alone(spark, crowd, missed):
-    """Through single corners, or (every bucket crowded) through corners and their nearest alone."""
-    got = {r.id: (r.class_id, r.n_links) for r in media.copies(pictures(spark), "id", "picture", crowd=crowd).collect()}
-    want = {i: i for i in range(24)} | {100 + i: i for i in range(0, 24, 4)} | {200: 3, 201: 3}
-    wrong = {i for i, (c, _) in got.items() if c != want[i]}
-    assert len(wrong) <= missed and all(i >= 100 and got[i][0] == i for i in wrong)
-    assert got[1][1] == 0 and (100 in wrong or got[0][1] == got[100][1] == 1)
+@pytest.mark.parametrize("size", [1024, 2])
+def test_copies_are_found_and_others_left_alone(spark, monkeypatch, size):
+    """Also where every bucket takes many blocks."""
+    monkeypatch.setattr(media, "in_blocks", lambda rows, key, item: blocks.in_blocks(rows, key, item, size))
+    got = {r.id: r.class_id for r in media.copies(pictures(spark), "id", "picture").collect()}
+    assert got == {i: i for i in range(24)} | {100 + i: i for i in range(0, 24, 4)} | {200: 3, 201: 3}
+
+
+def plain_links(pictures: list[np.ndarray], max_bits: int = 20, least: int = 6, cell: float = 6.0) -> set[tuple[int, int]]:
+    """Votes of all pairs of pictures, from all pairs of their descriptors."""
+    found = media.points(pictures)
+    out = set()
+    for a in range(len(pictures)):
+        for b in range(a + 1, len(pictures)):
+            votes = defaultdict(set)
+            for p, *da in found[a]:
+                for q, *db in found[b]:
+                    words = [[d >> s & 0xFFFFFFFF for d in (x[0] & (2**64 - 1), x[1] & (2**64 - 1)) for s in (32, 0)] for x in (da, db)]
+                    if not any(x == y for x, y in zip(*words, strict=True)) or sum((x ^ y).bit_count() for x, y in zip(*words, strict=True)) > max_bits:
+                        continue
+                    ax, ay, sa, ta = (p >> 34 & 0xFFFFFF) / 8, (p >> 10 & 0xFFFFFF) / 8, 1 / media.SCALES[p >> 6 & 15][0], p & 63
+                    bx, by, sb, tb = (q >> 34 & 0xFFFFFF) / 8, (q >> 10 & 0xFFFFFF) / 8, 1 / media.SCALES[q >> 6 & 15][0], q & 63
+                    x = (tb - ta) / 2
+                    step = int(np.sign(x) * np.floor(abs(x) + 0.5)) % 12
+                    angle, ratio = step * 2 * np.pi / 12, sb / sa
+                    dx, dy = bx - ratio * (np.cos(angle) * ax - np.sin(angle) * ay), by - ratio * (np.sin(angle) * ax + np.cos(angle) * ay)
+                    zoom = np.log2(ratio) * 2
+                    for g in range(4):
+                        votes[np.sign(zoom) * np.floor(abs(zoom) + 0.5), step, g, np.floor(dx / cell + (g % 2) * 0.5), np.floor(dy / cell + (g // 2) * 0.5)].add((np.floor(ax + 0.5), np.floor(ay + 0.5)))
+            if any(len(v) >= least for v in votes.values()):
+                out.add((a, b))
+    return out
+
+
+def test_classes_against_all_pairs_of_descriptors(spark):
+    """A family of edited copies whose members share buckets, chains of crops, and strangers."""
+    v = vectors(6, 9)
+    shown = [media.drawn(x, False) for x in v]
+    rng = np.random.default_rng(5)
+    for k in range(10):
+        shown.append(media.decode(media.encode(media.drawn(v[0], True) * (1 - 0.02 * k) + rng.normal(size=(73, 70)))))
+    for k in range(1, 6):
+        shown.append(shown[1][4 * k :, : 80 - 3 * k])
+    shown = [media.decode(media.encode(p)) for p in shown]
+    want = list(range(len(shown)))
+    edges = plain_links(shown)
+    for _ in want:
+        for a, b in edges:
+            want[a] = want[b] = min(want[a], want[b])
+    rows = [(i, media.encode(p)) for i, p in enumerate(shown)]
+    got = {r.id: r.class_id for r in media.copies(spark.createDataFrame(rows, "id long, picture binary"), "id", "picture").collect()}
+    assert [got[i] for i in range(len(shown))] == want and len(set(want)) < len(want) - 10
 
 
 def test_nulls_repeats_clashing_columns_and_empty_tables(spark):
@@ -61,8 +107,8 @@ def test_nulls_repeats_clashing_columns_and_empty_tables(spark):
     rows = [Row(id=1, picture=one, x=1, a="a"), Row(id=1, picture=one, x=1, a="a"), Row(id=2, picture=None, x=1, a="a"), Row(id=3, picture=b"junk", x=1, a="a"), Row(id=4, picture=b"junk", x=1, a="a"), Row(id=None, picture=one, x=None, a=None)]
     df = spark.createDataFrame(rows, "id long, picture binary, x int, a string")
     out = media.copies(df, "id", "picture")
-    assert out.columns == ["id", "class_id", "n_links"]
-    assert sorted(map(tuple, out.collect())) == [(1, 1, 0), (1, 1, 0), (2, 2, 0), (3, 3, 0), (4, 3, 0)]
+    assert out.columns == ["id", "class_id", "class_size"]
+    assert sorted(map(tuple, out.collect())) == [(1, 1, 2), (1, 1, 2), (2, 2, 1), (3, 3, 2), (4, 3, 2)]
     assert media.copies(df.limit(0), "id", "picture").count() == 0
 
 
