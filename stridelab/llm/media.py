@@ -25,14 +25,15 @@ from .components import connected_components
 #: Scales, and the strongest corners kept at each.
 SCALES = ((1.0, 32), (0.75, 16), (0.5, 8))
 BITS, TABLES = 128, 4
-RADIUS = 9
+#: Pixels around a corner that its descriptor may look at.
+RADIUS = 15
 TURNS = 24
 _RNG = np.random.default_rng(20240501)
-_PATTERN = np.clip(_RNG.normal(scale=2.7, size=(BITS, 2, 2)), -6.4, 6.4)
+_PATTERN = np.clip(_RNG.normal(scale=4.5, size=(BITS, 2, 2)), -10.6, 10.6)
 _ANGLES = np.arange(TURNS) * 2 * np.pi / TURNS
 _TURNED = np.rint(np.stack([_PATTERN @ np.array([[np.cos(a), np.sin(a)], [-np.sin(a), np.cos(a)]]) for a in _ANGLES])).astype(int)
-_DISC = np.stack(np.meshgrid(np.arange(-7, 8), np.arange(-7, 8), indexing="ij"), axis=-1).reshape(-1, 2)
-_DISC = _DISC[(_DISC**2).sum(axis=1) <= 49]
+_DISC = np.stack(np.meshgrid(np.arange(-10, 11), np.arange(-10, 11), indexing="ij"), axis=-1).reshape(-1, 2)
+_DISC = _DISC[(_DISC**2).sum(axis=1) <= 100]
 
 POINTS = T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("place", "d0", "d1")]))
 #: A corner's place in one long: x and y in eighths of a pixel, the scale's number, the turn.
