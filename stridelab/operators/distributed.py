@@ -7,34 +7,46 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 #: Bins of a pass, and the values (distinct) of a bracket that end the search.
 BINS, FEW = 1024, 10_000
 
 
 def quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], bins: int = BINS, few: int = FEW) -> dict[str, list[float | None]]:
-    """Exact quantiles (linear between neighbours) of each column; nulls are left out.
+    """Exact quantiles (linear between neighbours) of each column; nulls and NaN are left out.
+
+    Infinities are counted apart and stand before and behind the finite values;
+    between an infinity and another value there is no number (NaN).
 
     Each pass counts the values of every open bracket by equal bins (with
     map-side partial counts) and narrows it to the bin that holds the wanted
     rank; a bracket of few distinct values is then read. Only counts and those
     few values come to the driver.
     """
-    x = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in columns}
-    ends = df.agg(*(f(x[c]).alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("lo", F.min), ("hi", F.max), ("n", F.count)))).first()
+    endless = float("inf")
+    every = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in columns}
+    x = {c: F.when(F.abs(v) < endless, v) for c, v in every.items()}
+    parts = []
+    for i, c in enumerate(columns):
+        parts += [f(x[c]).alias(f"{n}{i}") for n, f in (("lo", F.min), ("hi", F.max), ("n", F.count))]
+        parts += [F.count_if(every[c] == F.lit(sign * endless)).alias(f"{n}{i}") for n, sign in (("below", -1), ("above", 1))]
+    ends = df.agg(*parts).first()
     out: dict[str, list[float | None]] = {c: [None] * len(probabilities) for c in columns}
     # A target is (column, rank): the value at that zero-based place of the sorted column.
     targets: dict[tuple[int, int], float | None] = {}
     wanted: dict[tuple[int, int], tuple[int, int, float]] = {}
     for i in range(len(columns)):
-        n = ends[f"n{i}"]
+        below, finite, above = ends[f"below{i}"], ends[f"n{i}"], ends[f"above{i}"]
+        n = below + finite + above
         for j, p in enumerate(probabilities) if n else ():
             place = (n - 1) * p
             low = int(place)
             wanted[i, j] = (low, min(low + 1, n - 1), place - low)
             for rank in wanted[i, j][:2]:
-                targets[i, rank] = None
+                targets[i, rank] = -endless if rank < below else endless if rank >= below + finite else None
     # Of each open target: bracket [lo, hi], values before it, values inside.
-    brackets = {t: (ends[f"lo{t[0]}"], ends[f"hi{t[0]}"], 0, ends[f"n{t[0]}"]) for t in targets}
+    brackets = {t: (ends[f"lo{t[0]}"], ends[f"hi{t[0]}"], ends[f"below{t[0]}"], ends[f"n{t[0]}"]) for t, found in targets.items() if found is None}
     while brackets:
         for t in [t for t, (lo, hi, _, _) in brackets.items() if lo == hi]:
             targets[t] = brackets.pop(t)[0]
@@ -70,7 +82,7 @@ def quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[flo
                     seen += n
     for (i, j), (low, high, part) in wanted.items():
         a, b = targets[i, low], targets[i, high]
-        out[columns[i]][j] = a + (b - a) * part
+        out[columns[i]][j] = a if a == b or not part else a + (b - a) * part
     return out
 
 
@@ -98,3 +110,28 @@ def dealt_rank(df: DataFrame, group: str, key: str, out: str, seed: int = 0, row
     ranked = placed.withColumn("__r", F.row_number().over(inside) - 1)
     joined = ranked.join(starts, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__b") == F.col("__c")))
     return joined.withColumn(out, F.col("__r") + F.col("__s")).drop("__h", "__b", "__g", "__c", "__s", "__r")
+
+
+def running_sums(df: DataFrame, value: str, sums: Sequence[str], keys: Sequence[str] = (), descending: bool = False, stretches: int = 256) -> DataFrame:
+    """``df`` with each column of ``sums`` summed up to the row, in the order of ``value`` within ``keys``.
+
+    The order is cut into stretches at about equal numbers of rows; sums run
+    within a stretch, and over the stretches, so no task holds a whole group.
+    Rows are taken as distinct in (keys, value); null comes first.
+    """
+    cuts = sorted(set(df.agg(F.percentile_approx(value, [k / stretches for k in range(1, stretches)], 10_000)).first()[0] or ()))
+    place = F.size(F.filter(F.array(*(F.lit(c) for c in cuts)), lambda c: c < F.col(value))) if cuts else F.lit(0)
+    placed = checkpointed(df.withColumn("__s", F.coalesce(place, F.lit(-1))))  # read twice
+    order = lambda c: F.desc(c) if descending else F.asc(c)
+    names = [f"__k{i}" for i in range(len(keys))]
+    totals = placed.groupBy(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True)), F.col("__s").alias("__t")).agg(*(F.sum(c).alias(f"__b{i}") for i, c in enumerate(sums)))
+    before = Window.partitionBy(*names).orderBy(order("__t")).rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select(*names, "__t", *(F.coalesce(F.sum(f"__b{i}").over(before), F.lit(0)).alias(f"__b{i}") for i in range(len(sums))))
+    inside = Window.partitionBy(*keys, "__s").orderBy(order(value)).rowsBetween(Window.unboundedPreceding, 0)
+    run = placed.withColumns({f"__r{i}": F.sum(c).over(inside) for i, c in enumerate(sums)})
+    same = F.col("__s") == F.col("__t")
+    for k, n in zip(keys, names, strict=True):
+        same = same & F.col(k).eqNullSafe(F.col(n))
+    joined = run.join(bases, same)
+    kept = [c for c in df.columns if c not in sums]
+    return joined.select(*kept, *((F.col(f"__r{i}") + F.col(f"__b{i}")).alias(c) for i, c in enumerate(sums)))

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .distributed import running_sums
+
 METRICS = ["accuracy", "balanced_acc", "precision", "recall", "f1"]
 
 
@@ -58,11 +61,13 @@ def normalised(cm: DataFrame) -> DataFrame:
 def curve(df: DataFrame, label: Column, score: Column, keys: Sequence[str] = ()) -> DataFrame:
     """Precision and recall at each distinct score taken as the threshold.
 
-    Rows are first summed by score; the running sums go over distinct scores.
+    Rows are first summed by score; the sums run over stretches of the distinct scores.
     """
-    by_score = df.groupBy(*keys, score.alias("threshold")).agg(F.sum((label == 1).cast("long")).alias("p"), F.count("*").alias("n"))
-    down = Window.partitionBy(*keys).orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    out = by_score.withColumns({"tp": F.sum("p").over(down), "flagged": F.sum("n").over(down), "positives": F.sum("p").over(Window.partitionBy(*keys))})
+    by_score = df.groupBy(*keys, score.alias("threshold")).agg(F.sum((label == 1).cast("long")).alias("tp"), F.count("*").alias("flagged"))
+    out = running_sums(by_score, "threshold", ["tp", "flagged"], keys, descending=True)
+    positives = by_score.groupBy(*(F.col(k).alias(f"__{k}") for k in keys)).agg(F.sum("tp").alias("positives"))
+    same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys)) if keys else None
+    out = out.join(positives, same) if keys else out.join(F.broadcast(positives))  # one row
     return out.select(*keys, "threshold", (F.col("tp") / F.col("flagged")).alias("precision"), _share(F.col("tp"), F.col("positives")).alias("recall"))
 
 

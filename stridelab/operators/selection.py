@@ -7,11 +7,14 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
 from .distributed import dealt_rank, quantiles
 from .statistics import unpivoted
 
 #: Added to deviations before dividing.
 EPSILON = 1e-8
+#: Subjects up to which their statistics are sent to every task; they are counted first.
+BROADCAST_SUBJECTS = 10_000
 
 
 def _strict_mean(x: Column) -> Column:
@@ -32,13 +35,12 @@ def subject_statistics(train: DataFrame, columns: Sequence[str], subject: str =
 
 
 def normalise_train(train: DataFrame, columns: Sequence[str], subject: str = "subject") -> DataFrame:
-    """z-scores within each subject."""
-    within = Window.partitionBy(subject)
-    scores = {}
-    for c in columns:
-        whole = F.count_if(F.col(c).isNull()).over(within) == 0
-        scores[c] = F.when(whole, (F.col(c) - F.avg(c).over(within)) / (F.stddev_pop(c).over(within) + EPSILON))
-    return train.withColumns(scores)
+    """z-scores within each subject. The wide rows stay where they are; a row per subject is joined to them."""
+    own = checkpointed(subject_statistics(train, columns, subject).withColumnRenamed(subject, "__own"))
+    few = F.broadcast(own) if own.count() <= BROADCAST_SUBJECTS else own
+    joined = train.join(few, F.col(subject).eqNullSafe(F.col("__own")))
+    scores = {c: (F.col(c) - F.col(f"{c}__mean")) / F.col(f"{c}__std") for c in columns}
+    return joined.withColumns(scores).select(*train.columns)
 
 
 def normalise_test(test: DataFrame, train: DataFrame, columns: Sequence[str], subject: str = "subject") -> DataFrame:

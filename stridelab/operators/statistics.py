@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .distributed import quantiles
+from .distributed import quantiles, running_sums
 
 
 def summary(df: DataFrame, keys: Sequence[str], event: Column, extra: Mapping[str, Column] | None = None) -> DataFrame:
@@ -77,16 +77,16 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def rank_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Columns as average ranks, for Spearman's correlation (``correlations`` of these).
+    """Columns as average ranks, for Spearman's correlation (``correlations`` of these); null stays null.
 
-    Each column is ranked over all rows in one window: for feature tables, not for samples.
+    Ranks are found over each column's distinct values, in stretches.
     """
-    out = {}
-    for c in columns:
-        place = F.rank().over(Window.orderBy(c))
-        ties = F.count("*").over(Window.partitionBy(c))
-        out[c] = F.when(F.col(c).isNotNull(), place + (ties - 1) / 2)
-    return df.withColumns(out)
+    out = df
+    for i, c in enumerate(columns):
+        counts = df.filter(F.col(c).isNotNull()).groupBy(F.col(c).alias(f"__v{i}")).agg(F.count("*").alias("n")).withColumn("up_to", F.col("n"))
+        ranks = running_sums(counts, f"__v{i}", ["up_to"]).select(f"__v{i}", (F.col("up_to") - (F.col("n") - 1) / 2).alias(f"__r{i}"))
+        out = out.join(ranks, F.col(c) == F.col(f"__v{i}"), "left")
+    return out.withColumns({c: F.col(f"__r{i}") for i, c in enumerate(columns)}).select(*df.columns)
 
 
 def high_pairs(r: DataFrame, above: float = 0.9, n: int = 10) -> DataFrame:

@@ -182,14 +182,15 @@ def distinct_subjects(spark, sf_dir):
 # --- joins and set operations -------------------------------------------------------------------
 
 
-@query(f"""WITH {LI}, l AS (SELECT subject, pos, l_quantity AS left_x FROM li WHERE trial = 'A'), r AS (SELECT subject, pos, l_quantity AS right_x FROM li WHERE trial = 'N' AND pos < 75),
-        l2 AS (SELECT * FROM l WHERE pos < 75), same AS (SELECT subject FROM (SELECT subject, count(*) AS n FROM l2 GROUP BY 1) JOIN (SELECT subject, count(*) AS n FROM r GROUP BY 1) USING (subject, n))
-        SELECT subject, pos, left_x, right_x FROM l2 JOIN r USING (subject, pos) WHERE subject IN (SELECT subject FROM same)""")
+@query(f"""WITH {LI}, l AS (SELECT subject, trial, pos, l_quantity AS left_x FROM li), r AS (SELECT subject, trial, pos, l_discount AS right_x FROM li WHERE pos > 0 OR subject % 5 > 0),
+        n AS (SELECT subject, trial, count(*) AS n FROM l GROUP BY ALL INTERSECT SELECT subject, trial, count(*) AS n FROM r GROUP BY ALL)
+        SELECT subject, trial, pos, left_x, right_x FROM l JOIN r USING (subject, trial, pos) SEMI JOIN n USING (subject, trial)""")
 def zip_join(spark, sf_dir):
-    li = A.items(spark, sf_dir).filter("pos < 75")
-    left = li.filter("trial = 'A'").select("subject", "pos", F.col("l_quantity").alias("left_x"))
-    right = li.filter("trial = 'N'").select("subject", "pos", F.col("l_quantity").alias("right_x"))
-    return readers.zip_join(left, right, ["subject"])
+    """Two sets of channels of each whole recording; every fifth subject's second set lacks its first row, so it goes."""
+    li = A.items(spark, sf_dir)
+    left = li.select("subject", "trial", "pos", F.col("l_quantity").alias("left_x"))
+    right = li.filter("pos > 0 OR subject % 5 > 0").select("subject", "trial", "pos", F.col("l_discount").alias("right_x"))
+    return readers.zip_join(left, right, ["subject", "trial"])
 
 
 @query(f"""WITH {LAB}, {win(8, name='tr')}, {win(16, name='te')}, folds AS (SELECT DISTINCT subject AS fold FROM te)
@@ -201,9 +202,9 @@ def loso_assign(spark, sf_dir):
     return windows.leave_one_out(train, test).select("fold", "role", "subject", "k", "binary_label")
 
 
-@query(f"WITH {FEATURE_SQL} SELECT doc_id, feature, coalesce(s.score, 0) AS score FROM f LEFT JOIN (SELECT 'ch' || p_partkey || '_mean' AS feature, p_size AS score FROM part WHERE p_partkey < 6) s USING (feature)")
+@query(f"WITH {FEATURE_SQL} SELECT doc_id, feature, coalesce(s.score, 0) AS score FROM f LEFT JOIN (SELECT 'ch' || p_partkey || '_mean' AS feature, p_size AS score FROM part) s USING (feature)")
 def score_lookup(spark, sf_dir):
-    scores = table(spark, sf_dir, "part").filter("p_partkey < 6").select(F.concat(F.lit("ch"), F.col("p_partkey").cast("string"), F.lit("_mean")).alias("feature"), F.col("p_size").alias("score"))
+    scores = table(spark, sf_dir, "part").select(F.concat(F.lit("ch"), F.col("p_partkey").cast("string"), F.lit("_mean")).alias("feature"), F.col("p_size").alias("score"))
     return _features(spark, sf_dir).join(scores, "feature", "left").select("doc_id", "feature", F.coalesce("score", F.lit(0)).alias("score"))
 
 
@@ -361,6 +362,19 @@ _CORR = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 _PAIRS = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM lineitem" for i, a in enumerate(_CORR) for b in _CORR[i + 1 :])
 
 
+_RANKED = ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}" for c in ("l_quantity", "l_extendedprice", "l_discount"))
+
+
+@query(f"""WITH ranked AS (SELECT {_RANKED} FROM lineitem)
+        SELECT 'l_quantity' AS a, 'l_extendedprice' AS b, {r('corr(l_quantity, l_extendedprice)')} AS r FROM ranked
+        UNION ALL SELECT 'l_quantity', 'l_discount', {r('corr(l_quantity, l_discount)')} FROM ranked
+        UNION ALL SELECT 'l_extendedprice', 'l_discount', {r('corr(l_extendedprice, l_discount)')} FROM ranked""")
+def spearman(spark, sf_dir):
+    columns = ["l_quantity", "l_extendedprice", "l_discount"]
+    ranked = statistics.rank_columns(table(spark, sf_dir, "lineitem").select(*columns), columns)
+    return statistics.correlations(ranked, columns).select("a", "b", R(F.col("r")).alias("r"))
+
+
 @query(f"SELECT a, b, {r('r')} AS r FROM ({_PAIRS})")
 def corr_matrix(spark, sf_dir):
     return statistics.correlations(table(spark, sf_dir, "lineitem"), _CORR).withColumn("r", R(F.col("r")))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stridelab.operators.distributed import dealt_rank, quantiles
+from stridelab.operators.distributed import dealt_rank, quantiles, running_sums
 from stridelab.operators import evaluation, models, selection, statistics, training, windows
 
 
@@ -140,6 +140,38 @@ def test_quantiles_are_exact(spark, bins, few):
     assert got["c"] == [None] * len(p)
 
 
+@pytest.mark.parametrize(("bins", "few"), [(4, 2), (1024, 10_000)])
+def test_quantiles_of_columns_with_infinities(spark, bins, few):
+    inf = float("inf")
+    rows = [(inf if i % 7 == 0 else -inf if i % 7 == 1 else float(i), inf, float("nan") if i % 2 else float(i)) for i in range(500)]
+    df = table(spark, rows, "a double, b double, c double")
+    p = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
+    got = quantiles(df, ["a", "b", "c"], p, bins, few)
+    a = sorted(r[0] for r in rows)
+    for q, x in zip(p, got["a"], strict=True):
+        low, part = int((len(a) - 1) * q), (len(a) - 1) * q % 1
+        want = a[low] if a[low] == a[min(low + 1, len(a) - 1)] or not part else a[low] + (a[low + 1] - a[low]) * part
+        assert x == pytest.approx(want, nan_ok=True)
+    assert got["b"] == [inf] * len(p) and got["c"] == pytest.approx(list(np.quantile(range(0, 500, 2), p)))
+    described = statistics.describe(df, ["a"]).collect()
+    assert len(described) >= 1
+
+
+@pytest.mark.parametrize("stretches", [1, 3, 256])
+@pytest.mark.parametrize("descending", [False, True])
+def test_running_sums_in_stretches(spark, stretches, descending):
+    rng = random.Random(stretches)
+    rows = [(rng.choice("ab") if i % 9 else None, None if i == 0 else float(i), rng.randrange(10)) for i in range(120)]
+    got = running_sums(table(spark, rows, "g string, x double, n long"), "x", ["n"], ["g"], descending, stretches).collect()
+    want = []
+    for g in ("a", "b", None):
+        total = 0
+        for _, x, n in sorted((r for r in rows if r[0] == g), key=lambda r: (-np.inf if r[1] is None else r[1]), reverse=descending):
+            total += n
+            want.append((g, x, total))
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 @pytest.mark.parametrize("size", [1_000_000, 7])
 def test_dealt_ranks_number_each_group_once(spark, size):
     df = table(spark, [(i, None if i % 10 == 0 else i % 3) for i in range(100)], "id int, g int")
