@@ -126,7 +126,7 @@ def running_sums(df: DataFrame, value: str, sums: Sequence[str], keys: Sequence[
     names = [f"__k{i}" for i in range(len(keys))]
     totals = placed.groupBy(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True)), F.col("__s").alias("__t")).agg(*(F.sum(c).alias(f"__b{i}") for i, c in enumerate(sums)))
     before = Window.partitionBy(*names).orderBy(order("__t")).rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select(*names, "__t", *(F.coalesce(F.sum(f"__b{i}").over(before), F.lit(0)).alias(f"__b{i}") for i in range(len(sums))))
+    bases = checkpointed(totals.select(*names, "__t", *(F.coalesce(F.sum(f"__b{i}").over(before), F.lit(0)).alias(f"__b{i}") for i in range(len(sums)))))
     inside = Window.partitionBy(*keys, "__s").orderBy(order(value)).rowsBetween(Window.unboundedPreceding, 0)
     run = placed.withColumns({f"__r{i}": F.sum(c).over(inside) for i, c in enumerate(sums)})
     same = F.col("__s") == F.col("__t")
