@@ -276,6 +276,8 @@ def fingerprint_links(prints: DataFrame, budget: int = 3, crowd: int = 1_000_000
 #: Neither changes what is found, only how many texts meet in a bucket.
 ORDER_TEXTS, ORDER_SHINGLES = 5_000, 1 << 18
 
+#: Rounds in which texts of different components are held against their nearest alone, before all that are left.
+NEAREST_ROUNDS = 2
 #: Bits of the sketch of a set of shingles.
 SKETCH = 1024
 #: Texts whose shingle sets a worker holds at a time.
@@ -361,11 +363,11 @@ def _enough(met: DataFrame, percent: int) -> DataFrame:
 
 
 def _possible(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different parts that can have the similarity, of rows (token, pos, part, node, n, sketch).
+    """Pairs (a, b, apart) of different parts that can have the similarity, of rows (token, pos, part, node, n, sketch).
 
     The first shingle that a similar pair shares stands so early in both
     prefixes that enough can still follow; and no more can be shared than the
-    sketches' differing bits leave.
+    sketches' differing bits leave. ``apart``: their share, in 10,000ths.
     """
 
     def near(c: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -378,9 +380,10 @@ def _possible(rows: DataFrame, percent: int) -> DataFrame:
         return keep
 
     def out(c: dict, i: np.ndarray, j: np.ndarray) -> list[np.ndarray]:
-        return [np.minimum(c["node"][i], c["node"][j]), np.maximum(c["node"][i], c["node"][j])]
+        apart = np.bitwise_count(c["sketch"][i] ^ c["sketch"][j]).sum(axis=1, dtype=np.int64)
+        return [np.minimum(c["node"][i], c["node"][j]), np.maximum(c["node"][i], c["node"][j]), apart * 10_000 // (c["n"][i].astype(np.int64) + c["n"][j])]
 
-    return pairs_within(in_blocks(rows, "token", "node"), "token", near, out, "a long, b long").distinct()
+    return pairs_within(in_blocks(rows, "token", "node"), "token", near, out, "a long, b long, apart long").distinct()
 
 
 def _similar(pairs: DataFrame, marks: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
@@ -425,12 +428,29 @@ def jaccard_links(rows: DataFrame, prefixes: DataFrame, texts: DataFrame, percen
 
     first = met.filter((F.col("node") > F.col("least.node")) & near(F.col("n"), F.col("least.n"))).select(F.col("least.node").alias("a"), F.col("node").alias("b"), F.col("least.n").alias("na"), F.col("n").alias("nb"))
     found = checkpointed(same.unionByName(in_prints(_similar(_enough(first, percent), home, texts, percent, words))))
-    parts = connected_components(linked.unionByName(found)).withColumnRenamed("node", "home")
-    part = home.drop("mark", "sketch").join(parts, "home", "left").select("node", F.coalesce("component", "home").alias("part"))
+
+    def part_of(found: DataFrame) -> DataFrame:
+        parts = connected_components(linked.unionByName(found)).withColumnRenamed("node", "home")
+        return checkpointed(home.select("node", "home").join(parts, "home", "left").select("node", F.coalesce("component", "home").alias("part")))
+
+    part = part_of(found)
     met = met.drop("least").join(part, "node")
     met = met.withColumn("low", F.min("part").over(per_token)).withColumn("high", F.max("part").over(per_token))
     met = met.filter("low < high").select("token", "pos", "part", "node", "n").join(home.select("node", "sketch"), "node")
-    rest = _similar(_possible(met, percent), home, texts, percent, words)
+    pairs = checkpointed(_possible(met, percent))
+    for _ in range(NEAREST_ROUNDS):
+        # Each text's nearest first: most of the other pairs are then in one component, and go unread.
+        ways = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y"), "apart"), F.struct(F.col("b").alias("x"), F.col("a").alias("y"), "apart"))).alias("w"))
+        nearest = ways.groupBy("w.x").agg(F.min_by("w.y", F.struct("w.apart", "w.y")).alias("y"))
+        nearest = nearest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        found = checkpointed(found.unionByName(in_prints(_similar(nearest, home, texts, percent, words))))
+        part = part_of(found)
+        for c in "ab":
+            pairs = pairs.join(part.select(F.col("node").alias(c), F.col("part").alias(f"p{c}")), c)
+        pairs = checkpointed(pairs.filter("pa <> pb").select("a", "b", "apart"))
+        if pairs.isEmpty():
+            return found
+    rest = _similar(pairs.select("a", "b"), home, texts, percent, words)
     return checkpointed(found.unionByName(in_prints(rest)))
 
 
