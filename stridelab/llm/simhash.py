@@ -278,8 +278,8 @@ ORDER_TEXTS, ORDER_SHINGLES = 5_000, 1 << 18
 
 #: Rounds in which texts of different components are held against their nearest alone, before all that are left.
 NEAREST_ROUNDS = 2
-#: Bits of the sketch of a set of shingles.
-SKETCH = 1024
+#: Bits of the sketch of a set of shingles, and of the wide one that is drawn for texts with a candidate.
+SKETCH, WIDE_SKETCH = 1024, 8192
 #: Texts whose shingle sets a worker holds at a time.
 HELD = 256
 #: Rows (two longs each) up to which a table is sent to every task; it is counted first.
@@ -304,6 +304,17 @@ def shingle_set_column(text: Column, size: int = 5, seed: int = 42) -> Column:
     return sets.asNondeterministic()(text)
 
 
+def wide_sketch_column(shingles: Column) -> Column:
+    """A sketch of ``WIDE_SKETCH`` bits of each set, as longs."""
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def sketches(batch: pd.Series) -> pd.Series:
+        bits = lambda s: np.packbits((np.bincount(np.asarray(s, dtype=np.int64) & (WIDE_SKETCH - 1), minlength=WIDE_SKETCH) & 1).astype(np.uint8))
+        return pd.Series([bits(s).view(np.int64) for s in batch], dtype=object)
+
+    return sketches(shingles)
+
+
 def signature_column(text: Column, common: np.ndarray, percent: int, print_size: int = 3, size: int = 5, seed: int = 42) -> Column:
     """Of each text: its fingerprint (``print``), a hash of its set of shingles (``node``), the set's size, prefix and sketch.
 
@@ -397,9 +408,16 @@ def _similar(pairs: DataFrame, marks: DataFrame, texts: DataFrame, percent: int,
     few = F.broadcast(marks) if marks.count() <= BROADCAST_ROWS else marks
     one = texts.join(few, "mark").groupBy("node").agg(F.first("text").alias("text"))
     held = checkpointed(one.select("node", shingle_set_column(F.col("text"), words).alias("shingles")))
-    both = pairs.join(held.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(held.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.filter(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    side = lambda df, c, *columns: df.select(F.col("node").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in columns))
+    # Wide sketches leave few pairs for which whole sets have to move.
+    drawn = checkpointed(held.select("node", F.size("shingles").alias("n"), wide_sketch_column(F.col("shingles")).alias("wide")))
+    sketched = pairs.join(side(drawn, "a", "n", "wide"), "a").join(side(drawn, "b", "n", "wide"), "b")
+    apart = F.aggregate(F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+    both = F.col("n_a") + F.col("n_b")
+    pairs = checkpointed(sketched.filter((100 + percent) * (both - apart) >= 2 * percent * both).select("a", "b"))
+    sets = pairs.join(side(held, "a", "shingles"), "a").join(side(held, "b", "shingles"), "b")
+    common = F.size(F.array_intersect("shingles_a", "shingles_b"))
+    return sets.filter(100 * common >= percent * (F.size("shingles_a") + F.size("shingles_b") - common)).select("a", "b")
 
 
 def jaccard_links(rows: DataFrame, prefixes: DataFrame, texts: DataFrame, percent: int, words: int, linked: DataFrame) -> DataFrame:
