@@ -304,15 +304,22 @@ def shingle_set_column(text: Column, size: int = 5, seed: int = 42) -> Column:
     return sets.asNondeterministic()(text)
 
 
-def wide_sketch_column(shingles: Column) -> Column:
-    """A sketch of ``WIDE_SKETCH`` bits of each set, as longs."""
+def wide_sketch_column(text: Column, size: int = 5, seed: int = 42) -> Column:
+    """Of each text: the size of its shingle set (``n``) and a sketch of ``WIDE_SKETCH`` bits of it (``wide``), as longs."""
 
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def sketches(batch: pd.Series) -> pd.Series:
-        bits = lambda s: np.packbits((np.bincount(np.asarray(s, dtype=np.int64) & (WIDE_SKETCH - 1), minlength=WIDE_SKETCH) & 1).astype(np.uint8))
-        return pd.Series([bits(s).view(np.int64) for s in batch], dtype=object)
+    @F.pandas_udf("n int, wide array<long>")
+    def sketches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        bits = lambda s: np.packbits((np.bincount(s & (WIDE_SKETCH - 1), minlength=WIDE_SKETCH) & 1).astype(np.uint8))
+        for batch in batches:
+            for start in range(0, len(batch), HELD):
+                sizes, wide = [], []
+                for t in batch.iloc[start : start + HELD]:
+                    s = _shingle_set(t, size, seed)
+                    sizes.append(len(s))
+                    wide.append(bits(s).view(np.int64))
+                yield pd.DataFrame({"n": sizes, "wide": wide})
 
-    return sketches(shingles)
+    return sketches.asNondeterministic()(text)
 
 
 def signature_column(text: Column, common: np.ndarray, percent: int, print_size: int = 3, size: int = 5, seed: int = 42) -> Column:
@@ -400,21 +407,24 @@ def _possible(rows: DataFrame, percent: int) -> DataFrame:
 def _similar(pairs: DataFrame, marks: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose sets have at least this Jaccard similarity.
 
-    One text of each is read again; ``marks`` has its mark for each node.
+    A text of each is read again, from ``marks`` (node, mark): first for wide
+    sketches, which leave few pairs, then for the whole sets of those.
     """
-    pairs = checkpointed(pairs)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    marks = checkpointed(marks.join(wanted, "node").select("node", "mark"))
-    few = F.broadcast(marks) if marks.count() <= BROADCAST_ROWS else marks
-    one = texts.join(few, "mark").groupBy("node").agg(F.first("text").alias("text"))
-    held = checkpointed(one.select("node", shingle_set_column(F.col("text"), words).alias("shingles")))
     side = lambda df, c, *columns: df.select(F.col("node").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in columns))
-    # Wide sketches leave few pairs for which whole sets have to move.
-    drawn = checkpointed(held.select("node", F.size("shingles").alias("n"), wide_sketch_column(F.col("shingles")).alias("wide")))
+
+    def of_texts(pairs: DataFrame, column: Column) -> DataFrame:
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        known = checkpointed(marks.join(wanted, "node").select("node", "mark"))
+        few = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
+        return checkpointed(texts.join(few, "mark").select("node", column.alias("drawn")).groupBy("node").agg(F.first("drawn").alias("drawn")))
+
+    pairs = checkpointed(pairs)
+    drawn = of_texts(pairs, wide_sketch_column(F.col("text"), words)).select("node", "drawn.*")
     sketched = pairs.join(side(drawn, "a", "n", "wide"), "a").join(side(drawn, "b", "n", "wide"), "b")
     apart = F.aggregate(F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
     both = F.col("n_a") + F.col("n_b")
     pairs = checkpointed(sketched.filter((100 + percent) * (both - apart) >= 2 * percent * both).select("a", "b"))
+    held = of_texts(pairs, shingle_set_column(F.col("text"), words)).withColumnRenamed("drawn", "shingles")
     sets = pairs.join(side(held, "a", "shingles"), "a").join(side(held, "b", "shingles"), "b")
     common = F.size(F.array_intersect("shingles_a", "shingles_b"))
     return sets.filter(100 * common >= percent * (F.size("shingles_a") + F.size("shingles_b") - common)).select("a", "b")
