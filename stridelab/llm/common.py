@@ -7,7 +7,25 @@ from pyspark.sql import functions as F
 
 from ..session import checkpointed, ensure_checkpoint_dir
 
-__all__ = ["checkpointed", "ensure_checkpoint_dir", "free_name", "id_bucket", "read"]
+__all__ = ["checkpointed", "ensure_checkpoint_dir", "free_name", "id_bucket", "parts_for", "read", "written"]
+
+#: Narrow rows that make a partition of their own.
+ROWS_A_PART = 100_000
+
+
+def parts_for(rows: int, a_part: int = ROWS_A_PART) -> int:
+    """Partitions that so many rows are worth; for ``coalesce``, so large tables stay as they are."""
+    return 1 + rows // a_part
+
+
+def written(df: DataFrame, a_part: int = ROWS_A_PART) -> DataFrame:
+    """``df`` checkpointed, in no more partitions than its rows are worth.
+
+    For tables that many small shuffles follow: a shuffle from n partitions
+    into m leaves files for each of the n and reads m times n stretches of them.
+    """
+    out = checkpointed(df)
+    return out.coalesce(parts_for(out.count(), a_part))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

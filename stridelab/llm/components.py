@@ -5,22 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, parts_for
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, parts: int) -> DataFrame:
     """Each node's larger neighbours are linked to its least neighbour (or itself)."""
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).coalesce(parts)
+    least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")).coalesce(parts)
+    return both.filter("b > a").join(least, "a").coalesce(parts).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct().coalesce(parts)
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, parts: int) -> DataFrame:
     """Each node and its smaller neighbours are linked to the least of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    least = down.groupBy("a").agg(F.min("b").alias("m")).coalesce(parts)
     moved = down.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+    return moved.unionByName(least.select("a", F.col("m").alias("b"))).coalesce(parts).distinct().coalesce(parts)
+
+
+def _settled(edges: DataFrame, parts: int, max_rounds: int) -> DataFrame:
+    """Stars until nothing moves: each node's edge leads to the least of its component."""
+    edges, mark = edges.coalesce(parts), None
+    for _ in range(max_rounds):
+        edges = checkpointed(_small_star(_large_star(edges, parts), parts))
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if now == mark:
+            return edges
+        mark = now
+    raise RuntimeError("components did not settle; raise max_rounds")
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
@@ -28,19 +40,13 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
 
     Each round is two joins on aggregated neighbours; no neighbour list is ever
     gathered. Every round is checkpointed; the last rounds' checksum decides.
+    Few edges stay in few partitions: each round has several shuffles, and a
+    shuffle of n partitions into n leaves n files however little is in them.
     Self-links are ignored (their nodes appear only if linked otherwise).
     """
     edges = checkpointed(edges.select("a", "b").filter("a <> b").distinct())
-    mark = None
-    for _ in range(max_rounds):
-        if edges.isEmpty():
-            break
-        edges = checkpointed(_small_star(_large_star(edges)))
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == mark:
-            break
-        mark = now
-    else:
-        raise RuntimeError("components did not settle; raise max_rounds")
+    total = edges.count()
+    if total:
+        edges = _settled(edges, parts_for(total), max_rounds)
     heads = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(heads)

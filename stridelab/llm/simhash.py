@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import in_blocks, pairs_within
-from .common import checkpointed, free_name
+from .common import checkpointed, free_name, written
 from .components import connected_components
 
 WIDTH = 64
@@ -282,6 +282,8 @@ NEAREST_ROUNDS = 2
 SKETCH, WIDE_SKETCH = 1024, 8192
 #: Texts whose shingle sets a worker holds at a time.
 HELD = 256
+#: Rows with a wide sketch or a set of shingles that make a partition of their own.
+WIDE_ROWS_A_PART = 5_000
 #: Rows (two longs each) up to which a table is sent to every task; it is counted first.
 BROADCAST_ROWS = 1 << 20
 
@@ -414,16 +416,16 @@ def _similar(pairs: DataFrame, marks: DataFrame, texts: DataFrame, percent: int,
 
     def of_texts(pairs: DataFrame, column: Column) -> DataFrame:
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        known = checkpointed(marks.join(wanted, "node").select("node", "mark"))
+        known = written(marks.join(wanted, "node").select("node", "mark"))
         few = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
-        return checkpointed(texts.join(few, "mark").select("node", column.alias("drawn")).groupBy("node").agg(F.first("drawn").alias("drawn")))
+        return written(texts.join(few, "mark").select("node", column.alias("drawn")).groupBy("node").agg(F.first("drawn").alias("drawn")), WIDE_ROWS_A_PART)
 
-    pairs = checkpointed(pairs)
+    pairs = written(pairs)
     drawn = of_texts(pairs, wide_sketch_column(F.col("text"), words)).select("node", "drawn.*")
     sketched = pairs.join(side(drawn, "a", "n", "wide"), "a").join(side(drawn, "b", "n", "wide"), "b")
     apart = F.aggregate(F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
     both = F.col("n_a") + F.col("n_b")
-    pairs = checkpointed(sketched.filter((100 + percent) * (both - apart) >= 2 * percent * both).select("a", "b"))
+    pairs = written(sketched.filter((100 + percent) * (both - apart) >= 2 * percent * both).select("a", "b"))
     held = of_texts(pairs, shingle_set_column(F.col("text"), words)).withColumnRenamed("drawn", "shingles")
     sets = pairs.join(side(held, "a", "shingles"), "a").join(side(held, "b", "shingles"), "b")
     common = F.size(F.array_intersect("shingles_a", "shingles_b"))
@@ -447,7 +449,7 @@ def jaccard_links(rows: DataFrame, prefixes: DataFrame, texts: DataFrame, percen
     met = checkpointed(met.filter(F.col("least.node") < F.col("last")).drop("last"))
     near = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
-    home = checkpointed(rows.groupBy("node").agg(F.min("print").alias("home"), F.min("mark").alias("mark"), F.first("sketch").alias("sketch")))
+    home = written(rows.groupBy("node").agg(F.min("print").alias("home"), F.min("mark").alias("mark"), F.first("sketch").alias("sketch")))
     same = rows.select("print", "node").distinct().join(home.drop("mark", "sketch"), "node").filter("print <> home").select(F.col("print").alias("a"), F.col("home").alias("b"))
 
     def in_prints(pairs: DataFrame) -> DataFrame:
@@ -455,31 +457,31 @@ def jaccard_links(rows: DataFrame, prefixes: DataFrame, texts: DataFrame, percen
         return pairs.join(a, "a").join(b, "b").select(F.col("home_a").alias("a"), F.col("home_b").alias("b"))
 
     first = met.filter((F.col("node") > F.col("least.node")) & near(F.col("n"), F.col("least.n"))).select(F.col("least.node").alias("a"), F.col("node").alias("b"), F.col("least.n").alias("na"), F.col("n").alias("nb"))
-    found = checkpointed(same.unionByName(in_prints(_similar(_enough(first, percent), home, texts, percent, words))))
+    found = written(same.unionByName(in_prints(_similar(_enough(first, percent), home, texts, percent, words))))
 
     def part_of(found: DataFrame) -> DataFrame:
         parts = connected_components(linked.unionByName(found)).withColumnRenamed("node", "home")
-        return checkpointed(home.select("node", "home").join(parts, "home", "left").select("node", F.coalesce("component", "home").alias("part")))
+        return written(home.select("node", "home").join(parts, "home", "left").select("node", F.coalesce("component", "home").alias("part")))
 
     part = part_of(found)
     met = met.drop("least").join(part, "node")
     met = met.withColumn("low", F.min("part").over(per_token)).withColumn("high", F.max("part").over(per_token))
     met = met.filter("low < high").select("token", "pos", "part", "node", "n").join(home.select("node", "sketch"), "node")
-    pairs = checkpointed(_possible(met, percent))
+    pairs = written(_possible(met, percent))
     for _ in range(NEAREST_ROUNDS):
         # Each text's nearest first: most of the other pairs are then in one component, and go unread.
         ways = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y"), "apart"), F.struct(F.col("b").alias("x"), F.col("a").alias("y"), "apart"))).alias("w"))
         nearest = ways.groupBy("w.x").agg(F.min_by("w.y", F.struct("w.apart", "w.y")).alias("y"))
         nearest = nearest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        found = checkpointed(found.unionByName(in_prints(_similar(nearest, home, texts, percent, words))))
+        found = written(found.unionByName(in_prints(_similar(nearest, home, texts, percent, words))))
         part = part_of(found)
         for c in "ab":
             pairs = pairs.join(part.select(F.col("node").alias(c), F.col("part").alias(f"p{c}")), c)
-        pairs = checkpointed(pairs.filter("pa <> pb").select("a", "b", "apart"))
+        pairs = written(pairs.filter("pa <> pb").select("a", "b", "apart"))
         if pairs.isEmpty():
             return found
     rest = _similar(pairs.select("a", "b"), home, texts, percent, words)
-    return checkpointed(found.unionByName(in_prints(rest)))
+    return written(found.unionByName(in_prints(rest)))
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, size: int, budget: int, crowd: int, percent: int | None, words: int) -> tuple[DataFrame, DataFrame]:
@@ -494,7 +496,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, size: int, budget: int
     classes = checkpointed(rows.groupBy("print").agg(F.min("id").alias("first_id")))
     links = fingerprint_links(classes.select("print"), budget, crowd, classes.count())
     if percent:
-        links = checkpointed(links)
+        links = written(links)
         more = jaccard_links(rows.select("print", "node", "mark", "sketch"), rows.select("node", "n", "prefix"), texts.select("mark", "text"), percent, words, links)
         links = links.unionByName(more)
     roots = connected_components(links)
