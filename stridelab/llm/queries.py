@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import decontam, htmlwrap, langid, media, mixing, pii, simhash, token_counts, toxicity, urlfilter
+from . import byte_bpe, decontam, fim, htmlwrap, langid, media, mixing, pii, simhash, token_counts, toxicity, urlfilter
 from .common import id_bucket, read
 
 #: The url rules (host, path, action).
@@ -109,6 +109,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, model, F.coalesce(bucket == 0, F.lit(False)))
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fim.transform(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    hashed = lambda text: F.sha2(text.cast("binary"), 256)
+    back = fim.restored(F.col("output"), F.col("form"))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", hashed(F.col("output")).alias("output_sha256"), hashed(back).alias("restored_sha256"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    tokenizer = byte_bpe.Tokenizer(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    tokens = tokenizer.decode(tokenizer.encode(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+    return tokens.select("doc_id", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_token_counts": op2_token_counts,
@@ -120,6 +135,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_html": op9_html,
     "op10_toxicity": op10_toxicity,
+    "op11_fim": op11_fim,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 
 
@@ -159,6 +176,26 @@ ORACLES = {
           SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(body, '&quot;?', '"', 'g'), '&(lt|gt);', '', 'g'), '&amp;?', '&', 'g') AS body FROM marked)
         SELECT page_id, url, trim(regexp_replace(body, '[[:space:]]+', ' ', 'g')) AS text, CAST(length(trim(regexp_replace(body, '[[:space:]]+', ' ', 'g'))) AS BIGINT) AS n_chars FROM decoded
     """,
+    "op11_fim": """
+        WITH cut AS (
+          SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[ \\t-\\r]*[^ \\t-\\r]+|[ \\t-\\r]+') AS tokens, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+          FROM documents),
+        drawn AS (
+          SELECT doc_id, text, tokens, CAST(len(tokens) AS BIGINT) AS n,
+                 CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4
+          FROM cut),
+        parts AS (
+          SELECT doc_id, text, n,
+                 CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form,
+                 array_to_string(tokens[1:least(h1 % (n + 1), h2 % (n + 1))], '') AS prefix,
+                 array_to_string(tokens[least(h1 % (n + 1), h2 % (n + 1)) + 1:greatest(h1 % (n + 1), h2 % (n + 1))], '') AS middle,
+                 array_to_string(tokens[greatest(h1 % (n + 1), h2 % (n + 1)) + 1:], '') AS suffix
+          FROM drawn)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM parts
+    """,
 }
 
 
