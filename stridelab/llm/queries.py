@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import byte_bpe, decontam, fim, htmlwrap, langid, media, mixing, pii, simhash, token_counts, toxicity, urlfilter
+from . import byte_bpe, decontam, fim, htmlwrap, langid, media, mixing, pii, simhash, spelling, token_counts, toxicity, urlfilter
 from .common import id_bucket, read
 
 #: The url rules (host, path, action).
@@ -116,11 +116,27 @@ def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", hashed(F.col("output")).alias("output_sha256"), hashed(back).alias("restored_sha256"))
 
 
+#: Letters of op12's words, and the fewest that a word has.
+WORD_LETTERS, WORD_LEAST = "A-Za-z\u00c0-\u00ff", 7
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    runs = docs.select("doc_id", F.explode(spelling.long_runs(F.col("text"), WORD_LETTERS, WORD_LEAST)).alias("run"))
+    # One run in 31 loses a letter, as its digest says.
+    digest = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("run")).cast("binary"))
+    at = (digest % F.length("run")).cast("int")
+    slipped = F.concat(F.substring(F.col("run"), F.lit(1), at), F.substr(F.col("run"), at + 2))
+    words = runs.select(F.when(digest % 31 == 0, slipped).otherwise(F.col("run")).alias("word"))
+    counts = spelling.counted(words.filter(F.length("word") >= WORD_LEAST)).filter("n >= 2")
+    return spelling.variants(counts).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     tokenizer = byte_bpe.Tokenizer(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    tokens = tokenizer.decode(tokenizer.encode(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+    tokens = tokenizer.round_trip(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return tokens.select("doc_id", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -136,6 +152,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html": op9_html,
     "op10_toxicity": op10_toxicity,
     "op11_fim": op11_fim,
+    "op12_spelling": op12_spelling,
     "op13_byte_bpe": op13_byte_bpe,
 }
 
@@ -196,6 +213,40 @@ ORACLES = {
                sha256(text) AS restored_sha256
         FROM parts
     """,
+    # crc32 is written out bit by bit: DuckDB has none. Neighbours share what is left when a letter goes from one, or the same place from both.
+    "op12_spelling": """
+        WITH RECURSIVE octets AS (
+          SELECT b, list_reduce(list_concat([CAST(b AS BIGINT)], range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v FROM range(256) t(b)),
+        crc_table AS (SELECT list(v ORDER BY b) AS v FROM octets),
+        runs AS (
+          SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\u00c0-\u00ff]+')) AS run FROM documents),
+        low AS (
+          SELECT translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, doc_id FROM runs WHERE length(run) >= 7),
+        spelt AS (
+          SELECT run, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS h FROM low),
+        hashed AS (
+          SELECT run, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(range(0, length(h), 2), lambda i: CAST('0x' || h[i + 1:i + 2] AS BIGINT))),
+                          lambda c, o: xor(c // 256, v[CAST(xor(c % 256, o) AS INTEGER) + 1])), CAST(4294967295 AS BIGINT)) AS h
+          FROM spelt, crc_table),
+        slipped AS (
+          SELECT CASE WHEN h % 31 = 0 THEN left(run, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word FROM hashed),
+        words AS (SELECT word, count(*) AS n FROM slipped WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2),
+        gone AS (
+          SELECT word, n, i, left(word, CAST(i AS INTEGER)) || substr(word, CAST(i AS INTEGER) + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+        met AS (
+          SELECT a.word, a.n, b.word AS near, b.n AS m FROM gone a JOIN gone b USING (rest, i) WHERE a.word <> b.word
+          UNION SELECT a.word, a.n, b.word, b.n FROM words a JOIN gone b ON b.rest = a.word
+          UNION SELECT a.word, a.n, b.word, b.n FROM gone a JOIN words b ON a.rest = b.word),
+        best AS (
+          SELECT word, count(*) AS n_near, arg_min(near, (-m, near)) AS near, max(m) AS m FROM met GROUP BY word),
+        formed AS (
+          SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.m >= 10 * w.n THEN b.near END AS form, CASE WHEN b.m >= 10 * w.n THEN b.m END AS form_n
+          FROM words w LEFT JOIN best b USING (word)),
+        chains AS (
+          SELECT word, word AS root, form AS next FROM formed
+          UNION ALL SELECT c.word, f.word, f.form FROM chains c JOIN formed f ON f.word = c.next)
+        SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n FROM formed f JOIN chains c ON c.word = f.word AND c.next IS NULL
+    """,
 }
 
 
