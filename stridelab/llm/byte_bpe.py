@@ -19,7 +19,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import islice
 
@@ -28,14 +29,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 #: Moves that an encoder keeps; beyond that it starts to make them anew.
-MOVES = 700_000
+MOVES = 500_000
 #: Encoded pre-tokens that a task keeps, and the longest kept.
-KEPT, LONGEST_KEPT = 400_000, 48
+KEPT, LONGEST_KEPT = 150_000, 48
 #: Ids that are decoded at a time.
 CHUNK = 1 << 16
 ROOT = 0
 NEVER = 1 << 40
+#: No token before.
+NONE = (1 << 32) - 1
 
 
 def parse_ranks(lines: bytes) -> dict[bytes, int]:
@@ -52,6 +57,24 @@ def _shared(lists: list[tuple[int, ...]]) -> int:
     return n
 
 
+def _ids(tokens: Iterable[int]) -> bytes:
+    return array("I", tokens).tobytes()
+
+
+def _packed(readings: list[tuple[int, int, tuple[int, ...]]]) -> bytes:
+    """Readings (node, last token, untold tokens) as a key of little room."""
+    return _ids(x for node, last, untold in readings for x in (node, last, len(untold), *untold))
+
+
+def _unpacked(key: bytes) -> Iterator[tuple[int, int, tuple[int, ...]]]:
+    flat = memoryview(key).cast("I").tolist()
+    i = 0
+    while i < len(flat):
+        rest = i + 3 + flat[i + 2]
+        yield flat[i], flat[i + 1], tuple(flat[i + 3 : rest])
+        i = rest
+
+
 class Encoder:
     """Token ids of byte strings, each string by itself; equal to merging the least rank first, leftmost first."""
 
@@ -81,12 +104,15 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        start = ((ROOT, -1, ()),)
+        start = _packed([(ROOT, NONE, ())])
         self.states = {start: 0}
         self.readings = [start]
-        self.moves: list[dict[int, tuple[int, bytes]]] = [{}]
+        #: (state << 8 | byte) -> state, or its complement if the move tells tokens; these tokens; what a state tells at the end.
+        self.moves: dict[int, int] = {}
+        self.told: dict[int, bytes] = {}
         self.ends = [b""]
-        self.made = 0
+        if len(self._apart) > MOVES:
+            self._apart.clear()
 
     def halves(self, rank: int) -> tuple[int, int] | None:
         """The two tokens whose merge made this one; None for a single byte."""
@@ -134,45 +160,46 @@ class Encoder:
             else:
                 j += 1
 
-    def _move(self, state: int, byte: int) -> tuple[int, bytes]:
+    def _move(self, state: int, byte: int) -> int:
         """Make the move of a state on a byte."""
         steps, token_at, inner = self.steps, self.token_at, self.inner
         found = []
-        for node, last, untold in self.readings[state]:
+        for node, last, untold in _unpacked(self.readings[state]):
             child = steps.get(node << 8 | byte)
             if child is None:
                 continue
             if inner[child]:
                 found.append((child, last, untold))
             token = token_at[child]
-            if token >= 0 and (last < 0 or self.stay_apart(last, token)):
+            if token >= 0 and (last == NONE or self.stay_apart(last, token)):
                 found.append((ROOT, token, (*untold, token)))
         agreed = _shared([untold for _, _, untold in found])
-        told = b"".join(t.to_bytes(4, "little") for t in found[0][2][:agreed])
-        key = tuple((node, last, untold[agreed:]) for node, last, untold in found) if agreed else tuple(found)
+        told = found[0][2][:agreed]
+        key = _packed([(node, last, untold[agreed:]) for node, last, untold in found])
         target = self.states.get(key)
         if target is None:
             target = self.states[key] = len(self.readings)
             self.readings.append(key)
-            self.moves.append({})
-            done = next(untold for node, _, untold in key if node == ROOT)
-            self.ends.append(b"".join(t.to_bytes(4, "little") for t in done))
-        self.moves[state][byte] = (target, told)
-        self.made += 1
-        return target, told
+            self.ends.append(next(_ids(untold[agreed:]) for node, _, untold in found if node == ROOT))
+        if told:
+            self.told[state << 8 | byte] = _ids(told)
+            target = ~target
+        self.moves[state << 8 | byte] = target
+        return target
 
     def encode(self, data: bytes) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        if self.made > MOVES:
+        if len(self.moves) > MOVES:
             self._forget()
         state, out, moves = 0, [], self.moves
         for byte in data:
-            hit = moves[state].get(byte)
-            if hit is None:
-                hit = self._move(state, byte)
-            state, told = hit
-            if told:
-                out.append(told)
+            key = state << 8 | byte
+            state = moves.get(key)
+            if state is None:
+                state = self._move(key >> 8, byte)
+            if state < 0:
+                out.append(self.told[key])
+                state = ~state
         out.append(self.ends[state])
         return b"".join(out)
 
@@ -377,8 +404,10 @@ def _vocabulary(lines: bytes, pattern: str) -> Vocabulary:
     return _vocabularies[key]
 
 
-def _binary(values: Iterable[bytes | None]) -> pa.Array:
-    return pa.array(values, type=pa.binary())
+def _mapped(work: Callable[[object], tuple | bytes], column: pa.Array, kind: pa.DataType, rows: int = 256) -> pa.Array:
+    """``work`` on each value; only some rows are Python objects at a time."""
+    parts = [pa.array([work(value) for value in column.slice(k, rows).to_pylist()], type=kind) for k in range(0, len(column), rows)]
+    return pa.concat_arrays(parts) if parts else pa.array([], type=kind)
 
 
 class Tokenizer:
@@ -405,7 +434,7 @@ class Tokenizer:
         def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             vocabulary = _vocabulary(lines.value, pattern)
             for batch in batches:
-                yield _binary([vocabulary.encode(value.as_py() or "") for value in batch])
+                yield _mapped(lambda text: vocabulary.encode(text or ""), batch, pa.binary())
 
         return encoded(text)
 
@@ -417,7 +446,7 @@ class Tokenizer:
         def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             vocabulary = _vocabulary(lines.value, pattern)
             for batch in batches:
-                yield _binary([vocabulary.decode(value.as_py() or b"") for value in batch])
+                yield _mapped(lambda packed: vocabulary.decode(packed or b""), batch, pa.binary())
 
         return decoded(ids)
 
@@ -433,3 +462,23 @@ class Tokenizer:
     def decode(self, rows: DataFrame, ids_col: str = "token_ids", bytes_col: str = "decoded") -> DataFrame:
         """``rows`` with the bytes of their packed ids; ids that the vocabulary has not are an error."""
         return rows.withColumn(bytes_col, self.bytes_of(F.col(ids_col)))
+
+    def round_trip(self, docs: DataFrame, text_col: str = "text", ids_col: str = "token_ids", bytes_col: str = "decoded") -> DataFrame:
+        """``decode`` of ``encode``, with each text in Python once."""
+        lines, pattern = self.lines, self.pattern
+        kind = pa.struct([("ids", pa.binary()), ("back", pa.binary())])
+
+        @F.arrow_udf("ids binary, back binary")
+        def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            vocabulary = _vocabulary(lines.value, pattern)
+
+            def coded(text: str | None) -> tuple[bytes, bytes]:
+                ids = vocabulary.encode(text or "")
+                return ids, vocabulary.decode(ids)
+
+            for batch in batches:
+                yield _mapped(coded, batch, kind)
+
+        made = free_name(docs, "__coded")
+        coded = docs.withColumn(made, both(F.col(text_col)))
+        return coded.withColumns({ids_col: F.col(f"{made}.ids"), bytes_col: F.col(f"{made}.back")}).drop(made)
