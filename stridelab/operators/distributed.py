@@ -3,93 +3,143 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import isfinite
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
 
-#: Bins of a pass, and the values (distinct) of a bracket that end the search.
-BINS, FEW = 1024, 10_000
+#: Size of a quantile sketch, and the share of rows by which its places may be off (twice what is customary for this size).
+SKETCH, SLACK = 4096, 0.0026
+#: Rows of a piece that one task puts in order.
+PIECE_ROWS = 1_000_000
+#: Cuts of a piece that is still too large.
+CUTS = 255
 
 
-def quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], bins: int = BINS, few: int = FEW) -> dict[str, list[float | None]]:
+def quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], piece_rows: int | None = None) -> dict[str, list[float | None]]:
     """Exact quantiles (linear between neighbours) of each column; nulls and NaN are left out.
 
-    Infinities are counted apart and stand before and behind the finite values;
-    between an infinity and another value there is no number (NaN).
-
-    Each pass counts the values of every open bracket by equal bins (with
-    map-side partial counts) and narrows it to the bin that holds the wanted
-    rank; a bracket of few distinct values is then read. Only counts and those
-    few values come to the driver.
+    Infinities stand before and behind the finite values; between an infinity
+    and another value there is no number (NaN). A column without values has
+    None.
+
+    Three reads of ``df``, whatever the number of columns: a sketch of each
+    column cuts it at values a little before and behind each wanted place; the
+    values between and at the cuts are counted, which settles places that hold
+    a cut; and the values of the pieces with the others, about one in a
+    hundred, are written. A written piece is put in order in one task, after
+    it has been cut again as long as it has over ``piece_rows`` values. All
+    cuts are values that occur, so neither widths nor magnitudes matter. The
+    driver gets cuts, counts and the quantiles.
     """
-    endless = float("inf")
-    every = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in columns}
-    x = {c: F.when(F.abs(v) < endless, v) for c, v in every.items()}
-    parts = []
-    for i, c in enumerate(columns):
-        parts += [f(x[c]).alias(f"{n}{i}") for n, f in (("lo", F.min), ("hi", F.max), ("n", F.count))]
-        parts += [F.count_if(every[c] == F.lit(sign * endless)).alias(f"{n}{i}") for n, sign in (("below", -1), ("above", 1))]
-    ends = df.agg(*parts).first()
-    out: dict[str, list[float | None]] = {c: [None] * len(probabilities) for c in columns}
-    # A target is (column, rank): the value at that zero-based place of the sorted column.
-    targets: dict[tuple[int, int], float | None] = {}
+    limit = PIECE_ROWS if piece_rows is None else piece_rows
+    x = [F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in columns]
+    around = sorted({min(1.0, max(0.0, p + side * SLACK)) for p in probabilities for side in (-1, 1)})
+    sketched = [F.when(F.count(v) > 0, F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double(v, F.lit(SKETCH)), F.array(*map(F.lit, around)))).alias(f"c{i}") for i, v in enumerate(x)]
+    cuts = [sorted(set(found or ())) for found in df.agg(*sketched).first()]
+    codes = [_code(v, own) for v, own in zip(x, cuts, strict=True)]
+    coded = F.array(*(F.when(v.isNotNull(), F.struct(F.lit(i).alias("g"), code.alias("code"))) for i, (v, code) in enumerate(zip(x, codes, strict=True))))
+    counts = _counts(df.select(F.explode(coded).alias("h")).filter("h IS NOT NULL").select("h.*"))
     wanted: dict[tuple[int, int], tuple[int, int, float]] = {}
+    # Of each place (column, rank): its value, or the piece that holds it and its rank there.
+    values: dict[tuple[int, int], float] = {}
+    places: dict[tuple[int, int], tuple[object, int]] = {}
     for i in range(len(columns)):
-        below, finite, above = ends[f"below{i}"], ends[f"n{i}"], ends[f"above{i}"]
-        n = below + finite + above
+        n = sum(counts.get(i, {}).values())
         for j, p in enumerate(probabilities) if n else ():
-            place = (n - 1) * p
-            low = int(place)
-            wanted[i, j] = (low, min(low + 1, n - 1), place - low)
+            low = int((n - 1) * p)
+            wanted[i, j] = (low, min(low + 1, n - 1), (n - 1) * p - low)
             for rank in wanted[i, j][:2]:
-                targets[i, rank] = -endless if rank < below else endless if rank >= below + finite else None
-    # Of each open target: bracket [lo, hi], values before it, values inside.
-    brackets = {t: (ends[f"lo{t[0]}"], ends[f"hi{t[0]}"], ends[f"below{t[0]}"], ends[f"n{t[0]}"]) for t, found in targets.items() if found is None}
-    while brackets:
-        for t in [t for t, (lo, hi, _, _) in brackets.items() if lo == hi]:
-            targets[t] = brackets.pop(t)[0]
-        small = {b for b in set((t[0], *v) for t, v in brackets.items()) if b[4] <= few}
-        if small:
-            rows = _inside(df, x, columns, [(k, b[0], b[1], b[2]) for k, b in enumerate(sorted(small))]).groupBy("k", "x").count().collect()
-            for k, b in enumerate(sorted(small)):
-                values = sorted((r["x"], r["count"]) for r in rows if r["k"] == k)
-                for t in [t for t, v in brackets.items() if (t[0], *v) == b]:
-                    seen = b[3]
-                    for value, n in values:
-                        seen += n
-                        if t[1] < seen:
-                            targets[t] = value
-                            break
-                    del brackets[t]
-        if not brackets:
-            break
-        large = sorted({(t[0], *v) for t, v in brackets.items()})
-        found = _inside(df, x, columns, [(k, b[0], b[1], b[2]) for k, b in enumerate(large)])
-        width = F.element_at(F.array(*(F.lit((b[2] - b[1]) / bins) for b in large)), F.col("k") + 1)
-        start = F.element_at(F.array(*(F.lit(float(b[1])) for b in large)), F.col("k") + 1)
-        bin_ = F.when(width > 0, F.least(F.floor((F.col("x") - start) / width), F.lit(bins - 1))).otherwise(0)
-        counts = found.groupBy("k", bin_.alias("bin")).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
-        for k, b in enumerate(large):
-            own = sorted((r["bin"], r["lo"], r["hi"], r["n"]) for r in counts if r["k"] == k)
-            for t in [t for t, v in brackets.items() if (t[0], *v) == b]:
-                seen = b[3]
-                for _, lo, hi, n in own:
-                    if t[1] < seen + n:
-                        brackets[t] = (lo, hi, seen, n)
-                        break
-                    seen += n
+                _settle(values, places, (i, rank), i, rank, counts[i], cuts[i])
+    if places:
+        open_ = sorted({piece for piece, _ in places.values()})
+        number = {piece: k for k, piece in enumerate(open_)}
+        kept = []
+        for i, (v, code) in enumerate(zip(x, codes, strict=True)):
+            own = [k for g, k in open_ if g == i]
+            if own:
+                group = F.element_at(F.create_map(*(F.lit(y) for k in own for y in (k, number[i, k]))), code)
+                kept.append(F.when(code.isin(own), F.struct(group.alias("g"), v.alias("x"))))
+        pieces = checkpointed(df.select(F.explode(F.array(*kept)).alias("h")).filter("h IS NOT NULL").select("h.*"))
+        places = {at: (number[piece], rank) for at, (piece, rank) in places.items()}
+        sizes = {number[i, k]: counts[i][k] for i, k in open_}
+        _resolve(pieces, sizes, places, values, limit)
+    out: dict[str, list[float | None]] = {c: [None] * len(probabilities) for c in columns}
     for (i, j), (low, high, part) in wanted.items():
-        a, b = targets[i, low], targets[i, high]
-        out[columns[i]][j] = a if a == b or not part else a + (b - a) * part
+        a, b = values[i, low], values[i, high]
+        out[columns[i]][j] = _between(a, b, part)
+    return out
+
+
+def _between(a: float, b: float, part: float) -> float:
+    if a == b or not part:
+        return a
+    if isfinite(a) and isfinite(b) and not isfinite(b - a):
+        return a * (1 - part) + b * part
+    return a + (b - a) * part
+
+
+def _code(x: Column, cuts: Sequence[float]) -> Column:
+    """Twice the number of cuts below x, and one more if x is a cut."""
+    return sum(((x > F.lit(c)).cast("int") + (x >= F.lit(c)).cast("int") for c in cuts), F.lit(0))
+
+
+def _counts(coded: DataFrame) -> dict[int, dict[int, int]]:
+    """Rows by g and code: a few for each cut."""
+    out: dict[int, dict[int, int]] = {}
+    for r in coded.groupBy("g", "code").agg(F.count("*").alias("n")).collect():
+        out.setdefault(r["g"], {})[r["code"]] = r["n"]
     return out
 
 
-def _inside(df: DataFrame, x: dict, columns: Sequence[str], brackets: Sequence[tuple[int, int, float, float]]) -> DataFrame:
-    """(k, x): the values inside each bracket (k, column, lo, hi)."""
-    hits = [F.when(x[columns[i]].between(F.lit(float(lo)), F.lit(float(hi))), F.struct(F.lit(k).alias("k"), x[columns[i]].alias("x"))) for k, i, lo, hi in brackets]
-    return df.select(F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull())).alias("h")).select("h.k", "h.x")
+def _settle(values: dict, places: dict, at: tuple[int, int], group: int, rank: int, counts: dict[int, int], cuts: Sequence[float]) -> None:
+    """The value at a rank, if it is a cut; else the piece (group, code) that holds it."""
+    for code in sorted(counts):
+        if rank < counts[code]:
+            if code % 2:
+                values[at] = cuts[code // 2]
+                places.pop(at, None)
+            else:
+                places[at] = ((group, code), rank)
+            return
+        rank -= counts[code]
+    raise RuntimeError("a rank beyond the rows: the table changed while it was read")
+
+
+def _resolve(pieces: DataFrame, sizes: dict[int, int], places: dict, values: dict, limit: int) -> None:
+    """The values at places (g, rank) of pieces (g, x)."""
+    while places and max(sizes[g] for g, _ in places.values()) > limit:
+        steps = [(k + 1) / (CUTS + 1) for k in range(CUTS)]
+        sketch = F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double("x", F.lit(SKETCH)), F.array(*map(F.lit, steps)))
+        found = checkpointed(pieces.groupBy("g").agg(F.array_sort(F.array_distinct(sketch)).alias("cuts")))
+        cuts = {r["g"]: r["cuts"] for r in found.collect()}  # a row for each piece
+        code = F.size(F.filter("cuts", lambda c: c < F.col("x"))) + F.size(F.filter("cuts", lambda c: c <= F.col("x")))
+        coded = checkpointed(pieces.join(F.broadcast(found), "g").select("g", "x", code.alias("code")))
+        counts = _counts(coded)
+        for at, (g, rank) in list(places.items()):
+            _settle(values, places, at, g, rank, counts[g], cuts[g])
+        open_ = sorted({piece for piece, _ in places.values()})
+        if not open_:
+            return
+        number = {piece: k for k, piece in enumerate(open_)}
+        if max(counts[g][k] for g, k in open_) >= max(sizes.values()):
+            raise RuntimeError("a pass did not narrow the pieces")
+        keys = F.broadcast(pieces.sparkSession.createDataFrame([(g, k, n) for (g, k), n in number.items()], "g int, code int, number int"))
+        pieces = checkpointed(coded.join(keys, ["g", "code"]).select(F.col("number").alias("g"), "x"))
+        places.update({at: (number[piece], rank) for at, (piece, rank) in places.items()})
+        sizes = {number[g, k]: counts[g][k] for g, k in open_}
+    if not places:
+        return
+    asked = sorted({(g, rank + 1) for g, rank in places.values()})
+    order = F.row_number().over(Window.partitionBy("g").orderBy("x"))
+    few = F.broadcast(pieces.sparkSession.createDataFrame(asked, "g int, nth int"))
+    rows = pieces.withColumn("nth", order).join(few, ["g", "nth"]).collect()  # a row for each place
+    found = {(r["g"], r["nth"]): r["x"] for r in rows}
+    for at, (g, rank) in places.items():
+        values[at] = found[g, rank + 1]
+    places.clear()
 
 
 def dealt_rank(df: DataFrame, group: str, key: str, out: str, seed: int = 0, rows_per_bucket: int = 1_000_000) -> DataFrame:

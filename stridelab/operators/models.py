@@ -8,6 +8,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from itertools import product
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -17,6 +18,9 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+from . import neighbours
+
 
 def assembled(df: DataFrame, columns: Sequence[str], label: str = "label") -> DataFrame:
     """``features`` vector and double ``label``, with a balanced ``weight`` per class."""
@@ -33,11 +37,11 @@ def logistic(rows: int, c: float = 1.0, iterations: int = 100) -> LogisticRegres
     return LogisticRegression(maxIter=iterations, regParam=1.0 / (c * max(1, rows)), standardization=False, weightCol="weight")
 
 
-def forest(trees: int = 100, depth: int = 10, seed: int = 42) -> RandomForestClassifier:
+def forest(trees: int = 100, depth: int = 20, seed: int = 42) -> RandomForestClassifier:
     return RandomForestClassifier(numTrees=trees, maxDepth=min(depth, 30), minInstancesPerNode=5, seed=seed, weightCol="weight")
 
 
-def boosted(rounds: int = 30, depth: int = 4, rate: float = 0.1, seed: int = 42) -> GBTClassifier:
+def boosted(rounds: int = 100, depth: int = 6, rate: float = 0.1, seed: int = 42) -> GBTClassifier:
     return GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed, weightCol="weight")
 
 
@@ -63,7 +67,7 @@ def kernel_machine(penalty: float = 1e-3) -> LinearSVC:
 class Boosting:
     """AdaBoost (SAMME) over weighted decision stumps."""
 
-    def __init__(self, rounds: int = 20, rate: float = 0.5):
+    def __init__(self, rounds: int = 150, rate: float = 0.05):
         self.rounds, self.rate = rounds, rate
         self.stumps: list[tuple[float, object]] = []
 
@@ -106,21 +110,39 @@ class Boosting:
 
 def scored(model, df: DataFrame) -> DataFrame:
     """``df`` with the model's ``score`` for class 1 (its margin where it has no probability)."""
+    if isinstance(model, Boosting):
+        return model.scores(df)
     out = model.transform(df)
     source = "probability" if "probability" in out.columns else "rawPrediction"
     return out.withColumn("score", vector_to_array(source)[1]).drop("rawPrediction", "probability", "prediction")
 
 
-def importances(df: DataFrame, columns: Sequence[str], trees: int = 20, seed: int = 42, label: str = "label") -> DataFrame:
+def importances(df: DataFrame, columns: Sequence[str], trees: int = 200, depth: int = 15, seed: int = 42, label: str = "label") -> DataFrame:
     """(column, importance) by a random forest."""
-    model = forest(trees, 5, seed).fit(assembled(df, columns, label))
+    model = forest(trees, depth, seed).fit(assembled(df, columns, label))
     rows = [(c, float(x)) for c, x in zip(columns, model.featureImportances.toArray(), strict=True)]
     return df.sparkSession.createDataFrame(rows, "column string, importance double")
 
 
+def with_p_values(scores: DataFrame, rows: DataFrame, label: str) -> DataFrame:
+    """``scores`` (a row per column, with ``f``) and ``p``: how likely so large an F is by chance.
+
+    The degrees of freedom are those of the rows and the classes that ``label``
+    has in them (null is no class). An F that is null or not a number has
+    p 1.
+    """
+    classes, n = rows.agg(F.count_distinct(label), F.count(label)).first()
+
+    @F.pandas_udf("double")
+    def survival(f: pd.Series) -> pd.Series:
+        return f.map(lambda x: f_survival(x, classes - 1, n - classes))
+
+    return scores.withColumn("p", survival("f"))
+
+
 def f_survival(f: float, a: int, b: int) -> float:
     """P(F > f) with a and b degrees of freedom, by the incomplete beta's continued fraction."""
-    if f is None or math.isnan(f) or f <= 0:
+    if f is None or math.isnan(f) or f <= 0 or a < 1 or b < 1:
         return 1.0
     x, p, q = b / (b + a * f), b / 2, a / 2
     if x > (p + 1) / (p + q + 2):
@@ -165,25 +187,29 @@ def adasyn(df: DataFrame, key: str, columns: Sequence[str], label: str, k: int =
     """Synthetic minority rows (label 1), more of them where the majority is near.
 
     A row gets its share of the deficit by the majority's share among its ``k``
-    nearest rows; each synthetic row lies between it and one of its minority
-    neighbours. For one fold's feature table, as ``knn_impute`` is.
+    nearest other rows; each synthetic row lies between it and one of its ``k``
+    nearest minority rows, at a place that key, number and seed decide. Keys
+    may repeat: rows are told apart by a number of their own, and only draws
+    of rows with equal keys are alike. A row without a neighbour, or without
+    one of the minority, gives none. Neighbours are found in blocks.
     """
-    from pyspark.sql import Window
-
-    sizes = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count("*").alias("n")).collect()}
-    deficit = sizes.get(0, 0) - sizes.get(1, 0)
-    a = df.filter(F.col(label) == 1).select(F.col(key).alias("ka"), F.array(*columns).alias("xa"))
-    b = df.select(F.col(key).alias("kb"), F.array(*columns).alias("xb"), F.col(label).alias("yb"))
-    squares = F.aggregate(F.zip_with("xa", "xb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
-    pairs = a.join(b, F.col("ka") != F.col("kb")).withColumn("d", squares)
-    near = Window.partitionBy("ka").orderBy("d", "kb")
-    hardness = pairs.withColumn("nth", F.row_number().over(near)).filter(F.col("nth") <= k).groupBy("ka").agg(F.avg((F.col("yb") == 0).cast("double")).alias("r"))
-    total = hardness.agg(F.sum("r").alias("total"))
-    plan = hardness.join(F.broadcast(total)).withColumn("times", F.when(F.col("total") > 0, F.round(F.col("r") / F.col("total") * max(0, deficit))).otherwise(0).cast("int"))  # one row
-    own = pairs.filter("yb = 1").withColumn("nth", F.row_number().over(near) - 1).filter(F.col("nth") < k).select("ka", "xa", "nth", "xb")
-    many = plan.filter("times > 0").select("ka", F.explode(F.sequence(F.lit(1), "times")).alias("t"))
-    drawn = many.withColumn("nth", F.pmod(F.xxhash64(F.lit(seed), "ka", "t"), F.lit(k)).cast("int"))
-    part = F.pmod(F.xxhash64(F.lit(seed + 1), "ka", "t"), F.lit(1000)) / 1000.0
-    made = drawn.withColumn("part", part).join(own, ["ka", "nth"])
-    row = F.zip_with("xa", "xb", lambda x, y: x + (y - x) * F.col("part"))
-    return made.select(F.col("ka").alias("source"), "t", *(row[i].alias(c) for i, c in enumerate(columns)), F.lit(1).alias(label))
+    number, flag = "__row", "__major"
+    rows = neighbours.numbered(df.withColumn(flag, (F.col(label) == 0).cast("double")), number)
+    sizes = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count("*").alias("n")).collect()}  # a row per class
+    deficit = max(0, sizes.get(0, 0) - sizes.get(1, 0))
+    minority = rows.filter(F.col(label) == 1)
+    hardness = neighbours.nearest(minority, rows, columns, number, key, k, flag).groupBy("query").agg(F.avg("value").alias("r"))
+    hardness = checkpointed(hardness)  # read twice
+    total = F.broadcast(hardness.agg(F.sum("r").alias("total")))  # one row
+    times = F.when(F.col("total") > 0, F.round(F.col("r") / F.col("total") * deficit)).otherwise(0).cast("int")
+    plan = hardness.join(total).select("query", times.alias("times")).filter("times > 0")
+    own = checkpointed(neighbours.nearest(minority, minority, columns, number, key, k, flag).select("query", "row", (F.col("nth") - 1).alias("nth")))
+    near = own.groupBy("query").agg(F.count("*").cast("int").alias("have"))
+    keys = minority.select(F.col(number).alias("query"), F.col(key).alias("source"), F.array(*columns).alias("xa"))
+    many = plan.join(near, "query").join(keys, "query").select("*", F.explode(F.sequence(F.lit(1), "times")).alias("t"))
+    drawn = many.withColumn("nth", F.pmod(F.xxhash64(F.lit(seed), "source", "t"), F.col("have")).cast("int"))
+    part = F.pmod(F.xxhash64(F.lit(seed + 1), "source", "t"), F.lit(1000)) / 1000.0
+    ends = minority.select(F.col(number).alias("row"), F.array(*columns).alias("xb"))
+    made = drawn.withColumn("part", part).join(own, ["query", "nth"]).join(ends, "row")
+    point = F.zip_with("xa", "xb", lambda x, y: x + (y - x) * F.col("part"))
+    return made.select("source", "t", *(point[i].alias(c) for i, c in enumerate(columns)), F.lit(1).alias(label))

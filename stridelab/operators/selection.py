@@ -8,13 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
+from . import neighbours
 from .distributed import dealt_rank, quantiles
 from .statistics import unpivoted
 
 #: Added to deviations before dividing.
 EPSILON = 1e-8
-#: Subjects up to which their statistics are sent to every task; they are counted first.
-BROADCAST_SUBJECTS = 10_000
 
 
 def _strict_mean(x: Column) -> Column:
@@ -35,10 +34,9 @@ def subject_statistics(train: DataFrame, columns: Sequence[str], subject: str =
 
 
 def normalise_train(train: DataFrame, columns: Sequence[str], subject: str = "subject") -> DataFrame:
-    """z-scores within each subject. The wide rows stay where they are; a row per subject is joined to them."""
-    own = checkpointed(subject_statistics(train, columns, subject).withColumnRenamed(subject, "__own"))
-    few = F.broadcast(own) if own.count() <= BROADCAST_SUBJECTS else own
-    joined = train.join(few, F.col(subject).eqNullSafe(F.col("__own")))
+    """z-scores within each subject. The wide rows stay where they are; a row per subject is joined to them (sent to all tasks, if Spark finds the rows to be few)."""
+    own = subject_statistics(train, columns, subject).withColumnRenamed(subject, "__own")
+    joined = train.join(own, F.col(subject).eqNullSafe(F.col("__own")))
     scores = {c: (F.col(c) - F.col(f"{c}__mean")) / F.col(f"{c}__std") for c in columns}
     return joined.withColumns(scores).select(*train.columns)
 
@@ -110,30 +108,29 @@ def binned_information(df: DataFrame, x: str, label: str, bins: int = 8) -> Data
     return shares.agg(F.sum(F.col("n") / F.col("t") * F.ln(F.col("n") * F.col("t") / (F.col("nb") * F.col("ny")))).alias("mi"))
 
 
-def knn_impute(df: DataFrame, key: str, columns: Sequence[str], k: int = 5, block: int | None = None) -> DataFrame:
-    """Gaps filled by the mean of the ``k`` nearest rows that have the value.
+def knn_impute(df: DataFrame, key: str, columns: Sequence[str], k: int = 5) -> DataFrame:
+    """Gaps filled by the mean of the ``k`` nearest other rows that have the value.
 
     Distance is Euclidean over the columns both rows have, scaled up for the
-    missing ones; ties by key; without such rows, the column's mean. Rows with
-    gaps are the queries; each is compared with all rows, so this is for one
-    fold's feature table.
+    missing ones; ties by ``key``, then by the value. A gap without such rows
+    takes the column's mean, and stays if the column has no value. Keys may
+    repeat or be null: rows are told apart by a number of their own, and as
+    many come out as went in. Infinities count as missing, in distances and as
+    values. Rows with gaps are held against all rows in blocks (see
+    ``neighbours``); rows without stay where they are.
     """
-    holes = df.filter(F.greatest(*(F.col(c).isNull().cast("int") for c in columns)) == 1)
-    a, b = holes.alias("a"), df.alias("b")
-    both = [F.col(f"a.{c}").isNotNull() & F.col(f"b.{c}").isNotNull() for c in columns]
-    shared = sum((x.cast("int") for x in both), F.lit(0))
-    squares = sum((F.when(x, F.pow(F.col(f"a.{c}") - F.col(f"b.{c}"), F.lit(2.0))).otherwise(0.0) for c, x in zip(columns, both, strict=True)), F.lit(0.0))
-    pairs = a.join(b, F.col(f"a.{key}") != F.col(f"b.{key}"))
-    pairs = pairs.withColumn("d", F.when(shared > 0, F.sqrt(squares * len(columns) / shared))).filter("d IS NOT NULL")
-    filled = holes.select(key)
-    for c in columns:
-        near = Window.partitionBy(f"a.{key}").orderBy("d", f"b.{key}")
-        mine = pairs.filter(F.col(f"a.{c}").isNull() & F.col(f"b.{c}").isNotNull())
-        ranked = mine.select(F.col(f"a.{key}").alias(key), F.col(f"b.{c}").alias("v"), F.row_number().over(near).alias("nth"))
-        filled = filled.join(ranked.filter(F.col("nth") <= k).groupBy(key).agg(F.avg("v").alias(f"{c}__knn")), key, "left")
-    means = df.agg(*(F.avg(c).alias(f"{c}__mean") for c in columns))
-    out = df.join(filled, key, "left").join(F.broadcast(means))  # one row
-    return out.withColumns({c: F.coalesce(F.col(c), F.col(f"{c}__knn"), F.col(f"{c}__mean")) for c in columns}).select(*df.columns)
+    clean = {c: F.when(F.abs(F.col(c).cast("double")) < float("inf"), F.col(c).cast("double")) for c in columns}
+    number = "__row"
+    rows = neighbours.numbered(df.withColumns(clean), number)
+    gap = F.greatest(*(F.col(c).isNull().cast("int") for c in columns)) if len(columns) > 1 else F.col(columns[0]).isNull().cast("int")
+    holes = rows.filter(gap == 1)
+    near = neighbours.nearest(holes, rows, columns, number, key, k)
+    means = near.groupBy(F.col("query").alias(number), "wanted").agg(F.avg("value").alias("v"))
+    filled = means.groupBy(number).agg(*(F.max(F.when(F.col("wanted") == i, F.col("v"))).alias(f"__knn{i}") for i in range(len(columns))))
+    overall = F.broadcast(rows.agg(*(F.avg(c).alias(f"__mean{i}") for i, c in enumerate(columns))))  # one row
+    joined = holes.join(filled, number, "left").join(overall)
+    done = joined.withColumns({c: F.coalesce(F.col(c), F.col(f"__knn{i}"), F.col(f"__mean{i}")) for i, c in enumerate(columns)})
+    return rows.filter(gap == 0).select(*df.columns).unionByName(done.select(*df.columns))
 
 
 def oversample(df: DataFrame, label: str, key: str) -> DataFrame:

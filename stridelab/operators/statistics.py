@@ -58,9 +58,15 @@ def null_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def constant_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Columns with at most one distinct value, null counted as one."""
-    distinct = unpivoted(df, lambda x: F.count_distinct(x) + F.max(x.isNull().cast("int")), columns, "n")
-    return distinct.filter("n <= 1").select("column")
+    """Columns with at most one distinct value, null counted as one; all columns of an empty table.
+
+    One partial aggregate: the least and the largest value, and the nulls.
+    """
+
+    def constant(x: Column) -> Column:
+        return F.min(x).eqNullSafe(F.max(x)) & F.count(x).isin(F.lit(0), F.count("*"))
+
+    return unpivoted(df, constant, columns, "constant").filter("constant").select("column")
 
 
 def top_variance(df: DataFrame, columns: Sequence[str], n: int) -> DataFrame:

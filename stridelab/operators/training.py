@@ -1,23 +1,32 @@
 """Leave-one-subject-out training and evaluation, fold by fold.
 
-A fold is: constant features dropped, z-scores by subject, the best features of
-each sensor kept, a classifier fitted on inner folds that never split a
-subject, a threshold from out-of-fold scores, and the held-out subject's
-confusion counts. The feature table is read per fold by partition, and what
-comes to the driver are column names, counts and thresholds.
+A fold is: constant features dropped, z-scores by subject, settings searched on
+inner folds that never split a subject (the best features of each sensor and
+the medians that fill their gaps are found anew on each), the best one fitted,
+a threshold from its out-of-fold scores, and the held-out subject's confusion
+counts. The feature table is read per fold by partition, and what comes to the
+driver are column names, counts, scores of settings and thresholds.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import finite
 from ..session import checkpointed
-from . import evaluation, models, selection, statistics
+from . import evaluation, models, selection, statistics, tuning
+
+
+@dataclass(frozen=True)
+class Classifier:
+    """``make``: an estimator of a seed and the parameters of ``grid``, by name the values to try."""
+
+    make: tuning.Make
+    grid: Mapping = field(default_factory=dict)
 
 
 @dataclass
@@ -27,20 +36,26 @@ class Report:
     results: DataFrame | None = None
     skipped: list[tuple[str, str, str]] = field(default_factory=list)
     chosen: dict[tuple[str, str], list[str]] = field(default_factory=dict)
+    #: The best setting of each (classifier, fold).
+    best: dict[tuple[str, str], dict] = field(default_factory=dict)
+
+    def settings(self, spark: SparkSession) -> DataFrame:
+        """(classifier, parameter, value, folds): the value chosen in most folds; ties to the least in text order."""
+        rows = [(name, p, str(v)) for (name, _), setting in self.best.items() for p, v in setting.items()]
+        counts = spark.createDataFrame(rows, "classifier string, parameter string, value string").groupBy("classifier", "parameter", "value").agg(F.count("*").alias("folds"))
+        most = F.min(F.struct(-F.col("folds"), F.col("value").alias("value"))).alias("m")
+        return counts.groupBy("classifier", "parameter").agg(most).select("classifier", "parameter", "m.value", (-F.col("m.col1")).alias("folds"))
 
 
 def prepared(train: DataFrame, test: DataFrame, columns: Sequence[str], subject: str) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Both sides without infinities and constant columns, as z-scores, gaps filled by the training medians."""
+    """Both sides without infinities and constant columns, as z-scores; gaps stay."""
     clean = {c: finite(F.col(c).cast("double")) for c in columns}
     train, test = train.withColumns(clean), test.withColumns(clean)
     constant = {r["column"] for r in statistics.constant_columns(train, columns).collect()}
     kept = [c for c in columns if c not in constant]
     if not kept:
         return train, test, []
-    scaled_test = checkpointed(selection.normalise_test(test, train, kept, subject))
-    scaled = checkpointed(selection.normalise_train(train, kept, subject))
-    values = selection.medians(scaled, kept)
-    return selection.fill_with(scaled, values), selection.fill_with(scaled_test, values), kept
+    return checkpointed(selection.normalise_train(train, kept, subject)), checkpointed(selection.normalise_test(test, train, kept, subject)), kept
 
 
 def inner_folds(train: DataFrame, subject: str, most: int = 3) -> DataFrame | None:
@@ -52,32 +67,40 @@ def inner_folds(train: DataFrame, subject: str, most: int = 3) -> DataFrame | No
     return train.join(F.broadcast(folds), F.col(subject) == F.col("__s")).drop("__s")  # a row per subject
 
 
-def threshold(train: DataFrame, columns: Sequence[str], label: str, make: Callable[[int], object], seed: int = 42) -> float:
-    """The F1-best threshold over out-of-fold scores."""
+def threshold(train: DataFrame, label: str, make: tuning.Make, setting: Mapping, selectors: Mapping[tuple[object, int], tuning.SensorKBestModel], seed: int = 42, balance: tuning.Balance = tuning.oversampled) -> float:
+    """The F1-best threshold over out-of-fold scores of one setting; ``selectors`` are those fitted on the inner folds."""
     scored = None
-    for k in sorted(r["inner"] for r in train.select("inner").distinct().collect()):
-        inside, outside = train.filter(F.col("inner") != k), train.filter(F.col("inner") == k)
-        if inside.select(label).distinct().count() < 2:
+    for fold, inside, outside in tuning.parts(train, "inner"):
+        chosen = selectors.get((fold, setting["k"]))
+        if chosen is None:
             continue
-        balanced = selection.oversample(inside.withColumn("__key", F.xxhash64(*columns)), label, "__key")
-        model = make(seed).fit(models.assembled(balanced, columns, label))
-        part = models.scored(model, models.assembled(outside, columns, label)).select("label", "score")
+        model = _made(make, seed, setting).fit(chosen.transform(balance(chosen.filled(inside), chosen.columns, label)))
+        part = models.scored(model, chosen.transform(outside)).select("label", "score")
         scored = part if scored is None else scored.unionByName(part)
     if scored is None:
         return 0.5
     return evaluation.best_threshold(evaluation.curve(scored, F.col("label"), F.col("score"))).first()["threshold"]
 
 
-def leave_one_subject_out(features: DataFrame, columns: Sequence[str], label: str, classifiers: Mapping[str, Callable[[int], object]], sensor: Column | None = None, k: int = 10, subject: str = "subject", folds: Sequence | None = None, seed: int = 42) -> Report:
+def _made(make: tuning.Make, seed: int, setting: Mapping):
+    return make(seed, **{p: v for p, v in setting.items() if p != "k"})
+
+
+def leave_one_subject_out(features: DataFrame, columns: Sequence[str], label: str, classifiers: Mapping[str, tuning.Make | Classifier], sensor: Column | None = None, k: int | Sequence[int] = 10, subject: str = "subject", folds: Sequence | None = None, seed: int = 42, settings: int = 20, balance: tuning.Balance = tuning.oversampled) -> Report:
     """Confusion counts and metrics of every classifier on every subject left out.
 
-    ``classifiers``: by name, a function of a seed that gives an estimator.
+    ``classifiers``: by name, a ``Classifier`` (or its ``make`` alone).
     ``sensor``: the group of the column named in ``column``; the ``k`` best of
-    each group are kept. A fold with fewer than two training subjects, with one
-    class in its training rows or without a varying feature is skipped, and so
-    is a classifier that fails on it.
+    each group are kept, and several ``k`` are part of the search. At most
+    ``settings`` settings of ``k`` and a classifier's grid are tried, drawn
+    without replacement; the one with the largest mean F1 over the inner folds
+    wins. A fold with fewer than two training subjects, with one class in its
+    training rows or without a varying feature is skipped, and so is a
+    classifier that cannot be fitted on it.
     """
     report = Report()
+    spark = features.sparkSession
+    ks = [k] if isinstance(k, int) else list(k)
     names = folds if folds is not None else sorted(r[0] for r in features.select(subject).distinct().collect())
     for fold in names:
         train, test, kept = prepared(features.filter(F.col(subject) != fold), features.filter(F.col(subject) == fold), columns, subject)
@@ -86,24 +109,28 @@ def leave_one_subject_out(features: DataFrame, columns: Sequence[str], label: st
             report.skipped.append(("*", str(fold), "no varying feature" if not kept else "too few subjects or classes"))
             continue
         split = checkpointed(split)
-        scores = selection.anova(split, kept, label)
-        best = selection.select_per_group(scores, sensor if sensor is not None else F.lit("all"), k)
-        picked = {r["column"] for r in best.collect()}
-        chosen = [c for c in kept if c in picked]
-        for name, make in classifiers.items():
+        selector = tuning.SensorKBest(kept, label, sensor)
+        whole = dict(zip(ks, (m for _, m in selector.fitMultiple(split, [{selector.k: each} for each in ks])), strict=True))
+        for name, classifier in classifiers.items():
+            classifier = classifier if isinstance(classifier, Classifier) else Classifier(classifier)
             try:
-                t = threshold(split, chosen, label, make, seed)
-                balanced = selection.oversample(split.withColumn("__key", F.xxhash64(*chosen)), label, "__key")
-                model = make(seed).fit(models.assembled(balanced, chosen, label))
-                judged = models.scored(model, models.assembled(test, chosen, label)).withColumn("p", (F.col("score") >= t).cast("int"))
-                counts = evaluation.confusion(judged, [], F.col("label"), F.col("p"))
+                _made(classifier.make, seed, {p: list(v)[0] for p, v in classifier.grid.items()})  # what no setting can make is told as such
+                found = tuning.search(split, "inner", selector, classifier.make, classifier.grid, ks, settings, seed, balance=balance)
+                best = found.best
+                if best is None:
+                    raise ValueError("no setting could be fitted on all inner folds")
+                chosen = whole[best["k"]]
+                t = threshold(split, label, classifier.make, best, found.selectors, seed, balance)
+                model = _made(classifier.make, seed, best).fit(chosen.transform(balance(chosen.filled(split), chosen.columns, label)))
+                marked = models.scored(model, chosen.transform(test)).withColumn("p", (F.col("score") >= t).cast("int"))
+                counts = evaluation.confusion(marked, [], F.col("label"), F.col("p"))
                 row = counts.select(F.lit(name).alias("classifier"), F.lit(str(fold)).alias("fold"), F.lit(float(t)).alias("threshold"), "tn", "fp", "fn", "tp")
                 done = row.collect()  # one row: a fold's result
-            except Exception as error:  # noqa: BLE001 - a classifier that fails leaves the others alone
+            except tuning.UNFIT as error:
                 report.skipped.append((name, str(fold), str(error).splitlines()[0][:200]))
                 continue
-            report.chosen[name, str(fold)] = chosen
-            part = features.sparkSession.createDataFrame(done, row.schema)
+            report.chosen[name, str(fold)], report.best[name, str(fold)] = chosen.columns, best
+            part = spark.createDataFrame(done, row.schema)
             report.results = part if report.results is None else report.results.unionByName(part)
     if report.results is not None:
         report.results = evaluation.with_metrics(report.results)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import extract, nonlinear, spectral, time_domain, wavelet
-from ..operators import cleaning, evaluation, models, selection, statistics, training, windows
+from ..operators import cleaning, evaluation, models, selection, statistics, training, tuning, windows
 from ..streaming import windows as streams
 from . import adapters as A
 from .adapters import HALF, WHOLE, table
@@ -234,7 +234,7 @@ def feature_table(spark, sf_dir):
 
 @query()
 def feature_table_all(spark, sf_dir):
-    """All 28 features of each signal: ten channels are cut from each vector's window."""
+    """All 28 features of each signal: two channels are made of each vector's window."""
     v = A.vectors(spark, sf_dir)
     return extract.feature_table(v.select("vec_id", F.col("x").alias("a"), F.reverse("x").alias("b")), ["vec_id"], ["a", "b"], {"acc": [0, 1]})
 
@@ -243,6 +243,7 @@ def feature_table_all(spark, sf_dir):
 
 _N = 4
 _VC = [f"e{i}" for i in range(_N)]
+_LEFT = _VC[: _N // 2]
 VC_SQL = "vc AS (SELECT vec_id, CAST(vec_id % 7 AS INT) AS subject, CASE WHEN label >= 5 THEN 1 ELSE 0 END AS y, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS e{i}" for i in range(_N)) + " FROM embeddings)"
 
 
@@ -278,11 +279,11 @@ def anova_f(spark, sf_dir):
     return _rounded(selection.anova(feature_rows(spark, sf_dir), _VC, "y"), ["column"], ["f"])
 
 
-@query(f"""WITH {VC_SQL}, {_ANOVA}, rk AS (SELECT CASE WHEN "column" IN ('e0', 'e1') THEN 'left' ELSE 'right' END AS sensor, "column", f, row_number() OVER (PARTITION BY CASE WHEN "column" IN ('e0', 'e1') THEN 'left' ELSE 'right' END ORDER BY f DESC, "column") AS rank FROM an)
+@query(f"""WITH {VC_SQL}, {_ANOVA}, rk AS (SELECT CASE WHEN "column" IN {tuple(_LEFT)} THEN 'left' ELSE 'right' END AS sensor, "column", f, row_number() OVER (PARTITION BY CASE WHEN "column" IN {tuple(_LEFT)} THEN 'left' ELSE 'right' END ORDER BY f DESC, "column") AS rank FROM an)
         SELECT sensor, "column", {r("f")} AS f, CAST(rank AS INTEGER) AS rank FROM rk WHERE rank <= 1""")
 def select_k_per_group(spark, sf_dir):
     f = selection.anova(feature_rows(spark, sf_dir), _VC, "y")
-    chosen = selection.select_per_group(f, F.when(F.col("column").isin("e0", "e1"), "left").otherwise("right"), 1)
+    chosen = selection.select_per_group(f, _side(), 1)
     return chosen.select("sensor", "column", R(F.col("f")).alias("f"), "rank")
 
 
@@ -407,7 +408,7 @@ def selection_frequency(spark, sf_dir):
 
 def _model_rows(spark, sf_dir):
     rows = models.assembled(feature_rows(spark, sf_dir), _VC, "y").withColumn("fold", (F.col("subject") % 3).cast("int"))
-    return rows.filter("subject <> 3").cache(), rows.filter("subject = 3")
+    return rows.filter("subject <> 3"), rows.filter("subject = 3")
 
 
 def _fitted(estimator, spark, sf_dir, fold_rows=None):
@@ -445,7 +446,7 @@ def model_adaboost(spark, sf_dir):
 @query()
 def model_kernel_machine(spark, sf_dir):
     rows = models.fourier(models.assembled(feature_rows(spark, sf_dir), _VC, "y").drop("features"), _VC, 16)
-    return _fitted(models.kernel_machine(), spark, sf_dir, (rows.filter("subject <> 3").cache(), rows.filter("subject = 3")))
+    return _fitted(models.kernel_machine(), spark, sf_dir, (rows.filter("subject <> 3"), rows.filter("subject = 3")))
 
 
 @query()
@@ -457,13 +458,41 @@ def model_search(spark, sf_dir):
     return models.scored(best.bestModel, test).select("vec_id", "y", R(F.col("score"), 9).alias("score"))
 
 
+def _logistic(seed: int, c: float = 1.0):
+    return models.logistic(500, c, iterations=10)
+
+
+#: The inverse penalties that are searched.
+_PENALTIES = [0.001, 0.01, 0.1, 1, 10, 100]
+
+
+def _side():
+    return F.when(F.col("column").isin(*_LEFT), "left").otherwise("right")
+
+
+def _left_out(spark, sf_dir) -> training.Report:
+    """Every subject left out in turn; the penalty and the columns of each side are searched inside each fold."""
+    classifiers = {"logistic": training.Classifier(_logistic, {"c": _PENALTIES})}
+    return training.leave_one_subject_out(feature_rows(spark, sf_dir), _VC, "y", classifiers, _side(), [1, 2])
+
+
 @query()
 def loso_training(spark, sf_dir):
     """Every subject left out in turn, pooled over the folds."""
-    report = training.leave_one_subject_out(
-        feature_rows(spark, sf_dir), _VC, "y", {"logistic": lambda s: models.logistic(500, iterations=10)}, F.when(F.col("column").isin("e0", "e1"), "left").otherwise("right"), 1
-    )
-    return evaluation.pooled(report.results, ["classifier"])
+    return evaluation.pooled(_left_out(spark, sf_dir).results, ["classifier"])
+
+
+@query()
+def loso_settings(spark, sf_dir):
+    """The settings that win in most folds."""
+    return _left_out(spark, sf_dir).settings(spark)
+
+
+@query()
+def choose_k(spark, sf_dir):
+    """Mean scores of each number of columns over stratified folds, with synthetic rows in the training parts."""
+    selector = tuning.SensorKBest(_VC, "y", _side())
+    return tuning.choose_k(feature_rows(spark, sf_dir), "vec_id", selector, lambda seed: models.forest(10, 5, seed), [1, 2], 3)[1]
 
 
 @query()
@@ -481,10 +510,9 @@ def adasyn_rows(spark, sf_dir):
 
 @query()
 def anova_p_values(spark, sf_dir):
-    """F and its p-value, of one row per feature."""
-    n = feature_rows(spark, sf_dir).count()
-    p = F.udf(lambda f: models.f_survival(f, 1, n - 2), "double")  # a row per feature
-    return selection.anova(feature_rows(spark, sf_dir), _VC, "y").withColumn("p", p("f"))
+    """F and its p-value, of one row per feature, over the ten values of the label."""
+    rows = feature_rows(spark, sf_dir).join(A.vectors(spark, sf_dir).select("vec_id", "label"), "vec_id")
+    return models.with_p_values(selection.anova(rows, _VC, "label"), rows, "label")
 
 
 # --- streaming extension -------------------------------------------------------------------------------------

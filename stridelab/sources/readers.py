@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import any_flag, mapped, nan_to_null
+from ..session import checkpointed, ship_package
 from .schemas import EVENT_FLAGS, FEET_TEXT, FOOT_CHANNELS, FREEZE_TEXT, LAYOUTS, MULTIMODAL_TEXT, Layout, struct
 
 
@@ -30,14 +34,42 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+@F.arrow_udf(T.LongType())
+def _nth(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The place of each row in its run of equal values, from 0; runs go on from batch to batch of a task."""
+    last, done = None, 0
+    for batch in batches:
+        block = batch.to_numpy(zero_copy_only=False)
+        if not len(block):
+            yield pa.array([], type=pa.int64())
+            continue
+        starts = np.r_[0, np.flatnonzero(block[1:] != block[:-1]) + 1]
+        nth = np.arange(len(block)) - np.repeat(starts, np.diff(np.r_[starts, len(block)]))
+        if last is not None and block[0] == last:
+            nth[: starts[1] if len(starts) > 1 else len(block)] += done
+        last, done = block[-1], int(nth[-1]) + 1
+        yield pa.array(nth)
+
+
 def _lines(spark: SparkSession, files: list[str]) -> DataFrame:
-    """(path, pos, line) of every line that is not empty; ``pos`` is its place in its file.
+    """(path, pos, line) of every line that is not empty; ``pos`` is its place in its file, from 0.
 
-    A recording is read as one value, which keeps the order of its lines; files
-    are single trials of some minutes.
+    A file is read by as many tasks as it has splits. A line's place is its
+    place in its split, counted as the split is read, behind the lines of the
+    splits before it, which a first read counts. The count before a byte of a
+    file does not depend on where the others were cut; should the second read
+    cut at a byte that the first did not, it stops with an error.
     """
-    whole = spark.read.text(files, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    return whole.select("path", F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line")).filter(F.trim("line") != "")
+    ship_package(spark)
+    block = F.col("_metadata.file_block_start")
+    lines = spark.read.text(files).select(F.col("_metadata.file_path").alias("path"), block.alias("block"), F.col("value").alias("line"))
+    counts = lines.groupBy("path", "block").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    bases = counts.select(F.col("path").alias("__path"), F.col("block").alias("__block"), F.coalesce(before, F.lit(0)).alias("__base"))
+    nth = _nth.asNondeterministic()(F.xxhash64("path", "block"))
+    placed = lines.withColumn("__nth", nth).join(bases, (F.col("path") == F.col("__path")) & (F.col("block") == F.col("__block")), "left")
+    base = F.when(F.col("__base").isNull(), F.raise_error(F.lit("a file was cut otherwise when it was read again")).cast("long")).otherwise(F.col("__base"))
+    return placed.select("path", (F.col("__nth") + base).alias("pos"), "line").filter(F.trim("line") != "")
 
 
 def _placed(lines: DataFrame, header: bool) -> DataFrame:
@@ -50,15 +82,20 @@ def _fields(lines: DataFrame, layout: Layout) -> DataFrame:
     parts = F.split(F.trim("line") if layout.separator == r"\s+" else F.col("line"), layout.separator)
     schema = struct(layout.names)
     raw = lines.withColumn("__p", parts)
-    value = lambda i: F.get("__p", F.lit(i))
-    typed = {f.name: nan_to_null(value(i).try_cast("double")) if f.dataType.simpleString() == "double" else value(i).try_cast(f.dataType) for i, f in enumerate(schema)}
-    blank = lambda x: x.isNull() | (F.trim(x) == "") | F.lower(F.trim(x)).isin("nan", "na", "null")
-    reads = F.size("__p") == len(schema)
+    reads, typed = F.size("__p") == len(schema), {}
     for i, f in enumerate(schema):
-        reads = reads & (blank(value(i)) | typed[f.name].isNotNull())
+        typed[f.name], fits = _value(F.get("__p", F.lit(i)), f.dataType.simpleString())
+        reads = reads & fits
     return raw.select("path", "pos", *(x.alias(n) for n, x in typed.items()), reads.alias("ok"))
 
 
+def _value(text: Column, kind: str) -> tuple[Column, Column]:
+    """A field as its type (blanks are null), and whether it reads."""
+    typed = nan_to_null(text.try_cast("double")) if kind == "double" else text.try_cast(kind)
+    blank = text.isNull() | (F.trim(text) == "") | F.lower(F.trim(text)).isin("nan", "na", "null")
+    return typed, blank | typed.isNotNull()
+
+
 def _checked(df: DataFrame, layout: Layout, fail_fast: bool | None) -> DataFrame:
     """Bad files raise, or go as a whole, by the layout's policy."""
     if fail_fast if fail_fast is not None else layout.fail_fast:
@@ -153,26 +190,38 @@ def multimodal(spark: SparkSession, root: str, fail_fast: bool | None = None, su
 
 
 def competition(spark: SparkSession, root: str, fail_fast: bool | None = None, subset: str | None = None, dataset_type: str | None = None) -> DataFrame:
-    """Files name their own columns: those with equal headers are read together, and aligned by name.
+    """Files name their own columns and are read together, aligned by name.
 
     A file without the three event flags is left out (or raises, if failing fast).
     """
     files = list_files(spark, root, f"{subset or '*'}/{dataset_type or '*'}/*.csv")
     lines = _lines(spark, files)
-    heads = [r["line"] for r in lines.filter("pos = 0").select("line").distinct().orderBy("line").collect()]  # distinct headers: a few
-    out = None
-    for head in heads:
-        names = [n.strip() for n in head.split(",")]
-        if not set(EVENT_FLAGS) <= set(names):
-            if fail_fast:
-                raise ValueError(f"a file lacks the event flags; it has {names}")
-            continue
-        own = lines.filter((F.col("pos") == 0) & (F.col("line") == head)).select("path")
-        body = _placed(lines.join(F.broadcast(own), "path", "left_semi"), True)  # file names
-        df = _checked(_fields(body, Layout("", names)), LAYOUTS["competition"], fail_fast)
-        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
-    if out is None:
+    headed = checkpointed(lines.filter("pos = 0").select(F.col("path").alias("__of"), F.col("line").alias("__head")))  # a row for each file
+    heads = {r[0]: [n.strip() for n in r[0].split(",")] for r in headed.select("__head").distinct().orderBy("__head").collect()}  # a few
+    lacking = [names for names in heads.values() if not set(EVENT_FLAGS) <= set(names)]
+    if lacking and fail_fast:
+        raise ValueError(f"a file lacks the event flags; it has {lacking[0]}")
+    whole = {head: names for head, names in heads.items() if names not in lacking}
+    if not whole:
         raise NoData(f"no file under {root} has the columns {EVENT_FLAGS}")
+    every = list(dict.fromkeys(n for names in whole.values() for n in names))
+    body = _placed(lines.join(headed.filter(F.col("__head").isin(*whole)), F.col("path") == F.col("__of")), True).withColumn("__p", F.split("line", ","))
+
+    def place(name: str) -> Column:
+        """Where a file has the column, by its header; null if it has not."""
+        found = F.lit(None).cast("int")
+        for head, names in whole.items():
+            if name in names:
+                found = F.when(F.col("__head") == head, F.lit(names.index(name))).otherwise(found)
+        return found
+
+    width = F.element_at(F.create_map(*(F.lit(x) for head, names in whole.items() for x in (head, len(names)))), F.col("__head"))
+    reads, typed = F.size("__p") == width, {}
+    for f in struct(every):
+        given = F.get("__p", place(f.name))
+        typed[f.name], fits = _value(given, f.dataType.simpleString())
+        reads = reads & fits
+    out = _checked(body.select("path", "pos", *(x.alias(n) for n, x in typed.items()), reads.alias("ok")), LAYOUTS["competition"], fail_fast)
     return out.withColumns(
         {
             "file_id": F.regexp_replace(_name(), r"\.csv$", ""),

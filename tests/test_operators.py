@@ -9,8 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from stridelab.operators import distributed, evaluation, models, neighbours, selection, statistics, training, tuning, windows
 from stridelab.operators.distributed import dealt_rank, quantiles, running_sums
-from stridelab.operators import evaluation, models, selection, statistics, training, windows
 
 
 def table(spark, rows, schema):
@@ -127,26 +127,32 @@ def test_synthetic_rows_lie_between_minority_rows(spark):
     assert made and all(16 <= r.a <= 19 and r.y == 1 for r in made)
 
 
-@pytest.mark.parametrize(("bins", "few"), [(4, 2), (16, 5), (1024, 10_000)])
-def test_quantiles_are_exact(spark, bins, few):
-    rng = random.Random(bins)
+@pytest.fixture(params=[(16, 20, 3), (16, 1, 15), (4096, 1_000_000, 255)])
+def sketches(request, monkeypatch):
+    """Sizes of a sketch, of a piece that is put in order, and the cuts of one that is cut again."""
+    for name, value in zip(("SKETCH", "PIECE_ROWS", "CUTS"), request.param, strict=True):
+        monkeypatch.setattr(distributed, name, value)
+    return request.param
+
+
+def test_quantiles_are_exact(spark, sketches):
+    rng = random.Random(sketches[0])
     rows = [(rng.choice([rng.gauss(0, 1), 5.0, 1e9 * rng.random(), -3.5]), rng.randrange(3) if i % 5 else None, None, 7.0) for i in range(700)]
     df = table(spark, rows, "a double, b int, c double, d double")
     p = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
-    got = quantiles(df, ["a", "b", "c", "d"], p, bins, few)
+    got = quantiles(df, ["a", "b", "c", "d"], p)
     for i, c in enumerate("abd"):
         values = [r["abcd".index(c)] for r in rows if r["abcd".index(c)] is not None]
         assert got[c] == pytest.approx(list(np.quantile(values, p)), rel=1e-12), i
     assert got["c"] == [None] * len(p)
 
 
-@pytest.mark.parametrize(("bins", "few"), [(4, 2), (1024, 10_000)])
-def test_quantiles_of_columns_with_infinities(spark, bins, few):
+def test_quantiles_of_columns_with_infinities(spark, sketches):
     inf = float("inf")
     rows = [(inf if i % 7 == 0 else -inf if i % 7 == 1 else float(i), inf, float("nan") if i % 2 else float(i)) for i in range(500)]
     df = table(spark, rows, "a double, b double, c double")
     p = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
-    got = quantiles(df, ["a", "b", "c"], p, bins, few)
+    got = quantiles(df, ["a", "b", "c"], p)
     a = sorted(r[0] for r in rows)
     for q, x in zip(p, got["a"], strict=True):
         low, part = int((len(a) - 1) * q), (len(a) - 1) * q % 1
@@ -157,6 +163,190 @@ def test_quantiles_of_columns_with_infinities(spark, bins, few):
     assert len(described) >= 1
 
 
+def test_quantiles_of_extreme_and_repeated_values_end(spark, sketches):
+    least, most = 5e-324, 1.7e308
+    rng = random.Random(4)
+    columns = {
+        "wide": [rng.choice([-most, most, 0.0, least, -least, 1.0]) for _ in range(200)],
+        "narrow": [0.0 if i % 2 else least for i in range(200)],
+        "spread": [(-1.0) ** i * 10.0 ** rng.randrange(-307, 308) for i in range(200)],
+        "half": [7.0] * 100 + [rng.gauss(0, 1e-300) for _ in range(100)],
+        "close": [1.0 + rng.randrange(40) * 2.0**-52 for _ in range(200)],
+    }
+    rows = list(zip(*columns.values(), strict=True))
+    p = [0.0, 0.25, 0.5, 0.505, 0.75, 1.0]
+    got = quantiles(table(spark, rows, ", ".join(f"{c} double" for c in columns)).repartition(3), list(columns), p)
+    for c, values in columns.items():
+        ordered = sorted(values)
+        for q, x in zip(p, got[c], strict=True):
+            low, part = int(199 * q), 199 * q % 1
+            a, b = ordered[low], ordered[min(low + 1, 199)]
+            assert x == pytest.approx(a if a == b else a * (1 - part) + b * part, rel=1e-9, abs=0.0), (c, q)
+
+
+def test_quantiles_read_the_table_three_times(spark):
+    seen = spark.sparkContext.accumulator(0)
+    df = spark.range(3000).withColumn("y", (F.col("id") * 7919) % 3001)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    columns = ["id", "y", *(f"c{i}" for i in range(20))]
+    read = df.mapInPandas(count, df.schema).withColumns({f"c{i}": F.col("y") * i for i in range(20)})
+    quantiles(read, columns, [0.25, 0.5, 0.75])
+    assert seen.value == 3 * 3000
+
+
+def test_quantiles_of_an_empty_table(spark):
+    assert quantiles(table(spark, [], "a double"), ["a"], [0.5]) == {"a": [None]}
+
+
+def test_constant_columns_by_least_and_largest(spark):
+    nan = float("nan")
+    rows = [(1, None, "x", nan, 1.0, None, 1), (1, None, "x", nan, nan, 2, 2), (1, None, "x", nan, 1.0, 2, 1)]
+    df = table(spark, rows, "a int, b double, c string, d double, e double, f int, g int")
+    out = statistics.constant_columns(df, list("abcdefg"))
+    assert {r["column"] for r in out.collect()} == {"a", "b", "c", "d"}
+    assert "Expand" not in out._jdf.queryExecution().toString()
+    assert {r["column"] for r in statistics.constant_columns(df.limit(0), ["a", "b"]).collect()} == {"a", "b"}
+
+
+def plain_knn(rows, width, k):
+    """rows: (key, x0, x1, ...). Filled rows, compared one by one."""
+    out = []
+    missing = lambda x: x is None or math.isnan(x) or math.isinf(x)
+    for i, row in enumerate(rows):
+        filled = [row[0]]
+        for c in range(1, width + 1):
+            if not missing(row[c]):
+                filled.append(row[c])
+                continue
+            near = []
+            for j, other in enumerate(rows):
+                both = [d for d in range(1, width + 1) if not missing(row[d]) and not missing(other[d])]
+                if j != i and both and not missing(other[c]):
+                    d = math.sqrt(sum((row[x] - other[x]) ** 2 for x in both) * (width / len(both)))
+                    near.append((d, (other[0] is not None, other[0] or 0), other[c]))
+            near.sort()
+            values = [v for _, _, v in near[:k]]
+            own = [o[c] for o in rows if not missing(o[c])]
+            filled.append(sum(values) / len(values) if values else sum(own) / len(own) if own else None)
+        out.append(tuple(filled))
+    return out
+
+
+@pytest.mark.parametrize(("block", "cells"), [(4096, 1 << 22), (7, 30)])
+def test_knn_imputation_equals_a_plain_search(spark, monkeypatch, block, cells):
+    monkeypatch.setattr(neighbours, "BLOCK", block)
+    monkeypatch.setattr(neighbours, "CELLS", cells)
+    rng = random.Random(6)
+    value = lambda: None if rng.random() < 0.25 else rng.choice([float(rng.randrange(4)), rng.gauss(0, 1), float("inf")] if rng.random() < 0.3 else [float(rng.randrange(4))])
+    rows = [(rng.choice([None, *range(15)]), value(), value(), value(), None) for _ in range(60)] + [(3, 1.0, None, 2.0, None)] * 4
+    df = table(spark, rows, "key int, a double, b double, c double, d double").withColumn("__q", F.lit("kept")).repartition(3)
+    out = selection.knn_impute(df, "key", ["a", "b", "c", "d"], 3)
+    assert "CartesianProduct" not in out._jdf.queryExecution().toString()
+    got = [tuple(r)[:5] for r in out.collect()]
+    tidy = lambda rs: sorted([tuple(None if x is None else round(x, 9) for x in r) for r in rs], key=repr)
+    assert tidy(got) == tidy(plain_knn(rows, 4, 3)) and out.columns == df.columns
+
+
+def test_knn_by_text_keys_one_column_and_empty_tables(spark):
+    df = table(spark, [("b", None, 1.0), ("a", 2.0, 1.0), ("a", 4.0, 1.0), ("c", 9.0, 1.0)], "key string, a double, z double")
+    assert [r.a for r in selection.knn_impute(df, "key", ["a", "z"], 2).filter("key = 'b'").collect()] == [3.0]
+    alone = selection.knn_impute(df, "key", ["a"], 2)
+    assert sorted(r.a for r in alone.collect()) == [2.0, 4.0, 5.0, 9.0]
+    assert selection.knn_impute(df.limit(0), "key", ["a", "z"]).collect() == []
+
+
+def test_synthetic_rows_of_repeated_keys(spark):
+    rows = [(7, 1.0, 0.0, 1), (7, 2.0, 0.0, 1), *((20 + i, 1.5 + i, 0.0, 0) for i in range(4))]
+    made = models.adasyn(table(spark, rows, "id long, a double, b double, y int"), "id", ["a", "b"], "y").collect()
+    assert len(made) == 2 and all(1 <= r.a <= 2 and r.y == 1 and r.source == 7 for r in made)
+    lone = [(1, 0.0, 0.0, 1), (2, 1.0, 0.0, 0), (3, 2.0, 0.0, 0)]
+    assert models.adasyn(table(spark, lone, "id long, a double, b double, y int"), "id", ["a", "b"], "y").collect() == []
+
+
+def two_sided(spark, rng):
+    """Four subjects; of the left sensor ``good`` tells the label, of the right one ``fair`` a little."""
+    rows = []
+    for s in "abcd":
+        for i in range(40):
+            y = int(i % 4 == 0)
+            rows.append((s, i, y * 2 + rng.gauss(0, 0.3), rng.gauss(0, 1), y + rng.gauss(0, 1) if i % 9 else None, rng.gauss(0, 1), y))
+    return table(spark, rows, "subject string, id int, l_good double, l_noise double, r_fair double, r_noise double, y int")
+
+
+def SIDES():
+    return F.substring("column", 1, 1)
+
+
+COLUMNS = ["l_good", "l_noise", "r_fair", "r_noise"]
+
+
+def test_sensor_selector_takes_the_best_of_each(spark):
+    df = two_sided(spark, random.Random(1))
+    selector = tuning.SensorKBest(COLUMNS, "y", SIDES(), 1)
+    model = selector.fit(df)
+    assert model.columns == ["l_good", "r_fair"] and set(model.medians) == {"l_good", "r_fair"}
+    assert selector.copy({selector.k: 2}).fit(df).columns == COLUMNS
+    assert [m.columns for _, m in selector.fitMultiple(df, [{selector.k: 2}, {}])] == [COLUMNS, ["l_good", "r_fair"]]
+    out = model.transform(df)
+    assert len(out.first().features) == 2 and out.filter("r_fair IS NULL").count() == 0
+    with pytest.raises(ValueError):
+        tuning.SensorKBest(["x"], "y").fit(table(spark, [(1.0, 0), (1.0, 1)], "x double, y int")).transform(df)
+
+
+def test_selectors_never_see_the_rows_held_out(spark, monkeypatch):
+    df = training.inner_folds(two_sided(spark, random.Random(2)), "subject")
+    seen = []
+    ranking = tuning.SensorKBest._ranking
+    monkeypatch.setattr(tuning.SensorKBest, "_ranking", lambda self, rows: seen.append({(r.subject, r.inner) for r in rows.select("subject", "inner").distinct().collect()}) or ranking(self, rows))
+    found = tuning.search(df, "inner", tuning.SensorKBest(COLUMNS, "y", SIDES()), lambda seed, c: models.logistic(100, c, 5), {"c": [0.001, 10.0]}, [1, 2], 20)
+    every = {(r.subject, r.inner) for r in df.select("subject", "inner").distinct().collect()}
+    folds = sorted({f for _, f in every})
+    assert seen == [{x for x in every if x[1] != f} for f in folds]
+    assert len(found.settings) == 4 and all(len(x) == len(folds) and all(0 <= v <= 1 for v in x) for x in found.f1)
+    assert found.best is not None and found.mean(found.settings.index(found.best)) == max(found.mean(i) for i in range(4)) > 0.8
+
+
+def test_a_setting_that_cannot_be_fitted_loses(spark):
+    df = training.inner_folds(two_sided(spark, random.Random(3)), "subject")
+
+    def make(seed, c):
+        if c > 1:
+            raise ValueError("too large")
+        return models.logistic(100, c, 3)
+
+    found = tuning.search(df, "inner", tuning.SensorKBest(COLUMNS, "y"), make, {"c": [1.0, 5.0]}, [2])
+    assert found.best == {"k": 2, "c": 1.0} and sum(math.isnan(found.mean(i)) for i in range(2)) == 1
+    assert tuning.search(df, "inner", tuning.SensorKBest(COLUMNS, "y"), make, {"c": [5.0]}, [2]).best is None
+
+
+def test_choice_of_k(spark):
+    df = two_sided(spark, random.Random(4))
+    best, scores = tuning.choose_k(df, "id", tuning.SensorKBest(COLUMNS, "y", SIDES()), lambda seed: models.forest(5, 4, seed), [2, 1], 3)
+    rows = scores.collect()
+    assert [(r.k, r.n_columns) for r in rows] == [(1, 2), (2, 4)] and all(r.f1_mean > 0.7 and 0 <= r.f1_std < 0.3 and 0.7 < r.bal_mean <= 1 for r in rows)
+    assert best == max(rows, key=lambda r: (r.f1_mean, -r.k)).k and tuning.around(5) == [3, 5, 10] and tuning.around(3) == [3, 8]
+
+
+def test_settings_that_win_in_most_folds(spark):
+    report = training.Report(best={("m", "a"): {"k": 3, "c": 1}, ("m", "b"): {"k": 3, "c": 0.1}, ("m", "c"): {"k": 5, "c": 1}, ("n", "a"): {"k": 5}})
+    got = {(r.classifier, r.parameter): (r.value, r.folds) for r in report.settings(spark).collect()}
+    assert got == {("m", "k"): ("3", 2), ("m", "c"): ("1", 2), ("n", "k"): ("5", 1)}
+
+
+def test_p_values_of_two_and_three_classes(spark):
+    # Upper tails of the F distribution, from tables.
+    assert models.f_survival(4.965, 1, 10) == pytest.approx(0.05, abs=2e-4) and models.f_survival(3.885, 2, 12) == pytest.approx(0.05, abs=2e-4)
+    rows = [(float(i % 3) + (i // 3) * 0.1, float((i * 7) % 5), i % 3) for i in range(30)]
+    df = table(spark, rows, "a double, b double, y int")
+    p = {r["column"]: r.p for r in models.with_p_values(selection.anova(df, ["a", "b"], "y"), df, "y").collect()}
+    assert p["a"] < 1e-6 and p["b"] > 0.05
+
+
 @pytest.mark.parametrize("stretches", [1, 3, 256])
 @pytest.mark.parametrize("descending", [False, True])
 def test_running_sums_in_stretches(spark, stretches, descending):

@@ -122,3 +122,41 @@ def test_folds_are_partitions(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(fold" in one._jdf.queryExecution().toString()
     sinks.save_results(df.withColumnRenamed("fold", "classifier"), str(tmp_path / "results"))
     assert (tmp_path / "results" / "classifier=s2").is_dir()
+
+
+@pytest.fixture
+def small_splits(spark):
+    """Files are cut every 400 bytes."""
+    names = {"spark.sql.files.maxPartitionBytes": "400b", "spark.sql.files.openCostInBytes": "100b"}
+    before = {n: spark.conf.get(n) for n in names}
+    for n, v in names.items():
+        spark.conf.set(n, v)
+    yield
+    for n, v in before.items():
+        spark.conf.set(n, v)
+
+
+def test_files_split_and_places_stay(spark, small_splits, tmp_path):
+    put(tmp_path / "S01R01.txt", [f"{15 * i}  {' '.join(str(i * c) for c in range(9))} {i % 3}" for i in range(300)])
+    put(tmp_path / "S01R02.txt", [f"{i} 0 0 0 0 0 0 0 0 0 1" for i in range(5)])
+    lines = readers._lines(spark, readers.list_files(spark, str(tmp_path), "S*.txt"))
+    assert lines.select("path", "pos").distinct().count() == 305
+    df = readers.ankle_thigh_trunk(spark, str(tmp_path))
+    assert df.rdd.getNumPartitions() > 10
+    got = {(r.run_id, r.pos): r.time_ms for r in df.collect()}
+    assert got == {(1, i): 15 * i for i in range(300)} | {(2, i): i for i in range(5)}
+
+
+def test_split_files_with_headers_and_blank_lines(spark, small_splits, tmp_path):
+    head = ["Time,AccV,StartHesitation,Turn,Walking", "Turn,Time,StartHesitation,Walking"]
+    put(tmp_path / "train/a/x1.csv", [head[0], *(f"{i},{i}.5,0,{i % 2},0" for i in range(200)), "", " "])
+    put(tmp_path / "train/a/x2.csv", [head[1], *(f"1,{i},0,0" for i in range(90))])
+    put(tmp_path / "train/b/x3.csv", [head[1], *(f"1,{i},0,0" for i in range(90)), "not,enough"])
+    rows = readers.competition(spark, str(tmp_path)).collect()
+    assert {(r.file_id, r.pos): (r.Time, r.AccV, r.fog_any) for r in rows} == {("x1", i): (i, i + 0.5, i % 2) for i in range(200)} | {("x2", i): (i, None, 1) for i in range(90)}
+
+
+def test_a_file_cut_otherwise_is_an_error(spark, small_splits, tmp_path):
+    put(tmp_path / "S01R01.txt", [f"{i} 0 0 0 0 0 0 0 0 0 1" for i in range(200)])
+    lines = readers._lines(spark, readers.list_files(spark, str(tmp_path), "S*.txt"))
+    assert "raise_error" in lines._jdf.queryExecution().optimizedPlan().toString()
