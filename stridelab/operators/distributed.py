@@ -25,8 +25,9 @@ def quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[flo
     and another value there is no number (NaN). A column without values has
     None.
 
-    Three reads of ``df``, whatever the number of columns: a sketch of each
-    column cuts it at values a little before and behind each wanted place; the
+    One read of ``df`` if no column has more values than a sketch keeps. Else
+    three, whatever the number of columns: a sketch of each column cuts it at
+    values a little before and behind each wanted place; the
     values between and at the cuts are counted, which settles places that hold
     a cut; and the values of the pieces with the others, about one in a
     hundred, are written. A written piece is put in order in one task, after
@@ -37,8 +38,29 @@ def quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[flo
     limit = PIECE_ROWS if piece_rows is None else piece_rows
     x = [F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in columns]
     around = sorted({min(1.0, max(0.0, p + side * SLACK)) for p in probabilities for side in (-1, 1)})
-    sketched = [F.when(F.count(v) > 0, F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double(v, F.lit(SKETCH)), F.array(*map(F.lit, around)))).alias(f"c{i}") for i, v in enumerate(x)]
-    cuts = [sorted(set(found or ())) for found in df.agg(*sketched).first()]
+    one = df.agg(*(F.count(v).alias(f"n{i}") for i, v in enumerate(x)), *(F.kll_sketch_agg_double(v, F.lit(SKETCH)).alias(f"s{i}") for i, v in enumerate(x))).persist()  # one row, asked twice
+    sizes = list(one.select(*(f"n{i}" for i in range(len(columns)))).first())
+    asked = []
+    for i, n in enumerate(sizes):
+        low = [int((n - 1) * p) for p in probabilities]
+        # The middle of a rank's share, so that rounding cannot reach the next.
+        places = [(min(rank + side, n - 1) + 0.5) / n for rank in low for side in (0, 1)] if 0 < n < SKETCH else around
+        asked.append(F.when(F.lit(n > 0), F.kll_sketch_get_quantile_double(f"s{i}", F.array(*map(F.lit, places)))))
+    found = list(one.select(*asked).first())
+    one.unpersist()
+    out: dict[str, list[float | None]] = {c: [None] * len(probabilities) for c in columns}
+    large = [i for i, n in enumerate(sizes) if n >= SKETCH]
+    for i, c in enumerate(columns):
+        n, values = sizes[i], found[i]
+        if 0 < n < SKETCH:  # the sketch has every value
+            out[c] = [_between(values[2 * j], values[2 * j + 1], (n - 1) * p - int((n - 1) * p)) for j, p in enumerate(probabilities)]
+    if large:
+        out |= _large(df, [columns[i] for i in large], [x[i] for i in large], [sorted(set(found[i])) for i in large], probabilities, limit)
+    return out
+
+
+def _large(df: DataFrame, columns: Sequence[str], x: Sequence[Column], cuts: list[list[float]], probabilities: Sequence[float], limit: int) -> dict[str, list[float | None]]:
+    """Quantiles of columns of more values than a sketch keeps, by its cuts."""
     codes = [_code(v, own) for v, own in zip(x, cuts, strict=True)]
     coded = F.array(*(F.when(v.isNotNull(), F.struct(F.lit(i).alias("g"), code.alias("code"))) for i, (v, code) in enumerate(zip(x, codes, strict=True))))
     counts = _counts(df.select(F.explode(coded).alias("h")).filter("h IS NOT NULL").select("h.*"))

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,17 +70,27 @@ def inner_folds(train: DataFrame, subject: str, most: int = 3) -> DataFrame | No
 
 def threshold(train: DataFrame, label: str, make: tuning.Make, setting: Mapping, selectors: Mapping[tuple[object, int], tuning.SensorKBestModel], seed: int = 42, balance: tuning.Balance = tuning.oversampled) -> float:
     """The F1-best threshold over out-of-fold scores of one setting; ``selectors`` are those fitted on the inner folds."""
-    scored = None
-    for fold, inside, outside in tuning.parts(train, "inner"):
+
+    def out_of_fold(part: tuple[object, DataFrame, DataFrame]) -> DataFrame | None:
+        fold, inside, outside = part
         chosen = selectors.get((fold, setting["k"]))
-        if chosen is None:
-            continue
-        model = _made(make, seed, setting).fit(chosen.transform(balance(chosen.filled(inside), chosen.columns, label)))
-        part = models.scored(model, chosen.transform(outside)).select("label", "score")
-        scored = part if scored is None else scored.unionByName(part)
-    if scored is None:
+        if chosen is None or not chosen.columns:
+            return None
+        return models.scored(_fitted(make, seed, setting, chosen, inside, label, balance), chosen.transform(outside)).select("label", "score")
+
+    scored = [x for x in tuning.at_once(train, out_of_fold, list(tuning.parts(train, "inner"))) if x is not None]
+    if not scored:
         return 0.5
-    return evaluation.best_threshold(evaluation.curve(scored, F.col("label"), F.col("score"))).first()["threshold"]
+    return evaluation.best_threshold(evaluation.curve(reduce(DataFrame.unionByName, scored), F.col("label"), F.col("score"))).first()["threshold"]
+
+
+def _fitted(make: tuning.Make, seed: int, setting: Mapping, chosen: tuning.SensorKBestModel, rows: DataFrame, label: str, balance: tuning.Balance):
+    balanced = tuning.gathered(balance(chosen.filled(rows), chosen.columns, label))
+    vectors = tuning.gathered(chosen.transform(balanced).select("features", "label", "weight"))
+    model = _made(make, seed, setting).fit(vectors)
+    balanced.unpersist()
+    vectors.unpersist()
+    return model
 
 
 def _made(make: tuning.Make, seed: int, setting: Mapping):
@@ -121,7 +132,7 @@ def leave_one_subject_out(features: DataFrame, columns: Sequence[str], label: st
                     raise ValueError("no setting could be fitted on all inner folds")
                 chosen = whole[best["k"]]
                 t = threshold(split, label, classifier.make, best, found.selectors, seed, balance)
-                model = _made(classifier.make, seed, best).fit(chosen.transform(balance(chosen.filled(split), chosen.columns, label)))
+                model = _fitted(classifier.make, seed, best, chosen, split, label, balance)
                 marked = models.scored(model, chosen.transform(test)).withColumn("p", (F.col("score") >= t).cast("int"))
                 counts = evaluation.confusion(marked, [], F.col("label"), F.col("p"))
                 row = counts.select(F.lit(name).alias("classifier"), F.lit(str(fold)).alias("fold"), F.lit(float(t)).alias("threshold"), "tn", "fp", "fn", "tp")

@@ -24,6 +24,10 @@ from . import evaluation, models, selection
 
 #: What a setting that cannot be fitted may raise; a lost executor or a failed job is not among these.
 UNFIT = (ValueError, RuntimeError, IllegalArgumentException)
+#: Rows that are worth a partition of their own.
+PART_ROWS = 50_000
+#: Partitions from which a table is left as it is.
+SMALL_PARTS = 64
 #: Makes an estimator of a seed and a setting's parameters.
 Make = Callable[..., object]
 
@@ -127,7 +131,7 @@ def judged(model, rows: DataFrame) -> tuple[float, float]:
     return one["f1"], one["balanced_acc"]
 
 
-def search(train: DataFrame, fold: str, selector: SensorKBest, make: Make, grid: Mapping, ks: Sequence[int], n: int = 20, seed: int = 42, parallelism: int = 4, balance: Balance = oversampled) -> Search:
+def search(train: DataFrame, fold: str, selector: SensorKBest, make: Make, grid: Mapping, ks: Sequence[int], n: int = 20, seed: int = 42, parallelism: int = 8, balance: Balance = oversampled) -> Search:
     """At most ``n`` settings of ``grid`` and ``ks``, drawn without replacement, judged on the folds of the column ``fold``.
 
     A setting that cannot be fitted on a fold, such as one with one class in
@@ -135,26 +139,22 @@ def search(train: DataFrame, fold: str, selector: SensorKBest, make: Make, grid:
     time; the driver holds their scores.
     """
     settings = models.sampled_grid({"k": list(ks), **grid}, n, seed)
-    found = Search(settings, [[] for _ in settings], [[] for _ in settings])
-    label = selector.label
     used = sorted({s["k"] for s in settings})
-    for name, inside, outside in parts(train, fold):
-        if inside.select(label).distinct().count() < 2:
-            for row in (*found.f1, *found.balanced):
-                row.append(math.nan)
-            continue
+    selectors: dict[tuple[object, int], SensorKBestModel] = {}
+
+    def fold_scores(part: tuple[object, DataFrame, DataFrame]) -> list[tuple[float, float]]:
+        name, inside, outside = part
+        found = [(math.nan, math.nan)] * len(settings)
+        if inside.select(selector.label).distinct().count() < 2:
+            return found
         for i, chosen in selector.fitMultiple(inside, [{selector.k: k} for k in used]):
-            found.selectors[name, used[i]] = chosen
+            selectors[name, used[i]] = chosen
         for k in used:
-            chosen = found.selectors[name, k]
-            mine = [i for i, s in enumerate(settings) if s["k"] == k]
+            chosen, mine = selectors[name, k], [i for i, s in enumerate(settings) if s["k"] == k]
             if not chosen.columns:
-                for i in mine:
-                    found.f1[i].append(math.nan)
-                    found.balanced[i].append(math.nan)
                 continue
-            rows = chosen.transform(balance(chosen.filled(inside), chosen.columns, label)).select("features", "label", "weight").persist()
-            held = chosen.transform(outside).select("features", "label", "weight").persist()
+            balanced = gathered(balance(chosen.filled(inside), chosen.columns, selector.label))
+            rows, held = gathered(chosen.transform(balanced).select("features", "label", "weight")), gathered(chosen.transform(outside).select("features", "label", "weight"))
 
             def one(i: int, rows: DataFrame = rows, held: DataFrame = held) -> tuple[float, float]:
                 try:
@@ -162,13 +162,32 @@ def search(train: DataFrame, fold: str, selector: SensorKBest, make: Make, grid:
                 except UNFIT:
                     return math.nan, math.nan
 
-            with ThreadPool(min(parallelism, len(mine))) as pool:
-                for i, (f1, balanced) in zip(mine, pool.map(inheritable_thread_target(train.sparkSession)(one), mine), strict=True):
-                    found.f1[i].append(f1)
-                    found.balanced[i].append(balanced)
-            rows.unpersist()
-            held.unpersist()
-    return found
+            for i, scores in zip(mine, at_once(train, one, mine, parallelism), strict=True):
+                found[i] = scores
+            for df in (balanced, rows, held):
+                df.unpersist()
+        return found
+
+    by_fold = at_once(train, fold_scores, list(parts(train, fold)), parallelism)
+    return Search(settings, [[found[i][0] for found in by_fold] for i in range(len(settings))], [[found[i][1] for found in by_fold] for i in range(len(settings))], selectors)
+
+
+def gathered(df: DataFrame) -> DataFrame:
+    """``df`` kept for the passes that follow, in no more partitions than its rows are worth: each pass has a task for each."""
+    kept = df.persist()
+    few = 1 + kept.count() // PART_ROWS
+    if few >= SMALL_PARTS:
+        return kept
+    kept.unpersist()
+    return df.coalesce(few).persist()
+
+
+def at_once(df: DataFrame, work: Callable, items: list, most: int = 8) -> list:
+    """``work`` on each item, on a few threads of the driver."""
+    if len(items) < 2:
+        return [work(x) for x in items]
+    with ThreadPool(min(most, len(items))) as pool:
+        return pool.map(inheritable_thread_target(df.sparkSession)(work), items)
 
 
 def choose_k(train: DataFrame, key: str, selector: SensorKBest, make: Make, ks: Sequence[int] = (3, 5, 8, 10, 15), folds: int = 5, seed: int = 42, balance: Balance = with_adasyn) -> tuple[int | None, DataFrame]:

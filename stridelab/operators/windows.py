@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -32,29 +32,44 @@ class Geometry:
         return {"window_samples": self.size, "step_samples": self.step, "window_seconds": self.size / rate, "overlap": 1 - self.step / self.size}
 
 
+def _reach(geometry: Geometry, pos: str) -> tuple[Column, Column]:
+    """The first and the last window that a row lies in."""
+    first = F.greatest(F.lit(0), F.ceil((F.col(pos) - geometry.size + 1) / geometry.step)).cast("long")
+    return first, F.floor(F.col(pos) / geometry.step).cast("long")
+
+
 def assigned(df: DataFrame, geometry: Geometry, pos: str = "pos", out: str = "k") -> DataFrame:
     """Each row once for every window that it lies in (ceil(size / step) at most)."""
     if geometry.step == geometry.size:
         return df.withColumn(out, F.floor(F.col(pos) / geometry.size).cast("long"))
-    first = F.greatest(F.lit(0), F.ceil((F.col(pos) - geometry.size + 1) / geometry.step)).cast("long")
-    last = F.floor(F.col(pos) / geometry.step).cast("long")
-    return df.withColumn(out, F.explode(F.sequence(first, last)))
+    return df.withColumn(out, F.explode(F.sequence(*_reach(geometry, pos))))
 
 
-def sliding(df: DataFrame, geometry: Geometry, keys: Sequence[str], channels: Sequence[str] = (), labels: Sequence[str] = (), pos: str = "pos", aggregates: Sequence = ()) -> DataFrame:
+def sliding(df: DataFrame, geometry: Geometry, keys: Sequence[str], channels: Sequence[str] = (), labels: Sequence[str] = (), pos: str = "pos", aggregates: Sequence = (), stretch: int | None = None) -> DataFrame:
     """One row per complete window: keys, k, an array per channel and a vote per label.
 
     Ties of a vote go to the smallest label. The rows are grouped by the keys'
-    own partitioning, so numbering rows before costs no second shuffle.
+    own partitioning, so numbering rows before costs no second shuffle. With
+    ``stretch``, for recordings longer than a task should hold, windows are
+    dealt by the stretch of so many places in which they begin; only the rows
+    near a stretch's end are sent to two.
     """
     ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct(pos, F.col(c).alias("x")))), lambda s: s["x"])
-    grouped = assigned(df, geometry, pos).groupBy(*keys, "k").agg(
+    if stretch is None:
+        rows, by = assigned(df, geometry, pos), [*keys, "k"]
+    else:
+        begin = lambda k: F.floor(k * geometry.step / stretch)
+        first, last = _reach(geometry, pos)
+        dealt = df.withColumn("__stretch", F.explode(F.sequence(begin(first), begin(last)))).repartition(*keys, "__stretch")
+        rows = assigned(dealt, geometry, pos).filter(F.col("__stretch") == begin(F.col("k")))
+        by = [*keys, "__stretch", "k"]
+    grouped = rows.groupBy(*by).agg(
         F.count("*").alias("__n"),
         *(ordered(c).alias(c) for c in channels),
         *(F.mode(c, True).alias(c) for c in labels),
         *aggregates,
     )
-    return grouped.filter(F.col("__n") == geometry.size).drop("__n")
+    return grouped.filter(F.col("__n") == geometry.size).drop("__n", "__stretch")
 
 
 def leave_one_out(train: DataFrame, test: DataFrame, subject: str = "subject") -> DataFrame:
@@ -90,16 +105,18 @@ def evaluable(counts: DataFrame, classes: Sequence[int] = (0, 1)) -> DataFrame:
     return counts.filter((F.col("role") == "test") & (F.least(*(F.col(f"class_{c}") for c in classes)) > 0)).select("fold")
 
 
-def context(df: DataFrame, keys: Sequence[str], event, half: int, pos: str = "pos", time: str | None = None) -> DataFrame:
-    """The rows from ``half`` before a recording's first event to ``half`` after (exclusive).
+def context(df: DataFrame, keys: Sequence[str], event: Column, half: int, pos: str = "pos", time: str | None = None) -> DataFrame:
+    """The rows from ``half`` before a recording's first event to ``half`` after (exclusive), with ``center``, its place.
 
-    ``rel_time`` is the time since the slice's first row.
+    ``rel_time`` is the time since the slice's first row. Only slices are
+    brought together, not recordings.
     """
-    from pyspark.sql import Window
-
-    within = Window.partitionBy(*keys)
-    out = df.withColumn("center", F.min(F.when(event, F.col(pos))).over(within))
-    out = out.filter((F.col(pos) >= F.col("center") - half) & (F.col(pos) < F.col("center") + half))
+    names = [f"__k{i}" for i in range(len(keys))]
+    centers = df.filter(event).groupBy(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True))).agg(F.min(pos).alias("center"))
+    near = (F.col(pos) >= F.col("center") - half) & (F.col(pos) < F.col("center") + half)
+    for k, n in zip(keys, names, strict=True):
+        near = near & F.col(k).eqNullSafe(F.col(n))
+    out = df.join(centers, near).drop(*names)
     if time:
-        out = out.withColumn("rel_time", F.col(time) - F.min_by(time, pos).over(within))
+        out = out.withColumn("rel_time", F.col(time) - F.min_by(time, pos).over(Window.partitionBy(*keys)))
     return out

@@ -516,6 +516,36 @@ def tumbling_windows(spark, sf_dir):
     return A.event_windows(spark, sf_dir, WHOLE).select("subject", "k", "binary_label", "multiclass_label")
 
 
+#: Places of a stretch where all events are one recording.
+STRETCH = 4096
+
+
+def _one_recording(spark, sf_dir) -> DataFrame:
+    """All events as one recording, numbered and labelled in stretches."""
+    kept = A.events(spark, sf_dir).filter(F.col("annotation") != labels.NOT_IN_EXPERIMENT).withColumn("subject", F.lit(1))
+    numbered = labels.with_ordinal(kept, ["subject"], ["ts", "event_id"], stretch=STRETCH)
+    return labels.with_labels(numbered, ["subject"], ["pos"], lead=A.LEAD, stretch=STRETCH)
+
+
+_ONE = f"""{EV.replace("user_id AS subject", "1 AS subject")}, evf AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) - 1 AS pos FROM ev WHERE annotation <> 0),
+        ons AS (SELECT *, CASE WHEN annotation = 2 THEN 1 ELSE 0 END AS binary_label, CASE WHEN annotation = 2 AND lag(annotation) OVER (ORDER BY pos) <> 2 THEN 1 ELSE 0 END AS onset FROM evf),
+        lab AS (SELECT *, CASE WHEN binary_label = 0 AND max(onset) OVER (ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING) = 1 THEN 2 ELSE binary_label END AS multiclass_label FROM ons)"""
+
+
+@query(f"WITH {_ONE} SELECT event_id, pos, binary_label, multiclass_label FROM lab")
+def long_recording_labels(spark, sf_dir):
+    return _one_recording(spark, sf_dir).select("event_id", "pos", "binary_label", "multiclass_label")
+
+
+@query(f"""WITH {_ONE}, n AS (SELECT count(*) AS n FROM lab), k AS (SELECT unnest(range(0, (n - 16) // 8 + 1)) AS k FROM n),
+        w AS (SELECT k.k, l.* FROM k JOIN lab l ON l.pos >= k.k * 8 AND l.pos < k.k * 8 + 16), v AS (SELECT k, arg_min(multiclass_label, -100 * c + multiclass_label) AS multiclass_label FROM (SELECT k, multiclass_label, count(*) AS c FROM w GROUP BY ALL) GROUP BY 1)
+        SELECT k, multiclass_label, mean, std FROM v JOIN (SELECT k, {r('avg(x)')} AS mean, {r('stddev_pop(x)')} AS std FROM w GROUP BY 1) USING (k)""")
+def long_recording_windows(spark, sf_dir):
+    x = F.col("x")
+    w = windows.sliding(_one_recording(spark, sf_dir), HALF, ["subject"], labels=["multiclass_label"], aggregates=[R(F.avg(x)).alias("mean"), R(F.stddev_pop(x)).alias("std")], stretch=STRETCH)
+    return w.drop("subject")
+
+
 @query(f"WITH {LAB}, {win(8)}, f AS (SELECT subject, k, avg(x) AS m, stddev_pop(x) AS s, sqrt(avg(x * x)) AS q FROM win_r GROUP BY 1, 2) SELECT multiclass_label, count(*) AS n_windows, {r('avg(m)')} AS mean, {r('avg(s)')} AS std, {r('avg(q)')} AS rms FROM win JOIN f USING (subject, k) GROUP BY 1")
 def flagship(spark, sf_dir):
     """Labels, windows, votes and three features per window, summarised by label."""

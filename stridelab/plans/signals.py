@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import extract, nonlinear, spectral, time_domain, wavelet
-from ..operators import cleaning, evaluation, models, selection, statistics, training, tuning, windows
+from ..operators import cleaning, evaluation, kendall, models, selection, statistics, training, tuning, windows
 from ..streaming import windows as streams
 from . import adapters as A
 from .adapters import HALF, WHOLE, table
@@ -247,6 +247,12 @@ _LEFT = _VC[: _N // 2]
 VC_SQL = "vc AS (SELECT vec_id, CAST(vec_id % 7 AS INT) AS subject, CASE WHEN label >= 5 THEN 1 ELSE 0 END AS y, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS e{i}" for i in range(_N)) + " FROM embeddings)"
 
 
+@query(f"""WITH n AS (SELECT p_partkey AS i, p_retailprice AS x, p_size AS y FROM part), p AS (SELECT sign(a.x - b.x) * sign(a.y - b.y) AS s, a.x <> b.x AS dx, a.y <> b.y AS dy FROM n a JOIN n b ON a.i < b.i)
+        SELECT 'p_retailprice' AS a, 'p_size' AS b, {r('sum(s) / sqrt(CAST(count(*) FILTER (dx) AS DOUBLE) * count(*) FILTER (dy))')} AS tau FROM p""")
+def kendall_tau(spark, sf_dir):
+    return _rounded(kendall.kendall(table(spark, sf_dir, "part"), "p_retailprice", "p_size"), ["a", "b"], ["tau"])
+
+
 def feature_rows(spark, sf_dir) -> DataFrame:
     """A small feature table: four features, seven subjects, a binary label."""
     v = A.vectors(spark, sf_dir)
@@ -462,30 +468,24 @@ def _logistic(seed: int, c: float = 1.0):
     return models.logistic(500, c, iterations=10)
 
 
-#: The inverse penalties that are searched.
-_PENALTIES = [0.001, 0.01, 0.1, 1, 10, 100]
+#: Inverse penalties that are searched.
+_PENALTIES = [0.01, 1, 100]
 
 
 def _side():
     return F.when(F.col("column").isin(*_LEFT), "left").otherwise("right")
 
 
-def _left_out(spark, sf_dir) -> training.Report:
-    """Every subject left out in turn; the penalty and the columns of each side are searched inside each fold."""
-    classifiers = {"logistic": training.Classifier(_logistic, {"c": _PENALTIES})}
-    return training.leave_one_subject_out(feature_rows(spark, sf_dir), _VC, "y", classifiers, _side(), [1, 2])
-
-
 @query()
 def loso_training(spark, sf_dir):
-    """Every subject left out in turn, pooled over the folds."""
-    return evaluation.pooled(_left_out(spark, sf_dir).results, ["classifier"])
-
+    """Every subject left out in turn, pooled over the folds; the penalty and the columns of each side are searched inside each.
 
-@query()
-def loso_settings(spark, sf_dir):
-    """The settings that win in most folds."""
-    return _left_out(spark, sf_dir).settings(spark)
+    With the values that win in most folds.
+    """
+    classifiers = {"logistic": training.Classifier(_logistic, {"c": _PENALTIES})}
+    report = training.leave_one_subject_out(feature_rows(spark, sf_dir), _VC, "y", classifiers, _side(), [1, 2])
+    won = report.settings(spark).groupBy("classifier").pivot("parameter", ["k", "c"]).agg(F.first("value"))
+    return evaluation.pooled(report.results, ["classifier"]).join(won.select("classifier", F.col("k").alias("best_k"), F.col("c").alias("best_c")), "classifier")
 
 
 @query()
