@@ -18,6 +18,22 @@ PIECE_ROWS = 1_000_000
 CUTS = 255
 
 
+#: Rows that are worth a partition of their own.
+PART_ROWS = 50_000
+#: Partitions from which a table is left as it is.
+SMALL_PARTS = 64
+
+
+def gathered(df: DataFrame) -> DataFrame:
+    """``df`` kept for the passes that follow, in no more partitions than its rows are worth: each pass has a task for each."""
+    kept = df.persist()
+    few = 1 + kept.count() // PART_ROWS
+    if few >= SMALL_PARTS:
+        return kept
+    kept.unpersist()
+    return df.coalesce(few).persist()
+
+
 def quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], piece_rows: int | None = None) -> dict[str, list[float | None]]:
     """Exact quantiles (linear between neighbours) of each column; nulls and NaN are left out.
 

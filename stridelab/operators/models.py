@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 from collections.abc import Iterable, Mapping, Sequence
+from functools import reduce
 from itertools import product
 
 import numpy as np
@@ -15,11 +16,12 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
 from . import neighbours
+from .distributed import gathered
 
 
 def assembled(df: DataFrame, columns: Sequence[str], label: str = "label") -> DataFrame:
@@ -61,9 +63,82 @@ def fourier(df: DataFrame, columns: Sequence[str], size: int = 64, gamma: float
 
 
 def kernel_machine(penalty: float = 1e-3) -> LinearSVC:
+    """For ``fourier`` features; ``Calibrated`` gives it probabilities."""
     return LinearSVC(maxIter=50, regParam=penalty, weightCol="weight")
 
 
+def platt(margins: DataFrame, passes: int = 100, tolerance: float = 1e-9) -> tuple[float, float]:
+    """a and b of 1 / (1 + exp(a margin + b)), the likeliest for rows (margin, label 0 or 1).
+
+    Targets are drawn in from 0 and 1 by the number of rows of each class. A
+    Newton step takes two passes: one sums gradient and Hessian, one the loss
+    at ever shorter steps, of which the first that lowers it enough is taken.
+    What comes to the driver are these sums.
+    """
+    rows = margins.select(F.col("margin").cast("double").alias("m"), (F.col("label") > 0).alias("y")).filter("m IS NOT NULL AND y IS NOT NULL")
+    rows = gathered(rows)
+    up, down = rows.agg(F.count_if("y"), F.count_if(~F.col("y"))).first()
+    if not up or not down:
+        rows.unpersist()
+        raise ValueError("margins of two classes are needed")
+    m, t = F.col("m"), F.when(F.col("y"), (up + 1.0) / (up + 2.0)).otherwise(1.0 / (down + 2.0))
+
+    def loss(a: float, b: float) -> Column:
+        z = m * a + b
+        return F.sum(F.when(z >= 0, t * z + F.log1p(F.exp(-z))).otherwise((t - 1) * z + F.log1p(F.exp(z))))
+
+    a, b = 0.0, math.log((down + 1.0) / (up + 1.0))
+    steps = [0.5**k for k in range(12)]
+    for _ in range(passes):
+        z = m * a + b
+        p = 1 / (1 + F.exp(z))
+        d1, d2 = t - p, p * (1 - p)
+        ga, gb, haa, hab, hbb, now = rows.agg(F.sum(m * d1), F.sum(d1), F.sum(m * m * d2), F.sum(m * d2), F.sum(d2), loss(a, b)).first()
+        if abs(ga) < tolerance * (up + down) and abs(gb) < tolerance * (up + down):
+            break
+        haa, hbb = haa + 1e-12, hbb + 1e-12
+        det = haa * hbb - hab * hab
+        da, db = -(hbb * ga - hab * gb) / det, -(haa * gb - hab * ga) / det
+        slope = ga * da + gb * db
+        tried = rows.agg(*(loss(a + s * da, b + s * db).alias(f"l{k}") for k, s in enumerate(steps))).first()
+        good = next((s for s, found in zip(steps, tried, strict=True) if found < now + 1e-4 * s * slope), None)
+        if good is None:
+            break
+        a, b = a + good * da, b + good * db
+    rows.unpersist()
+    return a, b
+
+
+class Calibrated:
+    """An estimator of margins with probabilities, by ``platt`` on margins of rows that it was not fitted on."""
+
+    def __init__(self, estimator, folds: int = 5, seed: int = 42):
+        self.estimator, self.folds, self.seed = estimator, folds, seed
+
+    def fit(self, df: DataFrame) -> Calibrated:
+        """``df``: features, label and what the estimator needs. Rows are dealt into folds by their features; equal ones stay together."""
+        fold = F.pmod(F.xxhash64(F.lit(self.seed), vector_to_array("features")), F.lit(self.folds))
+        dealt = gathered(df.withColumn("__fold", fold))
+        parts = []
+        for k in range(self.folds):
+            inside = dealt.filter(F.col("__fold") != k)
+            if inside.select("label").distinct().count() == 2:
+                model = self.estimator.fit(inside)
+                parts.append(model.transform(dealt.filter(F.col("__fold") == k)).select(vector_to_array("rawPrediction")[1].alias("margin"), "label"))
+        if not parts:
+            raise ValueError("no fold leaves rows of two classes")
+        self.a, self.b = platt(reduce(DataFrame.unionByName, parts))
+        self.model = self.estimator.fit(dealt.drop("__fold"))
+        dealt.unpersist()
+        return self
+
+    def scores(self, df: DataFrame) -> DataFrame:
+        """``df`` with ``score``, the probability of class 1."""
+        out = self.model.transform(df)
+        z = vector_to_array("rawPrediction")[1] * self.a + self.b
+        return out.withColumn("score", 1 / (1 + F.exp(z))).drop("rawPrediction", "prediction")
+
+
 class Boosting:
     """AdaBoost (SAMME) over weighted decision stumps."""
 
@@ -109,8 +184,8 @@ class Boosting:
 
 
 def scored(model, df: DataFrame) -> DataFrame:
-    """``df`` with the model's ``score`` for class 1 (its margin where it has no probability)."""
-    if isinstance(model, Boosting):
+    """``df`` with the model's ``score`` for class 1 (its margin where it has no probability; see ``Calibrated``)."""
+    if isinstance(model, (Boosting, Calibrated)):
         return model.scores(df)
     out = model.transform(df)
     source = "probability" if "probability" in out.columns else "rawPrediction"
@@ -207,8 +282,9 @@ def adasyn(df: DataFrame, key: str, columns: Sequence[str], label: str, k: int =
     near = own.groupBy("query").agg(F.count("*").cast("int").alias("have"))
     keys = minority.select(F.col(number).alias("query"), F.col(key).alias("source"), F.array(*columns).alias("xa"))
     many = plan.join(near, "query").join(keys, "query").select("*", F.explode(F.sequence(F.lit(1), "times")).alias("t"))
-    drawn = many.withColumn("nth", F.pmod(F.xxhash64(F.lit(seed), "source", "t"), F.col("have")).cast("int"))
-    part = F.pmod(F.xxhash64(F.lit(seed + 1), "source", "t"), F.lit(1000)) / 1000.0
+    draw = lambda s: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(s)), F.col("source").cast("string"), F.col("t").cast("string"))), 1, 8), 16, 10).cast("long")
+    drawn = many.withColumn("nth", (draw(seed) % F.col("have")).cast("int"))
+    part = draw(seed + 1) % 1000 / 1000.0
     ends = minority.select(F.col(number).alias("row"), F.array(*columns).alias("xb"))
     made = drawn.withColumn("part", part).join(own, ["query", "nth"]).join(ends, "row")
     point = F.zip_with("xa", "xb", lambda x, y: x + (y - x) * F.col("part"))

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import finite
 from ..session import checkpointed
 from . import evaluation, models, selection, statistics, tuning
+from .distributed import gathered
 
 
 @dataclass(frozen=True)
@@ -85,8 +86,8 @@ def threshold(train: DataFrame, label: str, make: tuning.Make, setting: Mapping,
 
 
 def _fitted(make: tuning.Make, seed: int, setting: Mapping, chosen: tuning.SensorKBestModel, rows: DataFrame, label: str, balance: tuning.Balance):
-    balanced = tuning.gathered(balance(chosen.filled(rows), chosen.columns, label))
-    vectors = tuning.gathered(chosen.transform(balanced).select("features", "label", "weight"))
+    balanced = gathered(balance(chosen.filled(rows), chosen.columns, label))
+    vectors = gathered(chosen.transform(balanced).select("features", "label", "weight"))
     model = _made(make, seed, setting).fit(vectors)
     balanced.unpersist()
     vectors.unpersist()
@@ -97,7 +98,7 @@ def _made(make: tuning.Make, seed: int, setting: Mapping):
     return make(seed, **{p: v for p, v in setting.items() if p != "k"})
 
 
-def leave_one_subject_out(features: DataFrame, columns: Sequence[str], label: str, classifiers: Mapping[str, tuning.Make | Classifier], sensor: Column | None = None, k: int | Sequence[int] = 10, subject: str = "subject", folds: Sequence | None = None, seed: int = 42, settings: int = 20, balance: tuning.Balance = tuning.oversampled) -> Report:
+def leave_one_subject_out(features: DataFrame, columns: Sequence[str], label: str, classifiers: Mapping[str, tuning.Make | Classifier], sensor: Column | None = None, k: int | Sequence[int] = 10, subject: str = "subject", folds: Sequence | None = None, seed: int = 42, settings: int = 20, balance: tuning.Balance = tuning.oversampled, at_once: int = 2) -> Report:
     """Confusion counts and metrics of every classifier on every subject left out.
 
     ``classifiers``: by name, a ``Classifier`` (or its ``make`` alone).
@@ -105,44 +106,55 @@ def leave_one_subject_out(features: DataFrame, columns: Sequence[str], label: st
     each group are kept, and several ``k`` are part of the search. At most
     ``settings`` settings of ``k`` and a classifier's grid are tried, drawn
     without replacement; the one with the largest mean F1 over the inner folds
-    wins. A fold with fewer than two training subjects, with one class in its
+    wins. ``at_once`` folds run side by side. A fold with fewer than two training subjects, with one class in its
     training rows or without a varying feature is skipped, and so is a
     classifier that cannot be fitted on it.
     """
-    report = Report()
-    spark = features.sparkSession
     ks = [k] if isinstance(k, int) else list(k)
     names = folds if folds is not None else sorted(r[0] for r in features.select(subject).distinct().collect())
-    for fold in names:
-        train, test, kept = prepared(features.filter(F.col(subject) != fold), features.filter(F.col(subject) == fold), columns, subject)
-        split = inner_folds(train, subject) if kept else None
-        if split is None or train.select(label).distinct().count() < 2:
-            report.skipped.append(("*", str(fold), "no varying feature" if not kept else "too few subjects or classes"))
-            continue
-        split = checkpointed(split)
-        selector = tuning.SensorKBest(kept, label, sensor)
-        whole = dict(zip(ks, (m for _, m in selector.fitMultiple(split, [{selector.k: each} for each in ks])), strict=True))
-        for name, classifier in classifiers.items():
-            classifier = classifier if isinstance(classifier, Classifier) else Classifier(classifier)
-            try:
-                _made(classifier.make, seed, {p: list(v)[0] for p, v in classifier.grid.items()})  # what no setting can make is told as such
-                found = tuning.search(split, "inner", selector, classifier.make, classifier.grid, ks, settings, seed, balance=balance)
-                best = found.best
-                if best is None:
-                    raise ValueError("no setting could be fitted on all inner folds")
-                chosen = whole[best["k"]]
-                t = threshold(split, label, classifier.make, best, found.selectors, seed, balance)
-                model = _fitted(classifier.make, seed, best, chosen, split, label, balance)
-                marked = models.scored(model, chosen.transform(test)).withColumn("p", (F.col("score") >= t).cast("int"))
-                counts = evaluation.confusion(marked, [], F.col("label"), F.col("p"))
-                row = counts.select(F.lit(name).alias("classifier"), F.lit(str(fold)).alias("fold"), F.lit(float(t)).alias("threshold"), "tn", "fp", "fn", "tp")
-                done = row.collect()  # one row: a fold's result
-            except tuning.UNFIT as error:
-                report.skipped.append((name, str(fold), str(error).splitlines()[0][:200]))
-                continue
-            report.chosen[name, str(fold)], report.best[name, str(fold)] = chosen.columns, best
-            part = spark.createDataFrame(done, row.schema)
-            report.results = part if report.results is None else report.results.unionByName(part)
-    if report.results is not None:
-        report.results = evaluation.with_metrics(report.results)
+    every = {name: c if isinstance(c, Classifier) else Classifier(c) for name, c in classifiers.items()}
+
+    def one(fold) -> tuple[list, Report]:
+        return _fold(features, fold, columns, label, every, sensor, ks, subject, seed, settings, balance)
+
+    report, rows = Report(), []
+    for done, part in tuning.at_once(features, one, list(names), at_once):
+        rows += done
+        report.skipped += part.skipped
+        report.chosen |= part.chosen
+        report.best |= part.best
+    if rows:
+        results = features.sparkSession.createDataFrame(rows, "classifier string, fold string, threshold double, tn long, fp long, fn long, tp long")
+        report.results = evaluation.with_metrics(results)
     return report
+
+
+def _fold(features: DataFrame, fold, columns: Sequence[str], label: str, classifiers: Mapping[str, Classifier], sensor: Column | None, ks: list[int], subject: str, seed: int, settings: int, balance: tuning.Balance) -> tuple[list, Report]:
+    """Rows of results of one subject left out, and what is told of it."""
+    report, rows = Report(), []
+    train, test, kept = prepared(features.filter(F.col(subject) != fold), features.filter(F.col(subject) == fold), columns, subject)
+    split = inner_folds(train, subject) if kept else None
+    if split is None or train.select(label).distinct().count() < 2:
+        report.skipped.append(("*", str(fold), "no varying feature" if not kept else "too few subjects or classes"))
+        return rows, report
+    split = checkpointed(split)
+    selector = tuning.SensorKBest(kept, label, sensor)
+    whole = dict(zip(ks, (m for _, m in selector.fitMultiple(split, [{selector.k: each} for each in ks])), strict=True))
+    for name, classifier in classifiers.items():
+        try:
+            _made(classifier.make, seed, {p: list(v)[0] for p, v in classifier.grid.items()})  # what no setting can make is told as such
+            found = tuning.search(split, "inner", selector, classifier.make, classifier.grid, ks, settings, seed, balance=balance)
+            best = found.best
+            if best is None:
+                raise ValueError("no setting could be fitted on all inner folds")
+            chosen = whole[best["k"]]
+            t = threshold(split, label, classifier.make, best, found.selectors, seed, balance)
+            model = _fitted(classifier.make, seed, best, chosen, split, label, balance)
+            marked = models.scored(model, chosen.transform(test)).withColumn("p", (F.col("score") >= t).cast("int"))
+            counts = evaluation.confusion(marked, [], F.col("label"), F.col("p")).first()  # one row: a fold's result
+        except tuning.UNFIT as error:
+            report.skipped.append((name, str(fold), str(error).splitlines()[0][:200]))
+            continue
+        rows.append((name, str(fold), float(t), *(int(counts[c] or 0) for c in ("tn", "fp", "fn", "tp"))))
+        report.chosen[name, str(fold)], report.best[name, str(fold)] = chosen.columns, best
+    return rows, report

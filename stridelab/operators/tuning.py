@@ -21,13 +21,10 @@ from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
 from . import evaluation, models, selection
+from .distributed import gathered
 
 #: What a setting that cannot be fitted may raise; a lost executor or a failed job is not among these.
 UNFIT = (ValueError, RuntimeError, IllegalArgumentException)
-#: Rows that are worth a partition of their own.
-PART_ROWS = 50_000
-#: Partitions from which a table is left as it is.
-SMALL_PARTS = 64
 #: Makes an estimator of a seed and a setting's parameters.
 Make = Callable[..., object]
 
@@ -172,16 +169,6 @@ def search(train: DataFrame, fold: str, selector: SensorKBest, make: Make, grid:
     return Search(settings, [[found[i][0] for found in by_fold] for i in range(len(settings))], [[found[i][1] for found in by_fold] for i in range(len(settings))], selectors)
 
 
-def gathered(df: DataFrame) -> DataFrame:
-    """``df`` kept for the passes that follow, in no more partitions than its rows are worth: each pass has a task for each."""
-    kept = df.persist()
-    few = 1 + kept.count() // PART_ROWS
-    if few >= SMALL_PARTS:
-        return kept
-    kept.unpersist()
-    return df.coalesce(few).persist()
-
-
 def at_once(df: DataFrame, work: Callable, items: list, most: int = 8) -> list:
     """``work`` on each item, on a few threads of the driver."""
     if len(items) < 2:

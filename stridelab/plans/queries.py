@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship_package
-from . import relational, signals  # noqa: F401 - importing registers their queries
+from . import raw, relational, signals  # noqa: F401 - importing registers their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

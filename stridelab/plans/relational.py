@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import evaluation, labels, selection, statistics, windows
+from ..session import scratch_folder
 from ..sources import readers, sinks
 from . import adapters as A
 from .adapters import HALF, WHOLE, table
@@ -67,10 +68,7 @@ def scan_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, user_id, value FROM events WHERE event_type = 'error'")
 def sink_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = sinks.save_dataset(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value"), f"{base}/roundtrip-{uuid.uuid4().hex}", "parquet")
+    path = sinks.save_dataset(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value"), scratch_folder(spark, "roundtrip"), "parquet")
     return readers.read_dataset(spark, path).filter("event_type = 'error'").drop("event_type")
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import extract, nonlinear, spectral, time_domain, wavelet
-from ..operators import cleaning, evaluation, kendall, models, selection, statistics, training, tuning, windows
+from ..operators import cleaning, evaluation, information, kendall, models, selection, statistics, training, tuning, windows
+from ..session import scratch_folder
 from ..streaming import windows as streams
 from . import adapters as A
 from .adapters import HALF, WHOLE, table
@@ -189,26 +190,27 @@ _TEMPLATES = f"""{EM}, sd AS (SELECT vec_id, 0.2 * stddev_pop(x) AS r FROM em GR
         pa AS (SELECT p.vec_id, p.i, count(*) FILTER (abs(p.a - q.a) <= r AND abs(p.b - q.b) <= r) AS m2, count(*) FILTER (abs(p.a - q.a) <= r AND abs(p.b - q.b) <= r AND abs(p.c - q.c) <= r) AS m3 FROM tp p JOIN tp q USING (vec_id) JOIN sd USING (vec_id) GROUP BY 1, 2)"""
 
 
-def _nonlinear(spark, sf_dir):
-    return A.vectors(spark, sf_dir).select("vec_id", nonlinear.nonlinear_features(F.col("x")).alias("f")).select("vec_id", "f.*")
+def _nonlinear(spark, sf_dir, name):
+    f = nonlinear.nonlinear_features(F.col("x"), names=[name])
+    return _rounded(A.vectors(spark, sf_dir).select("vec_id", f.alias("f")).select("vec_id", "f.*"), ["vec_id"], [name])
 
 
 @query(f"""WITH {_TEMPLATES}, s AS (SELECT vec_id, (sum(m2) - 63) / (63.0 * 62) AS p2, (sum(m3) - 62) / (62.0 * 61) AS p3 FROM pa GROUP BY 1)
         SELECT vec_id, {r('CASE WHEN p2 > 0 AND p3 > 0 THEN -ln(p3 / p2) END')} AS sample_entropy FROM s""")
 def sample_entropy(spark, sf_dir):
-    return _rounded(_nonlinear(spark, sf_dir), ["vec_id"], ["sample_entropy"])
+    return _nonlinear(spark, sf_dir, "sample_entropy")
 
 
 @query(f"WITH {_TEMPLATES} SELECT vec_id, {r('avg(CASE WHEN i < 63 THEN ln(m2 / 63.0) END) - avg(CASE WHEN i < 62 THEN ln(m3 / 62.0) END)')} AS approx_entropy FROM pa GROUP BY 1")
 def approx_entropy(spark, sf_dir):
-    return _rounded(_nonlinear(spark, sf_dir), ["vec_id"], ["approx_entropy"])
+    return _nonlinear(spark, sf_dir, "approx_entropy")
 
 
 @query(f"""WITH {EM}, hg AS (SELECT vec_id, k, i % k AS m, abs(x - lag(x, CAST(k AS INT)) OVER (PARTITION BY vec_id, k ORDER BY i)) AS d FROM em, range(1, 11) g(k)),
         hl AS (SELECT vec_id, k, m, sum(d) * 63 / ((count(*) - 1) * k) AS lm FROM hg GROUP BY 1, 2, 3), hk AS (SELECT vec_id, k, ln(sum(lm) / k) AS y, ln(k) AS z FROM hl GROUP BY 1, 2)
         SELECT vec_id, {r('-regr_slope(y, z)')} AS higuchi_fd FROM hk GROUP BY 1""")
 def higuchi_fd(spark, sf_dir):
-    return _rounded(_nonlinear(spark, sf_dir), ["vec_id"], ["higuchi_fd"])
+    return _nonlinear(spark, sf_dir, "higuchi_fd")
 
 
 @query(f"WITH li AS (SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, l_quantity, l_discount, l_tax FROM lineitem) SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, {r('sqrt(l_quantity * l_quantity + l_discount * l_discount + l_tax * l_tax)')} AS magnitude FROM li")
@@ -300,6 +302,17 @@ def mutual_info_binned(spark, sf_dir):
     return _rounded(selection.binned_information(feature_rows(spark, sf_dir), "e0", "y"), [], ["mi"])
 
 
+@query(f"""WITH {VC_SQL}, n AS (SELECT y, count(*) AS own FROM vc GROUP BY 1),
+        ds AS (SELECT a.vec_id, a.y, abs(a.e0 - b.e0) AS d, a.y = b.y AND a.vec_id <> b.vec_id AS mine FROM vc a JOIN vc b ON true),
+        rd AS (SELECT vec_id, d AS r FROM (SELECT vec_id, d, row_number() OVER (PARTITION BY vec_id ORDER BY d) AS nth FROM ds WHERE mine) WHERE nth = 3),
+        ms AS (SELECT vec_id, y, count(*) FILTER (d < r OR d = 0) AS m FROM ds JOIN rd USING (vec_id) GROUP BY 1, 2),
+        ps AS (SELECT avg(list_sum(list_transform(range(1, m), lambda j: 1.0 / j))) AS pm, avg(list_sum(list_transform(range(1, own), lambda j: 1.0 / j))) AS po, list_sum(list_transform(range(1, CAST(count(*) AS BIGINT)), lambda j: 1.0 / j)) AS pn FROM (SELECT CAST(m AS BIGINT) AS m, own FROM ms JOIN n USING (y)))
+        SELECT {r('greatest(0, pn + 1.5 - po - pm)')} AS mi FROM ps""")
+def mutual_info(spark, sf_dir):
+    """The nearest-neighbour estimate, with three neighbours."""
+    return _rounded(information.neighbour_information(feature_rows(spark, sf_dir), "e0", "y"), [], ["mi"])
+
+
 _HOLES = "ho AS (SELECT vec_id, subject, CASE WHEN vec_id % 19 <> 0 THEN e0 END AS e0, CASE WHEN vec_id % 23 <> 0 THEN e1 END AS e1, e2 FROM vc)"
 
 
@@ -452,7 +465,7 @@ def model_adaboost(spark, sf_dir):
 @query()
 def model_kernel_machine(spark, sf_dir):
     rows = models.fourier(models.assembled(feature_rows(spark, sf_dir), _VC, "y").drop("features"), _VC, 16)
-    return _fitted(models.kernel_machine(), spark, sf_dir, (rows.filter("subject <> 3"), rows.filter("subject = 3")))
+    return _fitted(models.Calibrated(models.kernel_machine(), 3), spark, sf_dir, (rows.filter("subject <> 3"), rows.filter("subject = 3")))
 
 
 @query()
@@ -500,12 +513,21 @@ def rf_importance(spark, sf_dir):
     return models.importances(feature_rows(spark, sf_dir), _VC, 5, label="y")
 
 
-@query()
+_HARD = f"""WITH {VC_SQL}, ad AS (SELECT vc.* EXCLUDE (y), CASE WHEN label >= 7 THEN 1 ELSE 0 END AS y FROM vc JOIN embeddings USING (vec_id)),
+        pr AS (SELECT a.vec_id, b.vec_id AS other, b.y, {' + '.join(f'(a.{c} - b.{c}) * (a.{c} - b.{c})' for c in _VC)} AS d FROM ad a JOIN ad b ON a.vec_id <> b.vec_id WHERE a.y = 1),
+        hd AS (SELECT vec_id, avg(1.0 - y) AS r FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, other) AS nth FROM pr) WHERE nth <= 5 GROUP BY 1),
+        pl AS (SELECT vec_id, CAST(round(r / (SELECT sum(r) FROM hd) * (SELECT count(*) FILTER (y = 0) - count(*) FILTER (y = 1) FROM ad)) AS INTEGER) AS times FROM hd),
+        ow AS (SELECT vec_id, other, row_number() OVER (PARTITION BY vec_id ORDER BY d, other) - 1 AS nth FROM pr WHERE y = 1 QUALIFY nth < 5),
+        mn AS (SELECT vec_id, unnest(range(1, times + 1)) AS t FROM pl),
+        dr AS (SELECT *, CAST('0x' || md5('42:' || vec_id || ':' || t)[1:8] AS BIGINT) % 5 AS nth, CAST('0x' || md5('43:' || vec_id || ':' || t)[1:8] AS BIGINT) % 1000 / 1000.0 AS part FROM mn)"""
+
+
+@query(f"{_HARD} SELECT dr.vec_id AS source, CAST(t AS INTEGER) AS t, {', '.join(r(f'a.{c} + (b.{c} - a.{c}) * part') + f' AS {c}' for c in _VC)}, 1 AS y FROM dr JOIN ow USING (vec_id, nth) JOIN ad a ON a.vec_id = dr.vec_id JOIN ad b ON b.vec_id = ow.other")
 def adasyn_rows(spark, sf_dir):
     """All rows; a higher cut of the label makes the classes uneven."""
     cut = A.vectors(spark, sf_dir).select("vec_id", (F.col("label") >= 7).cast("int").alias("y"))
     rows = feature_rows(spark, sf_dir).drop("y").join(cut, "vec_id")
-    return models.adasyn(rows, "vec_id", _VC, "y")
+    return _rounded(models.adasyn(rows, "vec_id", _VC, "y"), ["source", "t", "y"], _VC)
 
 
 @query()
@@ -519,12 +541,9 @@ def anova_p_values(spark, sf_dir):
 
 
 def _drained(stream: DataFrame, mode: str) -> DataFrame:
-    """A bounded stream's whole result, read back from a table of the warehouse."""
-    import uuid
-
+    """A bounded stream's whole result, read back from the shared folder that it is written to."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{base}/stream-{uuid.uuid4().hex}"
+    path = scratch_folder(spark, "stream")
     q = stream.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/rows")
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")

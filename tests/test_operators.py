@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stridelab.operators import distributed, evaluation, kendall, labels, models, neighbours, selection, statistics, training, tuning, windows
+from stridelab.operators import cleaning, distributed, evaluation, information, kendall, labels, models, neighbours, selection, statistics, training, tuning, windows
 from stridelab.operators.distributed import dealt_rank, quantiles, running_sums
 
 
@@ -33,6 +33,35 @@ def test_rank_columns_average_ties(spark):
     assert sorted(r.a for r in statistics.rank_columns(df, ["a"]).collect()) == [1.0, 2.0, 3.5, 3.5]
 
 
+def plain_information(rows, k):
+    psi = lambda n: sum(1 / j for j in range(1, n)) - 0.5772156649015329
+    rows = [(x, y) for x, y in rows if x is not None and y is not None and x == x]
+    rows = [(x, y) for x, y in rows if sum(v == y for _, v in rows) > 1]
+    parts = []
+    for i, (x, y) in enumerate(rows):
+        own = sorted(abs(x - u) for j, (u, v) in enumerate(rows) if v == y and j != i)
+        kk = min(k, len(own))
+        r = own[kk - 1]
+        m = sum(abs(x - u) < r or (r == 0 and u == x) for u, _ in rows)
+        parts.append(psi(kk) - psi(len(own) + 1) - psi(m))
+    return max(0.0, psi(len(rows)) + sum(parts) / len(parts)) if rows else 0.0
+
+
+@pytest.mark.parametrize("stretch", [20, 1000])
+def test_neighbour_information_equals_a_plain_count(spark, stretch):
+    rng = random.Random(stretch)
+    tables = [
+        [(rng.gauss(2 * (i % 2), 1), i % 2) for i in range(90)],
+        [(float(rng.randrange(8)), rng.choice([0, 1, 2, None])) for _ in range(80)] + [(0.5, 7), (None, 1), (float("nan"), 1), (-0.0, 1), (0.0, 1)],
+        [(0.125 * rng.randrange(30), i % 3) for i in range(70)] + [(9.0, 5), (9.5, 5)],
+        [],
+    ]
+    for rows, ks in zip(tables, ([3], [3], [1], [2]), strict=True):
+        df = table(spark, rows, "x double, y int").repartition(3)
+        for k in ks:
+            assert information.neighbour_information(df, "x", "y", k, stretch).first().mi == pytest.approx(plain_information(rows, k), abs=1e-9)
+
+
 def plain_kendall(rows):
     both = [(x, y) for x, y in rows if x is not None and y is not None and x == x and y == y]
     sign = lambda d: (d > 0) - (d < 0)
@@ -134,6 +163,65 @@ def test_boosting_learns_a_threshold(spark):
     assert sum((r.score >= 0.5) == bool(r.y) for r in out) >= 49
 
 
+def plain_platt(rows):
+    m, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    t = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
+    a, b = 0.0, 0.0
+    for _ in range(20_000):  # plain descent on the mean loss
+        p = 1 / (1 + np.exp(a * m + b))
+        a, b = a - 0.5 * ((t - p) * m).mean(), b - 0.5 * (t - p).mean()
+    return a, b
+
+
+def test_platt_equals_a_plain_fit(spark):
+    rng = random.Random(8)
+    rows = [(rng.gauss(1.0 if y else -0.5, 1), float(y)) for y in [0] * 70 + [1] * 30]
+    got = models.platt(table(spark, [*rows, (None, 1.0)], "margin double, label double"))
+    assert got == pytest.approx(plain_platt(rows), abs=1e-4) and got[0] < 0
+    apart = [(float(i), float(i >= 10)) for i in range(20)]
+    a, b = models.platt(table(spark, apart, "margin double, label double"))
+    assert math.isfinite(a) and math.isfinite(b) and a < 0
+    with pytest.raises(ValueError):
+        models.platt(table(spark, [(1.0, 1.0)], "margin double, label double"))
+
+
+def test_calibrated_scores_are_probabilities_in_the_order_of_margins(spark):
+    rng = random.Random(9)
+    rows = [(rng.gauss(y, 1), rng.gauss(0, 1), y) for y in [0] * 60 + [1] * 40]
+    df = models.assembled(table(spark, rows, "a double, b double, y int"), ["a", "b"], "y")
+    model = models.Calibrated(models.kernel_machine(), 3).fit(df)
+    out = models.scored(model, df).collect()
+    margin = {tuple(r.features): r.rawPrediction[1] for r in model.model.transform(df).collect()}
+    ordered = sorted(out, key=lambda r: margin[tuple(r.features)])
+    assert all(0 < r.score < 1 for r in out) and all(x.score <= y.score + 1e-12 for x, y in zip(ordered, ordered[1:], strict=False))
+    assert sum((r.score > 0.5) == bool(r.y) for r in out) > 60
+
+
+def test_stacked_cleaning_equals_window_by_window(spark):
+    rng = np.random.default_rng(3)
+    windows_ = [rng.normal(size=n) for n in (64, 64, 64, 16, 5, 3, 2, 1, 64, 64, 64)]
+    windows_[0][[3, 40]] = [90.0, -70.0]
+    windows_[1][10:14] = np.nan
+    windows_[2][:55] = np.nan
+    windows_[3][:] = 4.0
+    windows_[3][2] = 9.0
+    windows_[4][1] = np.nan
+    windows_[5][:] = [np.nan, 2.0, np.nan]
+    windows_[6][:] = np.nan
+    windows_[8][:] = [0.0] * 60 + [5.0] * 4
+    windows_[9][[0, 63]] = 1e3
+    windows_[10][5:] = np.nan
+    rows = [(i, [None if np.isnan(v) else float(v) for v in w]) for i, w in enumerate(windows_)] + [(11, []), (12, None)]
+    df = table(spark, rows, "id int, x array<double>").coalesce(1)
+    out = {r.id: r for r in df.select("id", cleaning.outliers_filled(F.col("x")).alias("o"), cleaning.missing_filled(F.col("x")).alias("m"), cleaning.cleaned(F.col("x")).alias("c")).collect()}
+    for i, w in enumerate(windows_):
+        outliers, gaps = cleaning.fill_outliers(w.copy()), cleaning.fill_missing(w.copy())
+        both = cleaning.fill_missing(outliers.copy())
+        for got, want in ((out[i].o, outliers), (out[i].m, gaps), (out[i].c, both)):
+            assert [np.nan if v is None else v for v in got] == pytest.approx(list(want), rel=1e-8, abs=1e-8, nan_ok=True), i
+    assert out[11].c == [] and out[12].c is None
+
+
 def test_leave_one_subject_out_end_to_end(spark):
     rng = random.Random(5)
     rows = [(s, float(y * 2 + rng.gauss(0, 0.3)), rng.gauss(0, 1), 1.0, y) for s in "abcd" for y in [0] * 14 + [1] * 6]
