@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import give_back
+
 #: Rows of a block.
 SIZE = 1024
 #: Pairs of rows that are compared at a time.
@@ -74,6 +76,8 @@ def pairs_within(rows: DataFrame, key: str, near: Callable[[dict[str, np.ndarray
             held.append(batch.slice(cut))
         if held:
             yield from found(pa.Table.from_batches(held))
+        held.clear()
+        give_back()
 
     return rows.repartition(*order).sortWithinPartitions(*order).mapInArrow(run, schema)
 

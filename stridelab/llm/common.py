@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpointed, ensure_checkpoint_dir
 
-__all__ = ["checkpointed", "ensure_checkpoint_dir", "free_name", "id_bucket", "parts_for", "read", "written"]
+__all__ = ["checkpointed", "ensure_checkpoint_dir", "free_name", "give_back", "id_bucket", "parts_for", "read", "written"]
 
 #: Narrow rows that make a partition of their own.
 ROWS_A_PART = 100_000
@@ -37,6 +41,19 @@ def id_bucket(doc_id: str, folds: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string")) % F.lit(folds)
 
 
+def give_back() -> None:
+    """Give memory that a task has freed back to the machine.
+
+    Python workers outlive their tasks: what their allocators keep of one
+    stage's peak adds to the next one's.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """A column name that does not clash (case-insensitively) with those of ``df``."""
     taken = {c.lower() for c in df.columns}

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, free_name
+from .common import checkpointed, free_name, give_back
 
 #: Code points of normalised text that are indexed at a time.
 PIECE = 1 << 20
@@ -265,6 +265,8 @@ def _matcher(items: list[tuple[int, str]], bounds: Bounds):
             shared["index"] = Index(items, bounds)
         for batch in batches:
             yield pd.Series([[dict(zip(("item_id", "distance", "start", "end"), x, strict=True)) for x in found] for found in shared["index"].matches(list(batch))])
+        shared.clear()
+        give_back()
 
     return matches.asNondeterministic()
 

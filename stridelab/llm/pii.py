@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import give_back
+
 # The kinds, in the order in which they are listed, and the base patterns.
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -391,6 +393,7 @@ def spans_column(text: Column) -> Column:
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series([[{"kind": KINDS[k], "start": s, "end": e, "base": b} for k, s, e, b in spans(t, field)] for t in batch])
+        give_back()
 
     return found.asNondeterministic()(text)
 
@@ -422,6 +425,7 @@ def redacted_column(text: Column) -> Column:
     def redacted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series([redact(t) for t in batch], dtype=object)
+        give_back()
 
     return redacted.asNondeterministic()(text)
 

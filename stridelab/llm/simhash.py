@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import in_blocks, pairs_within
-from .common import checkpointed, free_name, written
+from .common import checkpointed, free_name, give_back, written
 from .components import connected_components
 
 WIDTH = 64
@@ -92,6 +92,7 @@ def fingerprint_column(text: str, size: int = 3, seed: int = 42):
         for batch in batches:
             prints = [simhash(t.encode() if t is not None else None, size, seed) for t in batch]
             yield pd.Series(np.array(prints, dtype=np.uint64).view(np.int64))
+        give_back()
 
     return fingerprints.asNondeterministic()(F.col(text))
 
@@ -302,6 +303,7 @@ def shingle_set_column(text: Column, size: int = 5, seed: int = 42) -> Column:
         for batch in batches:
             for start in range(0, len(batch), HELD):
                 yield pd.Series([_shingle_set(t, size, seed) for t in batch.iloc[start : start + HELD]], dtype=object)
+        give_back()
 
     return sets.asNondeterministic()(text)
 
@@ -320,6 +322,7 @@ def wide_sketch_column(text: Column, size: int = 5, seed: int = 42) -> Column:
                     sizes.append(len(s))
                     wide.append(bits(s).view(np.int64))
                 yield pd.DataFrame({"n": sizes, "wide": wide})
+        give_back()
 
     return sketches.asNondeterministic()(text)
 
@@ -356,6 +359,7 @@ def signature_column(text: Column, common: np.ndarray, percent: int, print_size:
                     prefixes.append(s[: len(s) + (-len(s) * percent) // 100 + 1])
                 prints = [simhash(t.encode() if t is not None else None, print_size, seed) for t in texts]
                 yield pd.DataFrame({"print": signed(prints), "node": signed(nodes), "n": sizes, "prefix": prefixes, "sketch": sketches})
+        give_back()
 
     return signatures.asNondeterministic()(text)
 

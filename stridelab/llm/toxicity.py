@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name
+from .common import free_name, give_back
 
 #: Opens every window and ends both dictionaries: with that much to match, a window is always
 #: written compressed, and a gain is not lost in the cost of beginning to compress.
@@ -230,6 +230,7 @@ def score_column(model: Model, text: Column) -> Column:
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series([model.score(t) for t in batch], dtype="float64")
+        give_back()
 
     return scores.asNondeterministic()(text)
 
