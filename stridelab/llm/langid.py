@@ -10,10 +10,10 @@ from __future__ import annotations
 
 import math
 import re
-import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -24,8 +24,8 @@ from pyspark.sql import types as T
 UNKNOWN = "und"
 #: Unseen words whose scores a task keeps.
 KEPT = 200_000
-#: Runs of letters, as ``\\p{L}+`` has them: word characters but for the digits and the numbers that are none (fractions, raised digits).
-_WORD = re.compile("[^\\W\\d_%s]+" % "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal()))
+#: Runs of letters and of numbers that are no digits (fractions, raised digits); few texts have any of the latter.
+_WORD = re.compile(r"[^\W\d_]+")
 RESULT = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
 
 
@@ -40,6 +40,17 @@ class Settings:
     longest: int = 5
 
 
+def word_counts(text: str | None) -> Counter[str]:
+    """Lower-cased runs of letters, as ``\\p{L}+`` has them, with their counts."""
+    counts = Counter(_WORD.findall((text or "").lower()))
+    for run in [w for w in counts if not w.isalpha()]:
+        times = counts.pop(run)
+        for letters, part in groupby(run, str.isalpha):
+            if letters:
+                counts["".join(part)] += times
+    return counts
+
+
 class Model:
     def __init__(self, languages: list[str], words: dict[str, dict[str, int]], grams: dict[str, dict[str, int]], totals: dict[tuple[str, int], int], longest: int = 5):
         """``words`` and ``grams``: counts by item and language; ``totals``: by language and length (0: words)."""
@@ -69,7 +80,7 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, its share of the likelihood); ``und`` and 0 without a letter or a model."""
-        counts = Counter(_WORD.findall((text or "").lower()))
+        counts = word_counts(text)
         if not counts or not self.languages:
             return UNKNOWN, 0.0
         if "at" not in self.__dict__:

@@ -1,6 +1,9 @@
 from __future__ import annotations
 
 import math
+import re
+import sys
+import time
 import zlib
 from collections import Counter, defaultdict
 from itertools import groupby
@@ -91,6 +94,20 @@ def test_only_letters_make_words():
     assert model.predict("\u00bda\u00b2")[0] == "en"
 
 
+def test_words_of_all_characters_in_time_that_ordinary_texts_take():
+    every = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if not "\ud800" <= c <= "\udfff")
+    plain = Counter("".join(run) for known, run in groupby(every.lower(), str.isalpha) if known)
+    assert langid.word_counts(every) == plain and langid.word_counts(None) == Counter()
+    assert langid.word_counts("a\u00b2b\u00bd a\u00b2b \u00b2") == Counter(a=2, b=2)
+    text = "\u00e9tait une fois la m\u00e9moire " * 20_000
+    start = time.process_time()
+    Counter(re.findall(r"[^\W\d_]+", text.lower()))
+    usual = time.process_time() - start
+    start = time.process_time()
+    langid.word_counts(text)
+    assert time.process_time() - start < 4 * usual + 0.05
+
+
 def test_query_against_a_plain_version(spark, sf_dir):
     """Counts of every word and n-gram from the rows that may be learned from, then a plain sum over each text."""
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
