@@ -9,6 +9,7 @@ so groups should be as small as filters can make them.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,19 @@ SIZE = 1024
 PAIRS = 1 << 18
 
 
+class Lists(NamedTuple):
+    """A column of lists: all values in a row, and where each list begins and ends among them."""
+
+    values: np.ndarray
+    edges: np.ndarray
+
+    def of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values of some rows, with the place among ``rows`` that each belongs to."""
+        sizes = self.edges[rows + 1] - self.edges[rows]
+        which = np.repeat(np.arange(len(rows)), sizes)
+        return which, self.values[np.arange(len(which)) + np.repeat(self.edges[rows] - (np.cumsum(sizes) - sizes), sizes)]
+
+
 def in_blocks(rows: DataFrame, key: str, item: str, size: int = SIZE) -> DataFrame:
     """``rows`` with columns block, low and high: once for each pair of blocks that its own is part of."""
     blocks = F.ceil(F.count("*").over(Window.partitionBy(key)) / size)
@@ -35,7 +49,7 @@ def pairs_within(rows: DataFrame, key: str, near: Callable[[dict[str, np.ndarray
     """Pairs (i, j) of rows with equal ``key`` that ``near`` keeps, written by ``out`` as rows of longs.
 
     ``rows`` come from ``in_blocks``; fixed-size binary columns arrive as rows
-    of uint64. Rows of a group are held at most two blocks at a time.
+    of uint64, arrays of numbers as ``Lists``. Rows of a group are held at most two blocks at a time.
     """
     order = [key, "low", "high"]
     names = [c.split()[0] for c in schema.split(",")]
@@ -49,6 +63,8 @@ def pairs_within(rows: DataFrame, key: str, near: Callable[[dict[str, np.ndarray
                 column = table.column(name).combine_chunks()
                 if pa.types.is_binary(column.type):
                     columns[name] = np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(len(column), -1)
+                elif pa.types.is_list(column.type):
+                    columns[name] = Lists(column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy().astype(np.int64))
                 else:
                     columns[name] = column.to_numpy(zero_copy_only=False)
             marks = np.stack([columns[c].astype(np.int64) for c in order], axis=1)

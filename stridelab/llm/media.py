@@ -14,12 +14,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import in_blocks, pairs_within
-from .common import checkpointed
+from .blocks import Lists, in_blocks, pairs_within
+from .common import checkpointed, give_back
 from .components import connected_components
 
 #: Scales, and the strongest corners kept at each.
@@ -38,7 +39,7 @@ _DISC = _DISC[(_DISC**2).sum(axis=1) <= 100]
 POINTS = T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("place", "d0", "d1")]))
 #: A corner's place in one long: x and y in eighths of a pixel, the scale's number, the turn.
 _X, _Y, _SCALE = 1 << 34, 1 << 10, 1 << 6
-#: Pixels of pictures that are worked on together.
+#: Pixels of pictures, and pairs of rows, that are worked on together.
 TOGETHER = 20_000
 #: Rows (two longs each) up to which a table is sent to every task; it is counted first.
 BROADCAST_ROWS = 1 << 20
@@ -200,18 +201,55 @@ def _votes(pairs: DataFrame, least: int, cell: float) -> DataFrame:
 
 
 def _in_tables(corners: DataFrame) -> DataFrame:
-    """(key, pic, place, d0, d1) of corners that share a stretch of their bits with another picture's.
-
-    Only a hash of the stretch, the picture and the corner's number go through
-    the first shuffle; descriptors follow for those that meet another.
-    """
+    """(key, pic, nth) of corners that share a stretch of their bits with another picture's; keys are hashes of stretches."""
     stretches = F.array(*(F.xxhash64(F.lit(k), _stretch(k, "p.d0", "p.d1")) for k in range(TABLES)))
     entries = corners.select("pic", F.posexplode("points").alias("nth", "p")).select(F.shiftleft("pic", 6).bitwiseOR(F.col("nth")).alias("ref"), F.explode(stretches).alias("key"))
     pic = F.shiftright("ref", 6)
     ends = Window.partitionBy("key")
-    met = entries.repartition("key").withColumns({"low": F.min(pic).over(ends), "high": F.max(pic).over(ends)}).filter("low < high").select("key", "ref", pic.alias("pic"))
-    own = corners.select("pic", F.posexplode("points").alias("nth", "p")).select(F.shiftleft("pic", 6).bitwiseOR(F.col("nth")).alias("ref"), "p.*")
-    return met.join(own, "ref").select("key", "pic", "place", "d0", "d1")
+    met = entries.repartition("key").withColumns({"low": F.min(pic).over(ends), "high": F.max(pic).over(ends)}).filter("low < high")
+    return met.select("key", pic.alias("pic"), F.col("ref").bitwiseAND(F.lit(63)).cast("int").alias("nth"))
+
+
+def _matches(pairs: DataFrame, corners: DataFrame, max_bits: int) -> DataFrame:
+    """(a, b, pa, pb): all matches between the corners of two pictures, from their whole lists of corners."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = []
+            for name in ("of_a", "of_b"):
+                column = batch.column(batch.schema.get_field_index(name))
+                fields = [column.values.field(k).to_numpy(zero_copy_only=False) for k in range(3)]
+                lists.append((fields, column.offsets.to_numpy()))
+            (own, ends), (other, other_ends) = lists
+            found, rows = [], []
+            for k in range(batch.num_rows):
+                place, d0, d1 = (f[ends[k] : ends[k + 1], None] for f in own)
+                place_b, e0, e1 = (f[None, other_ends[k] : other_ends[k + 1]] for f in other)
+                x, y = d0 ^ e0, d1 ^ e1
+                shared = np.zeros(x.shape, dtype=bool)
+                for word in (x, y):
+                    shared |= (word.view(np.uint64) >> np.uint64(32) == 0) | (word & 0xFFFFFFFF == 0)
+                i, j = np.nonzero(shared & (np.bitwise_count(x.view(np.uint64)) + np.bitwise_count(y.view(np.uint64)) <= max_bits))
+                found.append(np.stack([place[i, 0], place_b[0, j]]))
+                rows.append(np.full(len(i), k))
+            if rows:
+                at, (first, second) = pa.array(np.concatenate(rows)), np.concatenate(found, axis=1)
+                ids = [batch.column(batch.schema.get_field_index(c)).take(at) for c in "ab"]
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(first), pa.array(second)], names=["a", "b", "pa", "pb"])
+        give_back()
+
+    joined = pairs.select("a", "b")
+    for name in "ab":
+        joined = joined.join(corners.select(F.col("pic").alias(name), F.col("points").alias(f"of_{name}")), name)
+    return joined.select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long, pa long, pb long")
+
+
+def _corners_shared(marks: Lists, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of each two rows, how many corners of the first have a key that the second has (by a hash, so seldom too many, never too few)."""
+    (which, own), (other_which, other) = marks.of(a), marks.of(b)
+    own, other = own.astype(np.int64), other.astype(np.int64)
+    met = np.isin(which << 25 | own >> 6, other_which << 25 | other >> 6)
+    return np.bincount(np.unique(which[met] << 6 | own[met] & 63) >> 6, minlength=len(a))
 
 
 def links(corners: DataFrame, max_bits: int = 20, least: int = 6, cell: float = 6.0) -> DataFrame:
@@ -219,33 +257,47 @@ def links(corners: DataFrame, max_bits: int = 20, least: int = 6, cell: float =
 
     ``corners``: pic (a long) and points, at most 64 a picture. Two corners
     match if they share a stretch of bits and differ in at most ``max_bits``.
-    Each is first held against the least picture's in its bucket; then pictures
-    that are not in one class yet are held against each other, in blocks, by
-    all their matches. So a large family costs no row for each of its pairs,
-    and no pair with enough votes goes unseen, however full its buckets are.
+    Pictures are first held against the least one in their buckets; then those
+    that are not in one class yet against each other, in blocks, so a large
+    family costs no row for each of its pairs.
+
+    Most pictures that meet share one corner by chance, and their number grows
+    with the square of the pictures. A link needs ``least`` corners of the
+    lesser picture, so with the buckets dealt into one group fewer it shares two
+    of them in the buckets of one group. Rows carry the picture's own buckets
+    of their group, and pairs with a single corner there make no row. Pairs
+    with two are judged by all matches of their whole lists of corners, so no
+    pair with enough votes goes unseen, however full its buckets are.
     """
     met = checkpointed(_in_tables(corners))
     in_bucket = Window.partitionBy("key")
-    starred = met.withColumn("first", F.min(F.struct("pic", "place", "d0", "d1")).over(in_bucket)).filter("pic > first.pic")
-    near = F.bit_count(F.col("first.d0").bitwiseXOR(F.col("d0"))) + F.bit_count(F.col("first.d1").bitwiseXOR(F.col("d1"))) <= max_bits
-    stars = starred.filter(near).select(F.col("first.pic").alias("a"), F.col("pic").alias("b"), F.col("first.place").alias("pa"), F.col("place").alias("pb"))
-    found = checkpointed(_votes(stars, least, cell).select("a", "b"))
+    starred = met.withColumn("first", F.min(F.struct("pic", "nth")).over(in_bucket)).filter("pic > first.pic")
+    stars = starred.groupBy(F.col("first.pic").alias("a"), F.col("pic").alias("b")).agg(F.count_distinct("first.nth").alias("n")).filter(F.col("n") >= least)
+    found = checkpointed(_votes(_matches(stars, corners, max_bits), least, cell).select("a", "b"))
     parts = connected_components(found).select(F.col("node").alias("pic"), "component")
     few = F.broadcast(parts) if parts.count() <= BROADCAST_ROWS else parts
     met = met.join(few, "pic", "left").withColumn("part", F.coalesce("component", "pic")).drop("component")
     met = met.withColumns({"low_part": F.min("part").over(in_bucket), "high_part": F.max("part").over(in_bucket)}).filter("low_part < high_part").drop("low_part", "high_part")
 
+    groups, need = max(1, least - 1), min(2, least)
+    mark = F.shiftleft(F.shiftright("key", 8).bitwiseAND(F.lit((1 << 25) - 1)), 6).bitwiseOR(F.col("nth")).cast("int")
+    blocked = in_blocks(met, "key", "pic").groupBy("pic", "part", F.pmod("key", F.lit(groups)).alias("group"))
+    rows = blocked.agg(F.collect_set(mark).alias("marks"), F.collect_set(F.struct("key", "block", "low", "high")).alias("at")).select("pic", "part", "marks", F.inline("at"))
+
     def close(c: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        apart = np.bitwise_count(c["d0"][i] ^ c["d0"][j]) + np.bitwise_count(c["d1"][i] ^ c["d1"][j])
-        return (c["part"][i] != c["part"][j]) & (apart <= max_bits)
+        keep = c["part"][i] != c["part"][j]
+        at = np.flatnonzero(keep)
+        swap = c["pic"][i] > c["pic"][j]
+        a, b = np.where(swap, j, i)[at], np.where(swap, i, j)[at]
+        for k in range(0, len(at), TOGETHER):
+            keep[at[k : k + TOGETHER]] = _corners_shared(c["marks"], a[k : k + TOGETHER], b[k : k + TOGETHER]) >= need
+        return keep
 
     def ordered(c: dict, i: np.ndarray, j: np.ndarray) -> list[np.ndarray]:
-        swap = c["pic"][i] > c["pic"][j]
-        i, j = np.where(swap, j, i), np.where(swap, i, j)
-        return [c["pic"][i], c["pic"][j], c["place"][i], c["place"][j]]
+        return [np.minimum(c["pic"][i], c["pic"][j]), np.maximum(c["pic"][i], c["pic"][j])]
 
-    matches = pairs_within(in_blocks(met, "key", "pic"), "key", close, ordered, "a long, b long, pa long, pb long")
-    return checkpointed(found.unionByName(_votes(matches, least, cell).select("a", "b")))
+    pairs = pairs_within(rows, "key", close, ordered, "a long, b long").distinct()
+    return checkpointed(found.unionByName(_votes(_matches(pairs, corners, max_bits), least, cell).select("a", "b")))
 
 
 def copies(media: DataFrame, id_col: str, media_col: str, **options) -> DataFrame:

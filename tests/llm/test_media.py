@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stridelab.llm import blocks, media, queries
 
@@ -102,6 +103,25 @@ def test_classes_against_all_pairs_of_descriptors(spark):
     assert [got[i] for i in range(len(shown))] == want and len(set(want)) < len(want) - 10
 
 
+def test_single_corners_shared_by_chance_make_no_rows(spark, monkeypatch):
+    """Forty strangers show the same corner; of two pictures with six common corners, each is also in an earlier one."""
+    rng = np.random.default_rng(11)
+    corner = lambda k: ((100 + 37 * k) * 8 << 34 | (100 + 23 * k) * 8 << 10, *rng.integers(-(2**63), 2**63, 2).tolist())
+    everywhere, common = corner(0), [corner(k) for k in range(1, 7)]
+    shown = [[c] for c in common] + [[everywhere, corner(20 + k)] for k in range(40)] + [[everywhere, *common], [*common[::-1], corner(90)]]
+    made, plain = [], media.pairs_within
+
+    def counted(*given):
+        pairs = plain(*given)
+        made.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(media, "pairs_within", counted)
+    got = media.links(spark.createDataFrame([(i, p) for i, p in enumerate(shown)], T.StructType([T.StructField("pic", T.LongType()), T.StructField("points", media.POINTS)])))
+    assert {tuple(r) for r in got.collect()} == {(46, 47)}
+    assert 1 <= made[0] <= 24  # the two alone: once for each of the 24 stretches, at most
+
+
 def test_nulls_repeats_clashing_columns_and_empty_tables(spark):
     one = media.encode(media.drawn(vectors(1)[0], False))
     rows = [Row(id=1, picture=one, x=1, a="a"), Row(id=1, picture=one, x=1, a="a"), Row(id=2, picture=None, x=1, a="a"), Row(id=3, picture=b"junk", x=1, a="a"), Row(id=4, picture=b"junk", x=1, a="a"), Row(id=None, picture=one, x=None, a=None)]
