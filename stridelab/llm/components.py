@@ -1,11 +1,46 @@
-"""Connected components of an edge table by alternating large and small stars."""
+"""Connected components of an edge table: of many edges by alternating large and small stars, of few in one task."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, parts_for
+from .common import checkpointed, give_back, parts_for
+
+#: Edges (two longs each) up to which one task joins them in memory; they are counted first.
+#: The rounds of stars are some forty plans a call, which is what a driver has to hold of small tables.
+ONE_TASK = 1 << 19
+
+
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from each node but the least of its component to that one."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        lx, ly = label[x], label[y]
+        apart = lx != ly
+        if not apart.any():
+            break
+        x, y = x[apart], y[apart]
+        np.minimum.at(label, np.maximum(lx, ly)[apart], np.minimum(lx, ly)[apart])
+        while not np.array_equal(up := label[label], label):
+            label = up
+    moved = label != np.arange(len(nodes))
+    return nodes[moved], nodes[label[moved]]
+
+
+def _in_one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [[column.to_numpy(zero_copy_only=False) for column in batch.columns] for batch in batches if batch.num_rows]
+    if held:
+        a, b = stars(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+    held.clear()
+    give_back()
 
 
 def _large_star(edges: DataFrame, parts: int) -> DataFrame:
@@ -38,7 +73,8 @@ def _settled(edges: DataFrame, parts: int, max_rounds: int) -> DataFrame:
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b); component: least node.
 
-    Each round is two joins on aggregated neighbours; no neighbour list is ever
+    Up to ``ONE_TASK`` edges of longs are joined in one task. Of more, each
+    round is two joins on aggregated neighbours; no neighbour list is ever
     gathered. Every round is checkpointed; the last rounds' checksum decides.
     Few edges stay in few partitions: each round has several shuffles, and a
     shuffle of n partitions into n leaves n files however little is in them.
@@ -46,7 +82,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """
     edges = checkpointed(edges.select("a", "b").filter("a <> b").distinct())
     total = edges.count()
-    if total:
+    if 0 < total <= ONE_TASK and {kind for _, kind in edges.dtypes} == {"bigint"}:
+        edges = checkpointed(edges.coalesce(1).mapInArrow(_in_one_task, "a long, b long"))
+    elif total:
         edges = _settled(edges, parts_for(total), max_rounds)
     heads = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(heads)

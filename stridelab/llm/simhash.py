@@ -369,7 +369,8 @@ def common_shingles(texts: DataFrame, size: int, seed: int = 42) -> np.ndarray:
     every = max(1, texts.count() // ORDER_TEXTS)
     sample = texts.filter(F.pmod(F.col("mark"), F.lit(every)) == 0).dropDuplicates(["mark"])
     counted = sample.select(F.explode(shingle_set_column(F.col("text"), size, seed)).alias("token")).groupBy("token").count().filter("count > 1")
-    return np.array([r.token for r in counted.orderBy(F.desc("count"), "token").limit(ORDER_SHINGLES).collect()], dtype=np.int64)
+    most = counted.orderBy(F.desc("count"), "token").limit(ORDER_SHINGLES).select("token")
+    return most.toArrow()["token"].to_numpy()
 
 
 def _enough(met: DataFrame, percent: int) -> DataFrame:

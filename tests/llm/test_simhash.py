@@ -8,6 +8,7 @@ import xxhash
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from stridelab.llm import components as components_module
 from stridelab.llm import simhash
 from stridelab.llm.components import connected_components
 
@@ -90,6 +91,33 @@ def test_components_of_chains_stars_and_loops(spark):
     assert got == {n: want[n] for a, b in edges if a != b for n in (a, b)}
 
 
+def test_components_in_one_task_and_by_rounds(spark, monkeypatch):
+    """Few edges take a handful of jobs, not rounds of joins; both ways name the same components."""
+    rng = random.Random(3)
+    edges = [(i, i + 1) for i in range(-30, 30)] + [(rng.randrange(100, 400), rng.randrange(100, 400)) for _ in range(170)]
+    table = spark.createDataFrame(edges, "a long, b long")
+    named = lambda: {r.node: r.component for r in connected_components(table).collect()}
+
+    def rounds(*_):
+        raise AssertionError("rounds over a few edges")
+
+    settled = components_module._settled
+    monkeypatch.setattr(components_module, "_settled", rounds)
+    few = named()
+    monkeypatch.setattr(components_module, "_settled", settled)
+    monkeypatch.setattr(components_module, "ONE_TASK", 0)
+    assert few == named() and len(set(few.values())) > 2
+
+
+def test_stars_of_a_long_chain_and_of_copies():
+    rng = np.random.default_rng(4)
+    order = rng.permutation(50_000)
+    a, b = components_module.stars(order[:-1], order[1:])
+    assert len(a) == 49_999 and set(b) == {0} and set(a) == set(range(1, 50_000))
+    a, b = components_module.stars(np.array([7, -2, 7, 9]), np.array([-2, 7, -2, 10]))
+    assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == [(7, -2), (10, 9)]
+
+
 def test_groups_match_brute_force_with_nulls_repeats_and_clashing_columns(spark):
     text = " ".join(f"word{i % 50} thing{i}" for i in range(200))
     rows = [
