@@ -21,12 +21,19 @@ from .relational import query, r
 
 
 def written_files(spark: SparkSession, lines: DataFrame, header: str | Column | None = None) -> str:
-    """A folder with ``lines`` (file, pos, line) as text files, in the order of ``pos``; ``header`` goes before."""
-    if header is not None:
-        first = lines.select("file").distinct().select("file", F.lit(-1).cast("long").alias("pos"), (F.lit(header) if isinstance(header, str) else header).alias("line"))
-        lines = lines.select("file", "pos", "line").unionByName(first)
+    """A folder with ``lines`` (file, pos, line) as text files, in the order of ``pos``; ``header`` goes before.
+
+    The header is written with a file's first line: rows of its own would come by a union, whose sides adaptive
+    execution may deal differently, so that a file comes in two parts.
+    """
     folder = scratch_folder(spark, "raw")
-    lines.repartition("file").sortWithinPartitions("file", "pos").select("file", "line").write.partitionBy("file").text(f"{folder}/parts")
+    nth = F.row_number().over(labels.in_order(["file"], ["pos"]))  # by this, a file is in one task
+    ordered = lines.select("file", "pos", "line", nth.alias("nth"))
+    if header is not None:
+        head = F.lit(header) if isinstance(header, str) else header
+        ordered = ordered.withColumn("line", F.when(F.col("nth") == 1, F.concat_ws("\n", head, "line")).otherwise(F.col("line")))
+    # Comparing keeps the window, which else goes as a column that nothing needs.
+    ordered.filter("nth > 0").sortWithinPartitions("file", "pos").select("file", "line").write.partitionBy("file").text(f"{folder}/parts")
     path = spark._jvm.org.apache.hadoop.fs.Path
     fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
     for part in fs.globStatus(path(f"{folder}/parts/file=*/part-*")):

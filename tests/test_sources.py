@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from stridelab.sources import readers, sinks
 from stridelab.sources.schemas import LOWER_BACK, MULTIMODAL
@@ -160,3 +161,24 @@ def test_a_file_cut_otherwise_is_an_error(spark, small_splits, tmp_path):
     put(tmp_path / "S01R01.txt", [f"{i} 0 0 0 0 0 0 0 0 0 1" for i in range(200)])
     lines = readers._lines(spark, readers.list_files(spark, str(tmp_path), "S*.txt"))
     assert "raise_error" in lines._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_written_files_have_one_part_and_their_header_first(spark):
+    """More rows than fit one shuffle partition, whose sides are dealt differently by adaptive execution."""
+    from stridelab.operators import labels
+    from stridelab.plans.raw import written_files
+
+    small = {"spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.shuffle.partitions": "16"}
+    kept = {c: spark.conf.get(c, None) for c in small}
+    try:
+        for c, value in small.items():
+            spark.conf.set(c, value)
+        rows = spark.range(20_000).select(F.concat(F.lit("f"), F.col("id") % 7).alias("file"), F.col("id").alias("at"), F.sha2(F.col("id").cast("string"), 256).alias("line"))
+        rows = labels.with_ordinal(rows, ["file"], ["at"])
+        root = written_files(spark, rows, F.concat(F.lit("head of "), F.col("file")))
+    finally:
+        for c, value in kept.items():
+            spark.conf.set(c, value) if value is not None else spark.conf.unset(c)
+    want = {r["file"]: [f"head of {r['file']}", *r["lines"]] for r in rows.groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda s: s["line"]).alias("lines")).collect()}
+    files = readers.list_files(spark, root, "*")
+    assert {f.rsplit("/", 1)[-1]: spark.sparkContext.textFile(f, 1).collect() for f in files} == want
