@@ -51,58 +51,84 @@ def _nth(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.array(nth)
 
 
-def _lines(spark: SparkSession, files: list[str]) -> DataFrame:
-    """(path, pos, line) of every line that is not empty; ``pos`` is its place in its file, from 0.
-
-    A file is read by as many tasks as it has splits. A line's place is its
-    place in its split, counted as the split is read, behind the lines of the
-    splits before it, which a first read counts. The count before a byte of a
-    file does not depend on where the others were cut; should the second read
-    cut at a byte that the first did not, it stops with an error.
-    """
+#: Files up to which a table of files or splits is sent to every task.
+SENT = 100_000
+
+
+def _split_lines(spark: SparkSession, files: list[str]) -> DataFrame:
+    """(path, block, nth, line): ``nth`` is a line's place in its split, from 0, counted as the split is read."""
     ship_package(spark)
     block = F.col("_metadata.file_block_start")
     lines = spark.read.text(files).select(F.col("_metadata.file_path").alias("path"), block.alias("block"), F.col("value").alias("line"))
-    counts = lines.groupBy("path", "block").agg(F.count("*").alias("n"))
+    return lines.withColumn("nth", _nth.asNondeterministic()(F.xxhash64("path", "block")))
+
+
+def _sent(df: DataFrame, files: list[str]) -> DataFrame:
+    return F.broadcast(df) if len(files) <= SENT else df
+
+
+def _placed(lines: DataFrame, files: list[str], fits: Column, header: bool, fail_fast: bool) -> DataFrame:
+    """(path, pos, line and further columns) of every line that is not empty, nor a header, of the files that fit.
+
+    ``pos`` is a line's place in its file, from 0. A file is read by as many
+    tasks as it has splits. A first read counts the lines of each split and
+    tells whether all fit (a row for each split); in the second, a line's place
+    is its place in its split behind the lines of the splits before. The count
+    before a byte of a file does not depend on where the others were cut;
+    should the second read cut at a byte that the first did not, it stops with
+    an error. Bad files raise, or go as a whole.
+    """
+    head = (F.col("block") == 0) & (F.col("nth") == 0) if header else F.lit(False)
+    text = F.trim("line") != ""
+    counts = lines.groupBy("path", "block").agg(F.count("*").alias("n"), F.max(text & ~head & ~fits).alias("bad"))
     before = F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    bases = counts.select(F.col("path").alias("__path"), F.col("block").alias("__block"), F.coalesce(before, F.lit(0)).alias("__base"))
-    nth = _nth.asNondeterministic()(F.xxhash64("path", "block"))
-    placed = lines.withColumn("__nth", nth).join(bases, (F.col("path") == F.col("__path")) & (F.col("block") == F.col("__block")), "left")
+    bad = F.max("bad").over(Window.partitionBy("path"))
+    bases = counts.select(F.col("path").alias("__path"), F.col("block").alias("__block"), F.coalesce(before, F.lit(0)).alias("__base"), bad.alias("__bad"))
+    placed = lines.join(_sent(bases, files), (F.col("path") == F.col("__path")) & (F.col("block") == F.col("__block")), "left")
     base = F.when(F.col("__base").isNull(), F.raise_error(F.lit("a file was cut otherwise when it was read again")).cast("long")).otherwise(F.col("__base"))
-    return placed.select("path", (F.col("__nth") + base).alias("pos"), "line").filter(F.trim("line") != "")
+    problem = F.raise_error(F.concat(F.lit("a line does not fit the layout: "), F.col("path"))).cast("boolean") if fail_fast else F.lit(False)
+    kept = placed.withColumn("pos", (F.col("nth") + base - int(header)).cast("long")).filter("pos >= 0").filter(text)
+    return kept.filter(F.when(F.col("__bad"), problem).otherwise(True)).drop("block", "nth", "__path", "__block", "__base", "__bad")
 
 
-def _placed(lines: DataFrame, header: bool) -> DataFrame:
-    """Lines without their header, numbered from 0."""
-    return (lines.filter("pos > 0").withColumn("pos", F.col("pos") - 1) if header else lines).withColumn("pos", F.col("pos").cast("long"))
+def _lines(spark: SparkSession, files: list[str], fits: Column | None = None, header: bool = False, fail_fast: bool = False) -> DataFrame:
+    """``_placed`` lines of files."""
+    return _placed(_split_lines(spark, files), files, F.lit(True) if fits is None else fits, header, fail_fast)
 
 
-def _fields(lines: DataFrame, layout: Layout) -> DataFrame:
-    """Typed columns of delimited lines. ``ok``: the width fits and every number reads."""
-    parts = F.split(F.trim("line") if layout.separator == r"\s+" else F.col("line"), layout.separator)
-    schema = struct(layout.names)
-    raw = lines.withColumn("__p", parts)
-    reads, typed = F.size("__p") == len(schema), {}
-    for i, f in enumerate(schema):
-        typed[f.name], fits = _value(F.get("__p", F.lit(i)), f.dataType.simpleString())
-        reads = reads & fits
-    return raw.select("path", "pos", *(x.alias(n) for n, x in typed.items()), reads.alias("ok"))
+def _value(text: Column, kind: str) -> Column:
+    """A field as its type; blanks are null."""
+    return nan_to_null(text.try_cast("double")) if kind == "double" else text.try_cast(kind)
+
+
+def _reads(text: Column, kind: str) -> Column:
+    """Whether a field is blank or reads as its type."""
+    return _value(text, kind).isNotNull() | text.isNull() | (F.trim(text) == "") | F.lower(F.trim(text)).isin("nan", "na", "null")
+
+
+def _once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of ``x``, which is computed once however often ``f`` names it."""
+    return F.transform(F.array(x), f)[0]
 
 
-def _value(text: Column, kind: str) -> tuple[Column, Column]:
-    """A field as its type (blanks are null), and whether it reads."""
-    typed = nan_to_null(text.try_cast("double")) if kind == "double" else text.try_cast(kind)
-    blank = text.isNull() | (F.trim(text) == "") | F.lower(F.trim(text)).isin("nan", "na", "null")
-    return typed, blank | typed.isNotNull()
+def _recordings(spark: SparkSession, files: list[str], layout: Layout, fail_fast: bool | None) -> DataFrame:
+    """Typed columns of the delimited lines of files, with path and pos; bad files by the layout's policy."""
+    schema = struct(layout.names)
+    parts = F.split(F.trim("line") if layout.separator == r"\s+" else F.col("line"), layout.separator)
+
+    def fits_as(p: Column, kind: str) -> Callable[[Column], Column]:
+        return lambda i: _reads(F.get(p, i), kind)
 
+    def fit(p: Column) -> Column:
+        """The width fits and every number reads."""
+        good = F.size(p) == len(schema)
+        for kind in dict.fromkeys(f.dataType.simpleString() for f in schema if f.dataType != T.StringType()):
+            places = [i for i, f in enumerate(schema) if f.dataType.simpleString() == kind]
+            good = good & F.forall(F.array(*map(F.lit, places)), fits_as(p, kind))
+        return good
 
-def _checked(df: DataFrame, layout: Layout, fail_fast: bool | None) -> DataFrame:
-    """Bad files raise, or go as a whole, by the layout's policy."""
-    if fail_fast if fail_fast is not None else layout.fail_fast:
-        problem = F.concat(F.lit("a line does not fit the layout: "), F.col("path"))
-        return df.filter(F.when(F.col("ok"), True).otherwise(F.raise_error(problem).cast("boolean"))).drop("ok")
-    bad = df.filter(~F.col("ok")).select("path").distinct()
-    return df.join(bad, "path", "left_anti").drop("ok")
+    lines = _lines(spark, files, _once(parts, fit), layout.header, layout.fail_fast if fail_fast is None else fail_fast)
+    return lines.withColumn("__p", parts).select("path", "pos", *(_value(F.get("__p", F.lit(i)), f.dataType.simpleString()).alias(f.name) for i, f in enumerate(schema)))
 
 
 def _name() -> Column:
@@ -116,7 +142,7 @@ def _parent(n: int = 2) -> Column:
 def ankle_thigh_trunk(spark: SparkSession, root: str, fail_fast: bool | None = None, subject: str | None = None) -> DataFrame:
     layout = LAYOUTS["ankle_thigh_trunk"]
     files = list_files(spark, root, f"S{subject}R*.txt" if subject else layout.pattern)
-    df = _checked(_fields(_placed(_lines(spark, files), layout.header), layout), layout, fail_fast)
+    df = _recordings(spark, files, layout, fail_fast)
     return df.withColumns(
         {
             "subject_id": F.substring(_name(), 2, 2).cast("int"),
@@ -137,7 +163,7 @@ def lower_back(spark: SparkSession, root: str, fail_fast: bool | None = None, su
         files = [f for f in files if standing(f) == (trial_type == "standing")]
         if not files:
             raise NoData(f"no {trial_type} file under {root}")
-    df = _checked(_fields(_placed(_lines(spark, files), layout.header), layout), layout, fail_fast)
+    df = _recordings(spark, files, layout, fail_fast)
     still = F.lower(_name()).endswith("_standing.txt")
     return df.withColumns(
         {
@@ -164,7 +190,7 @@ def both_feet(spark: SparkSession, root: str, fail_fast: bool | None = None, sub
     """Twelve channels; time and label are the left foot's."""
     layout = LAYOUTS["both_feet"]
     files = list_files(spark, root, f"S{subject}/*_foot_trial_*.csv" if subject else layout.pattern)
-    df = _checked(_fields(_placed(_lines(spark, files), layout.header), layout), layout, fail_fast)
+    df = _recordings(spark, files, layout, fail_fast)
     parts = F.split(F.regexp_replace(_name(), r"\.csv$", ""), "_")
     df = df.withColumns({"subject_id": F.substring(parts[0], 2, 10).cast("int"), "foot": parts[1], "trial_id": parts[4].cast("int")})
     keys = ["subject_id", "trial_id"]
@@ -178,7 +204,7 @@ def both_feet(spark: SparkSession, root: str, fail_fast: bool | None = None, sub
 def multimodal(spark: SparkSession, root: str, fail_fast: bool | None = None, subject: str | None = None) -> DataFrame:
     layout = LAYOUTS["multimodal"]
     files = list_files(spark, root, f"{subject}/task_*.txt" if subject else layout.pattern)
-    df = _checked(_fields(_placed(_lines(spark, files), layout.header), layout), layout, fail_fast)
+    df = _recordings(spark, files, layout, fail_fast)
     return df.withColumns(
         {
             "subject_id": _parent().try_cast("int"),
@@ -195,8 +221,8 @@ def competition(spark: SparkSession, root: str, fail_fast: bool | None = None, s
     A file without the three event flags is left out (or raises, if failing fast).
     """
     files = list_files(spark, root, f"{subset or '*'}/{dataset_type or '*'}/*.csv")
-    lines = _lines(spark, files)
-    headed = checkpointed(lines.filter("pos = 0").select(F.col("path").alias("__of"), F.col("line").alias("__head")))  # a row for each file
+    lines = _split_lines(spark, files)
+    headed = checkpointed(lines.filter("block = 0 AND nth = 0").filter(F.trim("line") != "").select(F.col("path").alias("__of"), F.col("line").alias("__head")))  # a row for each file
     heads = {r[0]: [n.strip() for n in r[0].split(",")] for r in headed.select("__head").distinct().orderBy("__head").collect()}  # a few
     lacking = [names for names in heads.values() if not set(EVENT_FLAGS) <= set(names)]
     if lacking and fail_fast:
@@ -205,7 +231,7 @@ def competition(spark: SparkSession, root: str, fail_fast: bool | None = None, s
     if not whole:
         raise NoData(f"no file under {root} has the columns {EVENT_FLAGS}")
     every = list(dict.fromkeys(n for names in whole.values() for n in names))
-    body = _placed(lines.join(headed.filter(F.col("__head").isin(*whole)), F.col("path") == F.col("__of")), True).withColumn("__p", F.split("line", ","))
+    body = lines.join(_sent(headed.filter(F.col("__head").isin(*whole)), files), F.col("path") == F.col("__of")).drop("__of")
 
     def place(name: str) -> Column:
         """Where a file has the column, by its header; null if it has not."""
@@ -216,12 +242,17 @@ def competition(spark: SparkSession, root: str, fail_fast: bool | None = None, s
         return found
 
     width = F.element_at(F.create_map(*(F.lit(x) for head, names in whole.items() for x in (head, len(names)))), F.col("__head"))
-    reads, typed = F.size("__p") == width, {}
-    for f in struct(every):
-        given = F.get("__p", place(f.name))
-        typed[f.name], fits = _value(given, f.dataType.simpleString())
-        reads = reads & fits
-    out = _checked(body.select("path", "pos", *(x.alias(n) for n, x in typed.items()), reads.alias("ok")), LAYOUTS["competition"], fail_fast)
+    schema = struct(every)
+
+    def fit(p: Column) -> Column:
+        good = F.size(p) == width
+        for f in schema:
+            good = good & _reads(F.get(p, place(f.name)), f.dataType.simpleString())
+        return good
+
+    parts = F.split("line", ",")
+    read = _placed(body, files, _once(parts, fit), True, LAYOUTS["competition"].fail_fast if fail_fast is None else fail_fast).withColumn("__p", parts)
+    out = read.select("path", "pos", *(_value(F.get("__p", place(f.name)), f.dataType.simpleString()).alias(f.name) for f in schema))
     return out.withColumns(
         {
             "file_id": F.regexp_replace(_name(), r"\.csv$", ""),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -182,3 +184,13 @@ def test_written_files_have_one_part_and_their_header_first(spark):
     want = {r["file"]: [f"head of {r['file']}", *r["lines"]] for r in rows.groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda s: s["line"]).alias("lines")).collect()}
     files = readers.list_files(spark, root, "*")
     assert {f.rsplit("/", 1)[-1]: spark.sparkContext.textFile(f, 1).collect() for f in files} == want
+
+
+def test_a_line_is_cut_into_fields_once_to_be_checked(spark, tmp_path):
+    put(tmp_path / "001/task_1.txt", [",".join([str(i), "12:00", *["1.5"] * 57, "1"]) for i in range(10)])
+    put(tmp_path / "001/task_2.txt", [",".join([str(i), "12:00", *["1.5"] * 56, "x" if i == 9 else " NaN ", ""]) for i in range(10)])
+    put(tmp_path / "001/task_3.txt", [",".join([str(i), "12:00", *["1.5"] * 56, " NaN ", ""]) for i in range(10)])
+    df = readers.multimodal(spark, str(tmp_path)).select("task_id", "pos", "raw_33", "fog_label")
+    cut = re.findall(r"split\(\w+#", df._jdf.queryExecution().optimizedPlan().toString())
+    assert 1 <= len(cut) <= 4
+    assert {(r.task_id, r.raw_33, r.fog_label) for r in df.collect()} == {(1, 1.5, 1), (3, None, None)} and df.count() == 20
