@@ -549,3 +549,21 @@ def test_training_queries_take_every_subject_and_row(spark, monkeypatch):
     counts = {r.y: r["count"] for r in taken[0].groupBy("y").count().collect()}
     assert sum(counts.values()) == spark.read.parquet(f"{sf}/embeddings.parquet").count()
     assert 0 < counts[1] < 0.8 * counts[0]
+
+
+@pytest.mark.parametrize("sent", [1 << 20, 10])
+def test_many_folds_meet_rows_in_lists(spark, monkeypatch, sent):
+    monkeypatch.setattr(windows, "SENT_FOLDS", sent, raising=False)
+    monkeypatch.setattr(windows, "TAGGED", 10_000, raising=False)
+    train = spark.range(0, 10_010, 5).select(F.col("id").alias("subject"), (F.col("id") * 10).alias("k")).filter("subject < 30 OR subject > 10003")
+    test = spark.range(10_005).select(F.col("id").alias("subject"), F.lit(0).cast("long").alias("k")).unionByName(spark.sql("SELECT CAST(NULL AS BIGINT) AS subject, CAST(1 AS BIGINT) AS k"))
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where tables are large
+    try:
+        out = windows.leave_one_out(train, test)
+        assert "Cartesian" not in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    rows = out.filter("role = 'train'").groupBy("subject", "k").agg(F.count("*").alias("n"), F.count_distinct("fold").alias("folds"), F.max((F.col("fold") == F.col("subject")).cast("int")).alias("own")).collect()
+    assert {(r.subject, r.k, r.n, r.folds, r.own) for r in rows} == {(s, 10 * s, 10_004, 10_004, 0) for s in range(0, 30, 5)} | {(10_005, 100_050, 10_005, 10_005, 0)}
+    assert out.filter("role = 'test'").count() == 10_006
