@@ -567,3 +567,32 @@ def test_many_folds_meet_rows_in_lists(spark, monkeypatch, sent):
     rows = out.filter("role = 'train'").groupBy("subject", "k").agg(F.count("*").alias("n"), F.count_distinct("fold").alias("folds"), F.max((F.col("fold") == F.col("subject")).cast("int")).alias("own")).collect()
     assert {(r.subject, r.k, r.n, r.folds, r.own) for r in rows} == {(s, 10 * s, 10_004, 10_004, 0) for s in range(0, 30, 5)} | {(10_005, 100_050, 10_005, 10_005, 0)}
     assert out.filter("role = 'test'").count() == 10_006
+
+
+@pytest.mark.parametrize("leaves", [4096, 5])
+def test_nearest_rows_without_gaps_meet_few_blocks(spark, monkeypatch, leaves):
+    """By leaves, as by blocks: with copies, more rows in a place than a block has, and a column that is constant."""
+    monkeypatch.setattr(neighbours, "BLOCK", 40)
+    monkeypatch.setattr(neighbours, "LEAF", 16, raising=False)
+    monkeypatch.setattr(neighbours, "LEAVES", leaves, raising=False)
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(400, 2)), np.round(rng.normal(size=(200, 2)), 1), np.tile([[0.5, -0.5]], (150, 1)), [[50.0, 0.0], [51.0, 0.0]]])
+    number = rng.permutation(len(x))
+    df = spark.createDataFrame([(int(n), int(n) % 50, float(a), float(b), 1.0, float(n % 3)) for n, (a, b) in zip(number, x, strict=True)], "n long, t int, a double, b double, c double, v double")
+    asked = df.filter("n % 4 = 0")
+    seen = spark.sparkContext.accumulator(0)
+    block = neighbours._block
+
+    def counted(left, right, *rest):
+        seen.add(left.num_rows * right.num_rows)
+        return block(left, right, *rest)
+
+    monkeypatch.setattr(neighbours, "_block", counted)
+    got = {(r.query, r.nth): (r.row, r.d, r.value) for r in neighbours.nearest(asked, df, ["a", "b", "c"], "n", "t", 3, "v").collect()}
+    want = {}
+    for i in np.flatnonzero(number % 4 == 0):
+        d = np.sqrt(((x[i] - x) ** 2).sum(axis=1))
+        best = [j for j in np.lexsort((number, number % 3, number % 50, d)) if j != i][:3]
+        want |= {(int(number[i]), nth): (int(number[j]), pytest.approx(float(d[j]), abs=1e-12), float(number[j] % 3)) for nth, j in enumerate(best, 1)}
+    assert got == want
+    assert leaves < 10 or 0 < seen.value < 0.75 * len(number) ** 2 / 4
