@@ -244,12 +244,46 @@ def _matches(pairs: DataFrame, corners: DataFrame, max_bits: int) -> DataFrame:
     return joined.select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long, pa long, pb long")
 
 
-def _corners_shared(marks: Lists, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Of each two rows, how many corners of the first have a key that the second has (by a hash, so seldom too many, never too few)."""
-    (which, own), (other_which, other) = marks.of(a), marks.of(b)
-    own, other = own.astype(np.int64), other.astype(np.int64)
-    met = np.isin(which << 25 | own >> 6, other_which << 25 | other >> 6)
-    return np.bincount(np.unique(which[met] << 6 | own[met] & 63) >> 6, minlength=len(a))
+def _corners_shared(marks: Lists, group: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of each two rows, how many corners of the first have a key that the second has (by a hash, so seldom too many, never too few).
+
+    Both rows of a pair are of one ``group``, and no pair comes twice. Keys
+    are looked up once for each row, not for each pair: what meets is a row
+    for each key that two rows of a group share, and most share only the one
+    of their bucket.
+    """
+    n = len(marks.edges)
+    pairs = a * n + b
+    order = np.argsort(pairs)
+    pairs = pairs[order]
+    sides = []
+    for rows in (np.unique(a), np.unique(b)):
+        which, mark = marks.of(rows)
+        mark = mark.astype(np.int64)
+        sides.append((group[rows][which] << 25 | mark >> 6, rows[which], mark & 63))
+    (own, own_row, nth), (other, other_row, _) = sides
+    by_key = np.argsort(other, kind="stable")
+    other, other_row = other[by_key], other_row[by_key]
+    first, last = np.searchsorted(other, own), np.searchsorted(other, own, side="right")
+    many = np.zeros(len(pairs), dtype=np.int64)
+    sums = np.cumsum(last - first)
+    start = 0
+    while start < len(own):  # a few hundred thousand meetings at a time; one entry meets no more than a block's rows
+        end = max(start + 1, int(np.searchsorted(sums, (sums[start - 1] if start else 0) + TOGETHER * 16, side="right")))
+        # All entries of a row stay together, since its corners are told apart below.
+        end = int(np.searchsorted(own_row, own_row[end - 1], side="right"))
+        sizes = (last - first)[start:end]
+        at = np.repeat(np.arange(start, end), sizes)
+        met = other_row[np.arange(len(at)) + np.repeat(first[start:end] - (np.cumsum(sizes) - sizes), sizes)]
+        code = own_row[at] * n + met
+        place = np.minimum(np.searchsorted(pairs, code), len(pairs) - 1)
+        asked = pairs[place] == code
+        corners = np.unique(place[asked] << 6 | nth[at][asked]) >> 6
+        many += np.bincount(corners, minlength=len(pairs))
+        start = end
+    out = np.empty(len(pairs), dtype=np.int64)
+    out[order] = many
+    return out
 
 
 def links(corners: DataFrame, max_bits: int = 20, least: int = 6, cell: float = 6.0) -> DataFrame:
@@ -289,8 +323,10 @@ def links(corners: DataFrame, max_bits: int = 20, least: int = 6, cell: float =
         at = np.flatnonzero(keep)
         swap = c["pic"][i] > c["pic"][j]
         a, b = np.where(swap, j, i)[at], np.where(swap, i, j)[at]
-        for k in range(0, len(at), TOGETHER):
-            keep[at[k : k + TOGETHER]] = _corners_shared(c["marks"], a[k : k + TOGETHER], b[k : k + TOGETHER]) >= need
+        if len(at):
+            moved = np.any([np.diff(c[name]) != 0 for name in ("key", "low", "high")], axis=0)
+            group = np.r_[0, np.cumsum(moved)].astype(np.int64)
+            keep[at] = _corners_shared(c["marks"], group, a, b) >= need
         return keep
 
     def ordered(c: dict, i: np.ndarray, j: np.ndarray) -> list[np.ndarray]:

@@ -136,3 +136,27 @@ def test_query_finds_the_edited_copies(spark, sf_dir):
     got = {r.vec_id: r.class_id for r in queries.queries()["op4_media"](spark, sf_dir).collect()}
     for i, c in got.items():
         assert c == (i - 1 if i % 20 == 7 else i)
+
+
+def test_corners_that_rows_share_are_counted_without_going_through_each_pairs_lists():
+    import time
+
+    from stridelab.llm.blocks import Lists
+
+    rng = np.random.default_rng(0)
+    for groups, rows, keys in ((6, 30, 60), (1, 700, 300_000)):
+        sizes = rng.integers(0, 60, groups * rows)
+        marks = (rng.integers(0, keys, sizes.sum()) << 6 | rng.integers(0, 56, sizes.sum())).astype(np.int32)
+        lists = Lists(marks, np.r_[0, np.cumsum(sizes)])
+        i, j = np.triu_indices(rows, 1)
+        a, b = (np.concatenate([g * rows + x for g in range(groups)]) for x in (j, i))
+        began = time.process_time()
+        found = media._corners_shared(lists, np.repeat(np.arange(groups), rows), a, b)
+        assert rows < 100 or time.process_time() - began < 2  # 7 s when each pair's lists were joined
+        own = [marks[s:e].tolist() for s, e in zip(lists.edges, lists.edges[1:], strict=False)]
+        some = range(0, len(a), 1 + len(a) // 3000)
+        want = []
+        for k in some:
+            other = {m >> 6 for m in own[b[k]]}
+            want.append(len({m & 63 for m in own[a[k]] if m >> 6 in other}))
+        assert found[list(some)].tolist() == want
